@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe
+from docveil.llm import bpe, ogg, warc
 
 
 def queries():
     return {
+        "op6_ogg_media": ogg.op6,
+        "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
     }
 
