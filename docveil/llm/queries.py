@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, ogg, warc
+from docveil.llm import bpe, ogg, packing, warc
 
 
 def queries():
     return {
+        "op2_histogram_packing": packing.op2,
         "op6_ogg_media": ogg.op6,
         "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
