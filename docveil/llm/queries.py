@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, ogg, packing, warc
+from docveil.llm import bpe, langid, ogg, packing, warc
 
 
 def queries():
     return {
         "op2_histogram_packing": packing.op2,
         "op6_ogg_media": ogg.op6,
+        "op8_code_langid": langid.op8,
         "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
     }
