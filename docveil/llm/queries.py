@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, langid, ogg, packing, warc
+from docveil.llm import bpe, html, langid, ogg, packing, warc
 
 
 def queries():
     return {
+        "op1_site_templates": html.op1,
         "op2_histogram_packing": packing.op2,
         "op6_ogg_media": ogg.op6,
         "op8_code_langid": langid.op8,
