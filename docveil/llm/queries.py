@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, html, langid, ogg, packing, warc
+from docveil.llm import bpe, html, langid, ogg, packing, urls, warc
 
 
 def queries():
     return {
         "op1_site_templates": html.op1,
         "op2_histogram_packing": packing.op2,
+        "op4_path_templates": urls.op4,
         "op6_ogg_media": ogg.op6,
         "op8_code_langid": langid.op8,
         "op9_warc_chunks": warc.op9,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_path_templates": urls.oracle()}
