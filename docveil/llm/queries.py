@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, html, langid, ogg, packing, urls, warc
+from docveil.llm import bpe, digest, html, langid, ogg, packing, urls, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_histogram_packing": packing.op2,
         "op4_path_templates": urls.op4,
         "op6_ogg_media": ogg.op6,
+        "op7_improbable_features": digest.op7,
         "op8_code_langid": langid.op8,
         "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
