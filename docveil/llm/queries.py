@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, digest, html, langid, ogg, packing, urls, warc
+from docveil.llm import bpe, digest, html, langid, ogg, packing, paritysketch, urls, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_site_templates": html.op1,
         "op2_histogram_packing": packing.op2,
         "op4_path_templates": urls.op4,
+        "op5_parity_join": paritysketch.op5,
         "op6_ogg_media": ogg.op6,
         "op7_improbable_features": digest.op7,
         "op8_code_langid": langid.op8,
