@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, digest, html, langid, ogg, packing, paritysketch, urls, warc
+from docveil.llm import bpe, digest, html, langid, ogg, packing, paritysketch, suffixdedup, urls, warc
 
 
 def queries():
     return {
         "op1_site_templates": html.op1,
         "op2_histogram_packing": packing.op2,
+        "op3_induced_suffixes": suffixdedup.op3,
         "op4_path_templates": urls.op4,
         "op5_parity_join": paritysketch.op5,
         "op6_ogg_media": ogg.op6,
