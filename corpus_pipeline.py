@@ -1,14 +1,55 @@
-"""A corpus pipeline over `documents`: each stage calls one operator of docveil.llm on all that the stage before kept."""
+"""A corpus pipeline over `documents`: each stage calls one operator of docveil.llm on all that the stage before kept.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docveil.llm import langid, packing, paritysketch, suffixdedup
+from docveil.llm.common import staged, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told. Those without a letter, and those about as near to two languages, go."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    told = langid.predict(docs, model, keys=tuple(docs.columns))
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id."""
+    groups = paritysketch.join(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id"])
 
 
-def run(spark, sf_dir):
-    from docveil.llm.common import staged, table
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that have been before; those of which nothing is left go."""
+    kept = suffixdedup.dedup(docs, characters=True).select(F.col("doc_id").alias("kept_id"), F.col("kept").cast("string").alias("kept"))
+    rest = docs.drop("text", "n_chars").join(kept.where("kept <> ''"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return rest.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("sequences", sequences),
+]
+
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)

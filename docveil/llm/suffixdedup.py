@@ -221,8 +221,9 @@ def sorted_copies(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, first bigint, end bigint")
 
 
-def removed(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) of every document, without the bytes in spans (key, first, end)."""
+def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters: bool) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept) of every document, without the bytes in spans (key, first, end); with
+    `characters`, kept is also without what is left of characters that were cut in two."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.coalesce(F.col(key), F.lit(NO_ID)).cast("bigint").alias("key"), F.col(key).alias("id"), F.lit(0).alias("own"), F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("end"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     more = spans.select("key", F.lit(None).cast(kind).alias("id"), F.lit(-1).alias("own"), "first", "end", F.lit(None).cast("string").alias("text"))
@@ -248,7 +249,10 @@ def removed(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame
                     parts.append(raw[at:a])
                     at = b
                 kept = b"".join([*parts, raw[at:]])
-                rows.append((batch.column(1)[i].as_py(), len(raw), len(raw) - len(kept), len(here), kept))
+                gone = len(raw) - len(kept)
+                if characters and here:
+                    kept = kept.decode("utf-8", "ignore").encode()
+                rows.append((batch.column(1)[i].as_py(), len(raw), gone, len(here), kept))
             if rows:
                 kinds = (batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
@@ -256,19 +260,20 @@ def removed(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame
     return both.select("key", "id", "own", "first", "end", "text").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of every document: its UTF-8 without each byte that is covered by a
     string of SPAN bytes which also starts earlier, in a document of smaller key or before in the same one.
 
     Null texts count as empty. Rows that repeat a key are one document, judged once and returned for each; if their texts
-    differ, what is found in any of them is removed from all. A null key is the smallest.
+    differ, what is found in any of them is removed from all. A null key is the smallest. With `characters`, characters
+    that would be left in part are left out of `kept`, which then is UTF-8.
     """
     found = staged(compared(gathered(docs, key, text)), "anchors")
     released(docs.sparkSession)
     whole = found.where("gram is null").select("key", F.shiftright("packed", 16).alias("first"), (F.shiftright("packed", 16) + F.shiftright("packed", 8).bitwiseAND(255) + SPAN - 1).alias("end"))
     partly = staged(sorted_copies(surroundings(docs, found.where("gram is not null"), key, text)), "copies")
     released(docs.sparkSession)
-    return removed(docs, whole.union(partly), key, text)
+    return removed(docs, whole.union(partly), key, text, characters)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
