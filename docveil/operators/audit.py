@@ -25,7 +25,11 @@ def language(text: Column, languages: tuple[str, ...] = ("en", "fr", "de", "es")
     """The language most of whose function words stand in text: at least SHARE of its words, and AHEAD times the next;
     null for fewer than 3 words or without such a language."""
     words = F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "")
-    counts = {x: F.size(F.filter(words, lambda w, x=x: w.isin(STOP_WORDS[x]))) for x in languages}
+
+    def among(stop_words: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(stop_words)))
+
+    counts = {x: among(STOP_WORDS[x]) for x in languages}
     total = F.size(words)
     best = F.greatest(*counts.values())
     pick = F.lit(None).cast("string")

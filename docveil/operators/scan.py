@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,11 @@ RESIDUAL_SCORE = 45
 
 def hits(docs: DataFrame, cues: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """(doc_id, category, start, end, line, sample): every match of every cue, in one scan."""
-    found = F.concat(*(F.transform(spans(F.col(text), p), lambda s, c=c: F.struct(F.lit(c).alias("category"), s["start"], s["end"], s["text"].alias("sample"))) for c, p in cues))
+
+    def of(category: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.lit(category).alias("category"), s["start"], s["end"], s["text"].alias("sample"))
+
+    found = F.concat(*(F.transform(spans(F.col(text), p), of(c)) for c, p in cues))
     rows = docs.select("doc_id", F.col(text).alias("__text"), F.inline(found))
     return rows.withColumn("line", line_number(F.col("__text"), F.col("start"))).drop("__text")
 
