@@ -58,10 +58,11 @@ def attached(word: str, suffix: str) -> str:
     return f"{word}'{ending(word, case) if case else suffix}" if suffix else word
 
 
-@F.pandas_udf("string")
-def attach(words: pd.Series, suffixes: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else attached(w, s or "") for w, s in zip(words, suffixes)])
+def harmonised(word: Column, suffix: Column) -> Column:
+    """`attached` as a column, by Arrow batches."""
 
+    @F.pandas_udf("string")
+    def attach(words: pd.Series, suffixes: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else attached(w, s or "") for w, s in zip(words, suffixes)])
 
-def harmonised(word: Column, suffix: Column) -> Column:
     return attach(word, suffix)

@@ -67,7 +67,7 @@ def unused_terms(rows: DataFrame, longest: int = 6) -> DataFrame:
     keyed = terms.withColumn("__key", F.trim(F.regexp_replace("term_key", "[^a-z0-9]+", " ")))
     # an inflected use has the term's first letters; both sides meet on the first four
     left, right = keyed.withColumn("__head", F.substring("__key", 1, 4)), uses.withColumn("__head", F.substring("__run", 1, 4))
-    hits = left.join(right, ["doc_id", "__head"]).where(F.startswith("__run", F.col("__key")) & (F.length("__run") <= F.length("__key") + 6))
+    hits = left.join(right, ["doc_id", "__head"]).where(F.startswith("__run", F.col("__key")) & F.substring("__run", F.length("__key") + 1, F.length("__run")).rlike("^[a-z0-9]{0,6}$"))
     counts = hits.groupBy("doc_id", "term_key").agg(F.sum("n").alias("uses"))
     defined = terms.groupBy("doc_id", "term_key").agg(F.count(F.lit(1)).alias("times"), F.min("term").alias("term"))
     return defined.join(counts, ["doc_id", "term_key"], "left").where(F.coalesce("uses", F.lit(0)) <= F.col("times")).select("doc_id", "term", "term_key")
