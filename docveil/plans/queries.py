@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docveil.functions import checks, textfold
-from docveil.operators import audit, diff, evaluate, filters, gate, masking, pages, resolve, rules, scan, vault
+from docveil.operators import audit, coreference, diff, evaluate, filters, gate, masking, matters, pages, rules, scan, vault
 from docveil.operators.match import line_number, spans
 
 BY_NAME = {r.name: r for r in rules.RULES}
@@ -268,6 +268,57 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scores(masking.resolved(docs, STANDARD))
 
 
+def matter_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as matters: their documents, and those of them that have labels as answers."""
+    docs = documents(spark, sf_dir).select("doc_id", F.col("source").alias("matter_id"), F.col("doc_id").alias("created"))
+    return matters.overview(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"))
+
+
+OVERVIEW_SQL = """SELECT d.source AS matter_id, count(DISTINCT d.doc_id) AS documents, count(l.doc_id) AS answers, max(d.doc_id) AS latest
+    FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL"""
+
+
+def newest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created"), "event_type")
+    return matters.newest(log, 200).select("id", "event_type")
+
+
+def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), (F.col("user_id") % 7).alias("hits"), F.length("props").alias("characters"))
+    return matters.log_totals(log)
+
+
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities that even orders have more often than odd ones."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").alias("quantity"))
+    return matters.extra(rows.where("l_orderkey % 2 = 0").select("quantity"), rows.where("l_orderkey % 2 = 1").select("quantity"))
+
+
+def plain_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One word for another in every document, where it stands once."""
+    docs = documents(spark, sf_dir)
+    wanted = docs.select("doc_id", F.lit(" outre").alias("old"), F.lit(" neu").alias("new"), F.lit(False).alias("all"))
+    return matters.revise(docs, wanted)
+
+
+REVISION_SQL = """SELECT doc_id, ' outre' AS old, ' neu' AS new, CASE WHEN n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous' ELSE 'applied' END AS status
+    FROM (SELECT doc_id, (length(text) - length(replace(text, ' outre', ''))) // 6 AS n FROM documents)"""
+
+
+def label_coreference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of odd documents, looked up in a vault of the even ones."""
+    every = found(spark, sf_dir)
+    known = vault.number_values(every.where("doc_id % 2 = 0"))
+    return coreference.known_labels(every.where("doc_id % 2 = 1"), known)
+
+
+COREFERENCE_SQL = f"""SELECT DISTINCT matter_id, label_type, canonical, {SHOWN_SQL} AS label, 'exact' AS how FROM ({FOUND_SQL}) o
+    JOIN (SELECT matter_id, label_type, canonical, row_number() OVER (PARTITION BY matter_id, label_type ORDER BY d, p, canonical) AS number
+          FROM (SELECT matter_id, label_type, canonical, min(doc_id) AS d, min(s) FILTER (WHERE doc_id = first_doc) AS p
+                FROM (SELECT *, min(doc_id) OVER (PARTITION BY matter_id, label_type, canonical) AS first_doc FROM ({FOUND_SQL}) WHERE doc_id % 2 = 0) GROUP BY ALL))
+    USING (matter_id, label_type, canonical) WHERE o.doc_id % 2 = 1"""
+
+
 QUERIES = {
     "mask_documents": (mask_documents, MASK_SQL),
     "mask_standard": (mask_standard, None),
@@ -297,4 +348,10 @@ QUERIES = {
     "block_align": (block_align, None),
     "change_counts": (change_counts, None),
     "leakage_recall": (leakage, None),
+    "matter_overview": (matter_overview, OVERVIEW_SQL),
+    "newest_log": (newest_log, "SELECT event_id AS id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200)"),
+    "log_totals": (log_totals, "SELECT event_type AS tool, count(*) AS calls, sum(user_id % 7)::BIGINT AS hits, sum(length(props))::BIGINT AS characters FROM events GROUP BY ALL"),
+    "multiset_difference": (multiset_difference, "SELECT l_quantity::INT AS quantity FROM lineitem WHERE l_orderkey % 2 = 0 EXCEPT ALL SELECT l_quantity::INT FROM lineitem WHERE l_orderkey % 2 = 1"),
+    "plain_revision": (plain_revision, REVISION_SQL),
+    "label_coreference": (label_coreference, COREFERENCE_SQL),
 }

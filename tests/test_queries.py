@@ -16,7 +16,7 @@ def plain(v):
 def test_against_sql(spark, name):
     query, sql = QUERIES[name]
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents benchmark conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents benchmark conversations labels".split():
         con.sql(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
     got = query(spark, DIR)
     columns = sorted(got.columns)
