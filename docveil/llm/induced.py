@@ -16,6 +16,8 @@ import numpy as np
 
 #: Entries of all buckets that stay in memory.
 MEMORY = 1 << 22
+#: Entries of a bucket that are read together, about.
+AT_ONCE = 1 << 19
 #: Suffixes at minima that are compared at once.
 COMPARED = 1 << 16
 NONE = 32000
@@ -56,14 +58,21 @@ class Buckets:
         self.file.seek(p[0])
         return np.frombuffer(self.file.read(8 * p[1]), "<i8"), np.frombuffer(self.file.read(2 * p[1]), "<i2")
 
+    def _joined(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        loaded = [self._load(p) for p in parts]
+        return loaded[0] if len(loaded) == 1 else tuple(np.concatenate(c) for c in zip(*loaded))
+
     def pop(self, char: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The bucket's lists, in order, with those that come in meanwhile; it is empty afterwards."""
-        parts = self.parts[char]
-        while parts:
-            p = parts.pop(0)
-            if isinstance(p[0], np.ndarray):
-                self.held -= len(p[0])
-            yield self._load(p)
+        """The bucket's entries, in order, about AT_ONCE together, with those that come in meanwhile; it is empty then."""
+        while self.parts[char]:
+            parts, size = self.parts[char], 0
+            for k, p in enumerate(parts):
+                size += len(p[0]) if isinstance(p[0], np.ndarray) else p[1]
+                if size >= AT_ONCE:
+                    break
+            taken, self.parts[char] = parts[: k + 1], parts[k + 1 :]
+            self.held -= sum(len(p[0]) for p in taken if isinstance(p[0], np.ndarray))
+            yield self._joined(taken)
 
     def read(self, char: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p in reversed(self.parts[char]) if backwards else list(self.parts[char]):

@@ -21,7 +21,7 @@ from docveil.llm.common import blocks, partitions_for, released, staged, table,
 from docveil.llm.induced import suffixes
 
 #: Bytes of anchors' surroundings that are sorted together, but for a gram with more.
-SHARD = 1 << 20
+SHARD = 1 << 22
 #: Bytes of a shard beyond which its text lies on disk.
 IN_MEMORY = 1 << 26
 SEPARATOR = 255  # is in no UTF-8 text
