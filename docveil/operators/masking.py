@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.operators import filters, resolve, rules, vault
+from docveil.operators import filters, resolve, rules, terms, vault
 from docveil.operators.rules import Rule
 
 
-def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, propagation: bool = True) -> DataFrame:
+def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True) -> DataFrame:
     """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`."""
     t, c = F.col(text), F.col("candidates")
     out = rules.detect(docs, chosen, text)
@@ -17,13 +17,18 @@ def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: l
         out = out.withColumn("candidates", F.concat(c, filters.dictionary(t, entries)))
     if allow:
         out = out.withColumn("__allowed", filters.allowed(t, allow)).withColumn("candidates", filters.outside(c, F.col("__allowed"), "SOZLUK"))
+    people = any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)
+    if definitions and people:
+        out = out.withColumn("__terms", terms.definitions(t)).withColumn("candidates", terms.without_defined(c, F.col("__terms")))
+    if citations and people:
+        out = out.withColumn("__cited", terms.foreign_citations(t)).withColumn("candidates", filters.outside(c, F.col("__cited"), "SOZLUK"))
     if citations and any(r.entity == "TR_DOSYA_NO" for r in chosen):
         out = out.withColumn("candidates", filters.without_citations(t, c))
     out = out.withColumn("kept", resolve.resolve(filters.certain(c, threshold)))
-    if propagation and (entries or any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)):
+    if propagation and (entries or people):
         more = resolve.propagate(t, F.col("kept"))
         out = out.withColumn("kept", F.concat("kept", filters.outside(more, F.col("__allowed")) if allow else more)).withColumn("kept", resolve.resolve(F.col("kept")))
-    return out.withColumn("suspects", resolve.resolve(filters.suspects(c, F.col("kept"), threshold))).drop("__allowed")
+    return out.withColumn("suspects", resolve.resolve(filters.suspects(c, F.col("kept"), threshold))).drop("__allowed", "__terms", "__cited")
 
 
 def mask_documents(docs: DataFrame, chosen: list[Rule], matter: str = "source", known: DataFrame | None = None, **options) -> DataFrame:
