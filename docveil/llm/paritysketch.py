@@ -3,14 +3,19 @@
 A document's set of word shingles is hashed into blocks; a block's word is the XOR of its shingles' hashes, so two
 documents' words differ in at most as many blocks as their sets differ in shingles. In a band of set sizes, a similarity of
 at least t allows at most d differing shingles; so of the non-empty blocks in a fixed order, the first d + 1 of two linked
-documents have a word in common (pigeonhole). Spark joins documents on (band, block, word), and checks candidates on the
-whole sets.
-
-Frequent words (of a passage that many documents share) are passed over where that is safe: every document gives SPARE
-times as many blocks, and only one whose blocks are mostly frequent meets others on frequent words.
-
-Candidates in a component already need no check. So each bucket first checks its members against one of them, then
-against another, and only buckets that still hold several components check all pairs between these.
+documents have a word in common (pigeonhole). Spark joins documents on (band, block, word). Candidates are held against
+each other by their sketches, bit strings in which every shingle flips one bit and whose Hamming distance is at most the
+number of differing shingles, and then on the whole sets. Sets of fewer than FEW shingles are one band in which every
+shingle has a block of its own.
+
+Every document gives more blocks than it must, so linked documents share at least `required` keys. So pairs of a bucket
+that share fewer are not checked. And of a document's keys that others have too, in order of how many have them, only the
+first need to meet: all but one less than it must share, which is more with a larger partner than with a smaller one.
+Documents that share less with all others together drop out, and frequent words (of a passage that many documents share)
+meet only where a document has hardly any others.
+
+Candidates in a component already need no check. So each bucket first checks its members against the one that meets most
+others, then against another, and only in buckets that still hold several components the pairs between these meet.
 """
 
 from __future__ import annotations
@@ -20,24 +25,31 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import blocks, mix, partitions_for, staged, table, utf8
+from docveil.llm.common import blocks, mix, partitions_for, released, staged, table, utf8
 from docveil.llm.shingles import BLOCK, WORDS, shingles
 
 #: The similarity from which documents link, as a fraction.
 TOP, BELOW = 75, 100
 #: Largest set size over the smallest in a band.
 BAND = 2
-#: Blocks of a band for each differing shingle that its largest sets may have, and at least.
-WIDTH, LEAST_WIDTH = 1.6, 32
+#: Smaller sets give all their shingles.
+FEW = 256
+#: Blocks of a band for each differing shingle that its largest sets may have.
+WIDTH = 1.8
 #: Blocks that a document gives, for each that it must give.
 SPARE = 1.25
-#: Share of its spare keys that may be frequent in a document that is passed over in frequent buckets.
-SURE = 0.7
-#: A bucket of more documents is frequent.
-FREQUENT = 64
+#: Larger linked sets of n shingles or more share more than n over this keys. Spare blocks are SPARE - 1 of 2 / 7 of n or
+#: more, which is n / 14; the rest is room for chance.
+SURE = 20
+#: Bits of a sketch for each shingle, at least.
+SKETCH = 4
+#: A bucket counts as meeting at most so many, when the best hub is chosen.
+MEETS = 32
+#: Tables of up to so many ids are sent to all executors (8 bytes each).
+SMALL = 1_000_000
 
 
 def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,24 +58,37 @@ def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bands(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(band, is in it) of each size: band k has the sizes from BAND**k below BAND**(k + 1), and those smaller ones that
-    may link to one of them."""
+    """(band, is in it) of each size from FEW on: band k has the sizes from BAND**k below BAND**(k + 1), and those smaller
+    ones that may link to one of them."""
     own = np.floor(np.log2(np.maximum(n, 1)) / np.log2(BAND) + 1e-9).astype(np.int64)
     upper = own + 1
     reaches = n * BELOW >= TOP * BAND**upper
-    return [(own, n > 0), (upper, reaches & (n > 0))]
+    return [(own, n >= FEW), (upper, reaches & (n >= FEW))]
+
+
+def required(a, b):
+    """Keys that linked sets of these sizes (columns) share at least: of small sets, at least TOP / (TOP + BELOW) of a + b."""
+    most = F.ceil((a + b) * TOP / (TOP + BELOW))
+    return F.when(F.least(a, b) < FEW, most).otherwise(F.floor(F.least(a, b) / SURE) + 1)
+
+
+def surely(n, smaller: bool):
+    """Keys that a set of this size shares at least with each linked one, if it is the smaller or else the larger one."""
+    most = F.ceil(n * (2 * TOP) / (TOP + BELOW)) if smaller else F.ceil(n * TOP / BELOW)
+    return F.when(n < FEW, most).otherwise(F.floor((n if smaller else n * TOP / BELOW) / SURE) + 1)
 
 
 def keys(value: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Join keys (band, block and word in one hash) of documents' sorted shingles, and the document of each."""
     n = np.bincount(owner, minlength=docs)
-    out, who = [], []
+    few = (n * TOP < FEW * BELOW)[owner]  # those that may link to a set of fewer than FEW
+    out, who = [mix(value[few] ^ np.uint64(0x3C6EF372FE94F82B))], [owner[few]]
     for band, has in bands(n):
         largest = BAND ** (band + 1) - 1
         partner = np.minimum(n * BELOW // TOP, largest)
         needed = allowed(n, partner) + 1
         give = np.ceil(needed * SPARE).astype(np.int64)
-        width = np.maximum(LEAST_WIDTH, np.ceil((allowed(largest, largest) + 1) * WIDTH)).astype(np.int64)
+        width = np.ceil((allowed(largest, largest) + 1) * WIDTH).astype(np.int64)
         mine = has[owner]
         v, w = value[mine], owner[mine]
         if not len(v):
@@ -86,8 +111,6 @@ def keys(value: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, n
         lacking = np.flatnonzero((count < needed) & has)
         out.append(mix(mix(band[lacking].astype(np.uint64) + np.uint64(1 << 60))))
         who.append(lacking)
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(who)
 
 
@@ -129,7 +152,7 @@ def classes(docs: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
 
 
 def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
-    """(bucket, s1, hub): classes that share a join key with another class. hub is the smallest class there.
+    """(bucket, s1): classes that share a join key with another class.
 
     A task gives the keys of a class once, however many copies it reads. Buckets are read in order, so that a frequent
     one needs no memory.
@@ -153,7 +176,7 @@ def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by (bucket, s1), the buckets of at least two classes, once each class."""
-        held = None  # the last row, whose bucket may go on; and whether its bucket has been shown, under which hub
+        held = None  # the last row, whose bucket may go on, and whether it has been shown
         for batch in batches:
             b, s = (c.to_numpy() for c in batch.columns)
             if not len(b):
@@ -168,42 +191,68 @@ def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
             at = np.flatnonzero(first)
             run = np.cumsum(first) - 1
             size = np.diff(np.append(at, len(b)))
-            hub = s[at][run]
             show = size[run] > 1
-            if held is not None and held[2] is not None:  # the first bucket goes on from before
-                hub[run == 0] = held[2]
+            going = held is not None and held[2]
+            if going:  # the first bucket goes on from before
                 show[run == 0] = True
                 show[0] = False
-            last = run == run[-1]
-            going = hub[-1] if show[last].any() or held is not None and held[2] is not None and run[-1] == 0 else None
-            held = (b[-1:].copy(), s[-1:].copy(), going)
+            held = (b[-1:].copy(), s[-1:].copy(), bool(size[-1] > 1 or going and run[-1] == 0))
             if show.any():
-                yield pa.RecordBatch.from_arrays([pa.array(b[show]), pa.array(s[show]), pa.array(hub[show])], names=["bucket", "s1", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(b[show]), pa.array(s[show])], names=["bucket", "s1"])
 
     given = docs.select(text).mapInArrow(give, "bucket bigint, s1 bigint")
     dealt = given.repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket", "s1")
-    return staged(dealt.mapInArrow(meet, "bucket bigint, s1 bigint, hub bigint"), "buckets")
+    return staged(dealt.mapInArrow(meet, "bucket bigint, s1 bigint"), "buckets")
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit string of a power of two, at least SKETCH bits a shingle, in which every shingle flips one bit."""
+    bits = max(64, 1 << int(SKETCH * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    flips = np.bincount((mix(shingles ^ np.uint64(0xA54FF53A5F1D36F1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, the longer one folded: at most the shingles in which their sets differ."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def sets(docs: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
-    """(key, shingles array<long>) of every document."""
+    """(key, n, sketch, shingles array<long>) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, m, value, owner in _sets(batch, 1, k):
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(value)))], names=[key, "shingles"])
+                n = np.bincount(owner, minlength=m)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flips = pa.array([sketch(value[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(n.astype(np.int64)), flips, pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(value)))], names=[key, "n", "sketch", "shingles"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, sketch binary, shingles array<bigint>")
+
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, shingles array<bigint>")
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, n, m, sketch of a, sketch of b) those whose sketches are not too far apart for their sizes."""
+    for batch in batches:
+        most = allowed(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        near = [distance(x.as_py(), y.as_py()) <= d for x, y, d in zip(batch.column(4), batch.column(5), most)]
+        yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
 
 def linked(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets `of` (id, shingles) are similar enough."""
-    a = of.select(F.col("id").alias("a"), F.col("shingles").alias("__a"))
-    b = of.select(F.col("id").alias("b"), F.col("shingles").alias("__b"))
-    both = F.size(F.array_intersect("__a", "__b"))
-    near = BELOW * both >= TOP * (F.size("__a") + F.size("__b") - both)
-    return staged(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"), "links")
+    """The pairs (a, b) whose whole sets `of` (id, n, sketch, shingles) are similar enough."""
+    side = lambda x, *c: of.select(F.col("id").alias(x), *(F.col(y).alias(f"{y}_{x}") for y in c))
+    close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    close = staged(close.mapInArrow(_near, f"a {kind}, b {kind}"), "close")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    near = BELOW * both >= TOP * (F.col("n_a") + F.col("n_b") - both)
+    return staged(close.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b").where(near).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,46 +283,62 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     one = every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(key).alias("id"))
     one = staged(one, "class_ids")
     shared = buckets(docs, text, k)
-    named = staged(shared.join(one.select("s1", "id"), "s1").select("bucket", "id", "hub"), "named_buckets")
-    wanted = named.select("id").distinct()
-    of = staged(sets(docs.join(wanted.withColumnRenamed("id", key), key, "left_semi").dropDuplicates([key]), key, text, k), "sets").withColumnRenamed(key, "id")
-
-    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    sized = one.select("s1", "id", F.col("n_shingles").alias("n"))
+    named = staged(shared.join(sized, "s1").select("bucket", "id", "n"), "named_buckets")
+    released(docs.sparkSession)
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
 
-    def test(pairs: DataFrame) -> DataFrame | None:
-        """Checks those pairs that have not been; returns the components of all links so far."""
-        fresh = pairs.where("a < b").distinct()
+    def pairs(rows: DataFrame, counted: bool) -> DataFrame:
+        """(a, b) of rows (x, nx, y, ny), one a shared key; if all shared keys are there, of those that share enough."""
+        ordered = rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "ny")
+        if not counted:
+            return ordered.select("a", "b").distinct()
+        each = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+        return each.where(F.col("k") >= required(F.col("nx"), F.col("ny"))).select("a", "b")
+
+    def test(candidates: DataFrame) -> DataFrame:
+        """Checks those candidates that have not been; returns the components of all links so far."""
         for t in tested:
-            fresh = fresh.join(t, ["a", "b"], "left_anti")
-        fresh = staged(fresh, "pairs")
+            candidates = candidates.join(t, ["a", "b"], "left_anti")
+        fresh = staged(candidates, "pairs")
         tested.append(fresh)
+        ids = staged(fresh.select(F.col("a").alias(key)).union(fresh.select("b")).distinct(), "ids")
+        if ids.count() <= SMALL:
+            ids = F.broadcast(ids)
+        wanted = docs.select(key, text).join(ids, key, "left_semi")
+        of = staged(sets(wanted, key, text, k).dropDuplicates([key]), "sets").withColumnRenamed(key, "id")
         links.append(linked(fresh, of))
+        released(docs.sparkSession)
         return components(reduce(DataFrame.union, links))
 
     def split(labels: DataFrame) -> DataFrame:
         """Buckets with several components, with each member's component."""
         with_label = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = with_label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return staged(with_label.join(several.select("bucket", "size"), "bucket").select("bucket", "id", "component", "size"), "split")
-
-    hubs = one.select(F.col("s1").alias("hub"), F.col("id").alias("hub_id"))
-    labels = test(named.join(hubs, "hub").select(*ordered("id", "hub_id")))
+        return staged(with_label.join(several.select("bucket", "size"), "bucket").select("bucket", "id", "n", "component", "size"), "split")
+
+    # these two find most links with few checks; what they leave out, the last step finds
+    size = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    meets = named.join(size, "bucket").groupBy("id").agg(F.sum(F.least("size", F.lit(MEETS))).alias("meets"))
+    rank = staged(named.join(meets, "id"), "ranked_buckets")
+    first = rank.groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("meets", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
+    members = F.col("bucket"), F.col("id").alias("x"), F.col("n").alias("nx")
+    labels = test(pairs(named.select(*members).join(first, "bucket"), True))
     rest = split(labels)
-    other = rest.groupBy("bucket").agg(F.min_by("id", F.xxhash64("bucket", "id")).alias("hub_id"))
-    labels = test(rest.join(other, "bucket").select(*ordered("id", "hub_id")))
+    other = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("bucket", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
+    labels = test(pairs(rest.select(*members).join(other, "bucket"), True))
     rest = split(labels)
-    # Linked documents share more keys than the smaller one's spare ones. So one of whose keys few are frequent has met
-    # its partners elsewhere. SURE allows for a partner that is a quarter smaller; small sets have no spare keys.
-    frequent = rest.where(F.col("size") > FREQUENT)
-    sizes = every.select(F.col(key).alias("id"), "n_shingles").dropDuplicates(["id"])
-    spare = F.when(F.col("n_shingles") >= 64, F.floor(F.col("n_shingles") * (2 * (BELOW - TOP) / (BELOW + TOP) * (SPARE - 1) * SURE))).otherwise(0)
-    ruled = frequent.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "id").where(F.col("n") > spare).select("id")
-    left = rest.where(F.col("size") <= FREQUENT).union(frequent.join(ruled, "id", "left_semi").select(rest.columns))
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
-    labels = test(across.select(*ordered(F.col("x.id"), F.col("y.id"))))
+    # two linked documents' first common key is among all but one less than their common keys, for both
+    own = Window.partitionBy("id")
+    ranked = rest.withColumn("k", F.row_number().over(own.orderBy("size", "bucket"))).withColumn("m", F.count(F.lit(1)).over(own))
+    ranked = staged(ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), False) + 1), "first_keys")
+    small = ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), True) + 1)
+    x = small.select(*members, F.col("component").alias("cx"))
+    y = ranked.select(F.col("bucket").alias("by"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    in_order = F.struct("nx", "x") < F.struct("ny", "y")
+    across = x.join(y, (F.col("bucket") == F.col("by")) & (F.col("cx") != F.col("cy")) & (BELOW * F.col("nx") >= TOP * F.col("ny")) & in_order)
+    labels = test(pairs(across, False))
     mapped = one.join(labels, "id", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "id").alias("__component"))
     return every.join(mapped, ["n_shingles", "s1", "s2"], "left").select(key, "n_shingles", F.coalesce("__component", key).alias("component_id"))
 

@@ -99,9 +99,9 @@ def corpus(seed, n=400):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("seed, frequent", [(1, 64), (2, 3)])
-def test_against_every_pair(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(ps, "FREQUENT", frequent)
+@pytest.mark.parametrize("seed, few", [(1, 256), (2, 16), (3, 64)])
+def test_against_every_pair(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(ps, "FEW", few)
     rows = [*corpus(seed), (90001, None), (90002, ""), (90003, " \n")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, bucket string, component_id int")
     assert sorted(map(tuple, ps.join(df).collect())) == slow_join(rows)
