@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import blocks, mix, partitions_for, released, staged, table, utf8
+from docveil.llm.common import blocks, discarded, mix, partitions_for, released, staged, table, utf8
 from docveil.llm.shingles import BLOCK, WORDS, shingles
 
 #: The similarity from which documents link, as a fraction.
@@ -252,7 +252,9 @@ def linked(pairs: DataFrame, of: DataFrame) -> DataFrame:
     close = staged(close.mapInArrow(_near, f"a {kind}, b {kind}"), "close")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     near = BELOW * both >= TOP * (F.col("n_a") + F.col("n_b") - both)
-    return staged(close.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b").where(near).select("a", "b"), "links")
+    out = staged(close.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b").where(near).select("a", "b"), "links")
+    discarded(close)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,6 +287,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     shared = buckets(docs, text, k)
     sized = one.select("s1", "id", F.col("n_shingles").alias("n"))
     named = staged(shared.join(sized, "s1").select("bucket", "id", "n"), "named_buckets")
+    discarded(shared)
     released(docs.sparkSession)
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
@@ -304,11 +307,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         fresh = staged(candidates, "pairs")
         tested.append(fresh)
         ids = staged(fresh.select(F.col("a").alias(key)).union(fresh.select("b")).distinct(), "ids")
-        if ids.count() <= SMALL:
-            ids = F.broadcast(ids)
-        wanted = docs.select(key, text).join(ids, key, "left_semi")
-        of = staged(sets(wanted, key, text, k).dropDuplicates([key]), "sets").withColumnRenamed(key, "id")
-        links.append(linked(fresh, of))
+        wanted = docs.select(key, text).join(F.broadcast(ids) if ids.count() <= SMALL else ids, key, "left_semi")
+        of = staged(sets(wanted, key, text, k).dropDuplicates([key]), "sets")
+        links.append(linked(fresh, of.withColumnRenamed(key, "id")))
+        discarded(ids, of)
         released(docs.sparkSession)
         return components(reduce(DataFrame.union, links))
 
@@ -325,20 +327,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     first = rank.groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("meets", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
     members = F.col("bucket"), F.col("id").alias("x"), F.col("n").alias("nx")
     labels = test(pairs(named.select(*members).join(first, "bucket"), True))
+    discarded(rank)
     rest = split(labels)
     other = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("bucket", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
     labels = test(pairs(rest.select(*members).join(other, "bucket"), True))
+    discarded(rest)
     rest = split(labels)
+    discarded(named)
     # two linked documents' first common key is among all but one less than their common keys, for both
     own = Window.partitionBy("id")
     ranked = rest.withColumn("k", F.row_number().over(own.orderBy("size", "bucket"))).withColumn("m", F.count(F.lit(1)).over(own))
     ranked = staged(ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), False) + 1), "first_keys")
+    discarded(rest)
     small = ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), True) + 1)
     x = small.select(*members, F.col("component").alias("cx"))
     y = ranked.select(F.col("bucket").alias("by"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
     in_order = F.struct("nx", "x") < F.struct("ny", "y")
     across = x.join(y, (F.col("bucket") == F.col("by")) & (F.col("cx") != F.col("cy")) & (BELOW * F.col("nx") >= TOP * F.col("ny")) & in_order)
     labels = test(pairs(across, False))
+    discarded(ranked, *tested, *links)
+    released(docs.sparkSession)
     mapped = one.join(labels, "id", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "id").alias("__component"))
     return every.join(mapped, ["n_shingles", "s1", "s2"], "left").select(key, "n_shingles", F.coalesce("__component", key).alias("component_id"))
 
