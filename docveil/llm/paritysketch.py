@@ -46,8 +46,11 @@ SPARE = 1.25
 SURE = 20
 #: Bits of a sketch for each shingle, at least.
 SKETCH = 4
-#: A bucket counts as meeting at most so many, when the best hub is chosen.
-MEETS = 32
+#: Bits of the folded sketch that rows carry into the join of first keys, and the names of its 64-bit words.
+FOLDED = 512
+FLIPS = [f"f{j}" for j in range(FOLDED // 64)]
+#: Chooses a shingle's bit.
+FLIP = np.uint64(0xA54FF53A5F1D36F1)
 #: Tables of up to so many ids are sent to all executors (8 bytes each).
 SMALL = 1_000_000
 
@@ -137,18 +140,19 @@ def _signatures(value: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.nda
 
 
 def classes(docs: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
-    """(key, n_shingles, s1, s2): documents with equal sets have equal s1 and s2."""
+    """(key, n_shingles, s1, s2, f0 ... f7): documents with equal sets have equal s1 and s2; the words f are a sketch of
+    FOLDED bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, m, value, owner in _sets(batch, 1, k):
                 s1, s2 = _signatures(value, owner, m)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, m), pa.array(np.bincount(owner, minlength=m).astype(np.int64)), pa.array(signed(s1)), pa.array(signed(s2))],
-                    names=[key, "n_shingles", "s1", "s2"],
-                )
+                n = np.bincount(owner, minlength=m).astype(np.int64)
+                words = (pa.array(w) for w in folded(value, owner, m))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), *words], names=[key, "n_shingles", "s1", "s2", *FLIPS])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles bigint, s1 bigint, s2 bigint")
+    words = ", ".join(f"{f} bigint" for f in FLIPS)
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles bigint, s1 bigint, s2 bigint, {words}")
 
 
 def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
@@ -159,6 +163,7 @@ def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
     """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each class, with all its keys."""
         given: set[int] = set()
         for batch in batches:
             for _, m, value, owner in _sets(batch, 0, k):
@@ -172,7 +177,9 @@ def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
                     given.clear()
                 mine = fresh[owner]
                 key, who = keys(value[mine], owner[mine], m)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(s1)[who])], names=["bucket", "s1"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=m))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(key)[np.argsort(who, kind="stable")]))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s1)), lists], names=["s1", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by (bucket, s1), the buckets of at least two classes, once each class."""
@@ -200,15 +207,22 @@ def buckets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
             if show.any():
                 yield pa.RecordBatch.from_arrays([pa.array(b[show]), pa.array(s[show])], names=["bucket", "s1"])
 
-    given = docs.select(text).mapInArrow(give, "bucket bigint, s1 bigint")
+    given = docs.select(text).mapInArrow(give, "s1 bigint, keys array<bigint>").select(F.explode("keys").alias("bucket"), "s1")
     dealt = given.repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket", "s1")
-    return staged(dealt.mapInArrow(meet, "bucket bigint, s1 bigint"), "buckets")
+    return dealt.mapInArrow(meet, "bucket bigint, s1 bigint")
+
+
+def folded(value: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """The sketches of documents' shingles, folded to FOLDED bits: one row of int64 for each of FLIPS."""
+    bit = (mix(value ^ FLIP) & np.uint64(FOLDED - 1)).astype(np.int64)
+    flips = (np.bincount(owner * FOLDED + bit, minlength=docs * FOLDED) & 1).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(flips.reshape(docs, FOLDED), axis=1).view(np.int64).T)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
     """A bit string of a power of two, at least SKETCH bits a shingle, in which every shingle flips one bit."""
     bits = max(64, 1 << int(SKETCH * len(shingles) - 1).bit_length()) if len(shingles) else 64
-    flips = np.bincount((mix(shingles ^ np.uint64(0xA54FF53A5F1D36F1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    flips = np.bincount((mix(shingles ^ FLIP) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
@@ -282,12 +296,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     repeat a key are rows of their own.
     """
     every = staged(classes(docs, key, text, k), "classes")
-    one = every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(key).alias("id"))
+    one = every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(key).alias("id"), *(F.min(f).alias(f) for f in FLIPS))
     one = staged(one, "class_ids")
-    shared = buckets(docs, text, k)
     sized = one.select("s1", "id", F.col("n_shingles").alias("n"))
-    named = staged(shared.join(sized, "s1").select("bucket", "id", "n"), "named_buckets")
-    discarded(shared)
+    # whoever shares fewer keys with all others together than it must share with one has no links
+    shares = F.count(F.lit(1)).over(Window.partitionBy("s1"))
+    named = buckets(docs, text, k).join(sized, "s1").withColumn("m", shares).where(F.col("m") >= surely(F.col("n"), False)).select("bucket", "id", "n", "m")
+    named = staged(named, "named_buckets")
     released(docs.sparkSession)
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
@@ -314,36 +329,37 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
         released(docs.sparkSession)
         return components(reduce(DataFrame.union, links))
 
-    def split(labels: DataFrame) -> DataFrame:
-        """Buckets with several components, with each member's component."""
-        with_label = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def split(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Of rows (bucket, id, n) the buckets with several components, with each member's component."""
+        with_label = rows.select("bucket", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = with_label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
         return staged(with_label.join(several.select("bucket", "size"), "bucket").select("bucket", "id", "n", "component", "size"), "split")
 
+    def with_hub(rows: DataFrame, order) -> DataFrame:
+        """(x, nx, y, ny): each member of a bucket with the bucket's last one by `order`."""
+        hub = rows.groupBy("bucket").agg(F.max_by(F.struct("id", "n"), order).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
+        return rows.select("bucket", F.col("id").alias("x"), F.col("n").alias("nx")).join(hub, "bucket")
+
     # these two find most links with few checks; what they leave out, the last step finds
-    size = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    meets = named.join(size, "bucket").groupBy("id").agg(F.sum(F.least("size", F.lit(MEETS))).alias("meets"))
-    rank = staged(named.join(meets, "id"), "ranked_buckets")
-    first = rank.groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("meets", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
-    members = F.col("bucket"), F.col("id").alias("x"), F.col("n").alias("nx")
-    labels = test(pairs(named.select(*members).join(first, "bucket"), True))
-    discarded(rank)
-    rest = split(labels)
-    other = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("bucket", "id")).alias("hub")).select("bucket", F.col("hub.id").alias("y"), F.col("hub.n").alias("ny"))
-    labels = test(pairs(rest.select(*members).join(other, "bucket"), True))
-    discarded(rest)
-    rest = split(labels)
+    labels = test(pairs(with_hub(named, F.struct(F.col("m") / F.col("n"), "id")), True))
+    rest = split(named, labels)
     discarded(named)
+    labels = test(pairs(with_hub(rest, -F.xxhash64("bucket", "id")), True))
+    rest, before = split(rest, labels), rest
+    discarded(before)
     # two linked documents' first common key is among all but one less than their common keys, for both
     own = Window.partitionBy("id")
     ranked = rest.withColumn("k", F.row_number().over(own.orderBy("size", "bucket"))).withColumn("m", F.count(F.lit(1)).over(own))
-    ranked = staged(ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), False) + 1), "first_keys")
+    ranked = ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), False) + 1).join(one.select("id", *FLIPS), "id")
+    ranked = staged(ranked, "first_keys")
     discarded(rest)
     small = ranked.where(F.col("k") <= F.col("m") - surely(F.col("n"), True) + 1)
-    x = small.select(*members, F.col("component").alias("cx"))
-    y = ranked.select(F.col("bucket").alias("by"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    x = small.select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *FLIPS)
+    y = ranked.select(F.col("bucket").alias("by"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), *(F.col(f).alias(f"{f}y") for f in FLIPS))
     in_order = F.struct("nx", "x") < F.struct("ny", "y")
-    across = x.join(y, (F.col("bucket") == F.col("by")) & (F.col("cx") != F.col("cy")) & (BELOW * F.col("nx") >= TOP * F.col("ny")) & in_order)
+    most = F.floor((F.col("nx") + F.col("ny")) * (BELOW - TOP) / (BELOW + TOP))
+    near = reduce(lambda p, q: p + q, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}y"))) for f in FLIPS]) <= most
+    across = x.join(y, (F.col("bucket") == F.col("by")) & (F.col("cx") != F.col("cy")) & (BELOW * F.col("nx") >= TOP * F.col("ny")) & in_order & near)
     labels = test(pairs(across, False))
     discarded(ranked, *tested, *links)
     released(docs.sparkSession)
