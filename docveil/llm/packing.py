@@ -100,10 +100,11 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
     return df.select(F.col(id_col), F.col(text)).mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Shortest-pack-first: rows (length, first rank, ranks, first sequence, offset).
+def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Shortest-pack-first: rows (length, first rank, stride, ranks, times, first sequence, offset).
 
-    The pieces of that length with those ranks go, in order, to consecutive sequences at that offset.
+    For k < times the pieces of that length with `ranks` ranks from first rank + k * stride on go, in order, to consecutive
+    sequences at offset + k * length. Where no pack has room, just as many are opened as the length's pieces fill.
     """
     packs: list[tuple[int, int, int, int, tuple]] = []  # (-room, order, packs, first sequence, items)
     order = sequences = 0
@@ -111,25 +112,43 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
-            if packs and -packs[0][0] >= length:
-                room, _, many, first, items = heapq.heappop(packs)
-                room = -room
-            else:
-                room, many, first, items = capacity, left, sequences, ()
-                sequences += left
-            take = min(left, many)
-            if take < many:  # the packs that get none keep their pattern, from a later rank on
+            if not packs or -packs[0][0] < length:
+                many = -(-left // (capacity // length))
                 order += 1
-                later = tuple((n, r + take, o) for n, r, o in items)
-                heapq.heappush(packs, (-room, order, many - take, first + take, later))
-            order += 1
-            entry = (length - room, order, take, first, (*items, (length, rank, capacity - room)))
-            if room > length:
-                heapq.heappush(packs, entry)
-            else:
-                done.append(entry)
-            rank, left = rank + take, left - take
-    return [(n, r, many, first, o) for _, _, many, first, items in [*packs, *done] for n, r, o in items]
+                heapq.heappush(packs, (-capacity, order, many, sequences, ()))
+                sequences += many
+            # packs whose rooms differ by less than a piece take pieces in turn
+            turn, total, least = [], 0, max(length, 1 - packs[0][0] - length)
+            while total < left and packs and -packs[0][0] >= least:
+                turn.append(heapq.heappop(packs))
+                total += turn[-1][2]
+            room = -turn[-1][0]
+            times = min(left // total, room // length)
+            if packs:  # until a pack outside has as much room
+                times = min(times, -(-(room + packs[0][0]) // length))
+            times = max(1, times)
+            for room, _, many, first, items in turn:
+                room, take = -room, min(left, many)
+                if take < many:  # the packs that get none keep their pattern, from a later rank on
+                    order += 1
+                    later = tuple((n, r + take, s, t, o) for n, r, s, t, o in items)
+                    heapq.heappush(packs, (-room, order, many - take, first + take, later))
+                order += 1
+                entry = (times * length - room, order, take, first, (*items, (length, rank, take, times, capacity - room)))
+                if room > times * length:
+                    heapq.heappush(packs, entry)
+                else:
+                    done.append(entry)
+                rank, left = rank + take * times, left - take * times
+    return [(n, r, s, many, t, first, o) for _, _, many, first, items in [*packs, *done] for n, r, s, t, o in items]
+
+
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """runs one by one: rows (length, first rank, ranks, first sequence, offset).
+
+    The pieces of that length with those ranks go, in order, to consecutive sequences at that offset.
+    """
+    return [(n, r + k * s, many, first, o + k * n) for n, r, s, many, t, first, o in runs(histogram, capacity) for k in range(t)]
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
@@ -141,7 +160,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("a length is outside of 1 to the capacity")
-    slots = spark.createDataFrame(patterns(counts, capacity), "length bigint, first_rank bigint, ranks bigint, first_sequence bigint, offset bigint")
+    kind = "length bigint, first_rank bigint, stride bigint, ranks bigint, times bigint, first_sequence bigint, offset bigint"
+    slots = spark.createDataFrame(runs(counts, capacity), kind)
     # ranks within a length, in salted groups so that a frequent length is not one task
     salts = max(1, -(-sum(counts.values()) // RANKED))
     order = [*keys, *sorted(c for c in rows.columns if c not in (*keys, "length"))]
@@ -153,9 +173,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
     ranked = salted.withColumn("__rank", F.row_number().over(within)).join(sizes, ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
     # slots are bounded by the capacity: at most two patterns are opened for each length
-    fits = (ranked["length"] == slots["length"]) & ranked["__rank"].between(slots["first_rank"], slots["first_rank"] + slots["ranks"] - 1)
-    out = ranked.join(F.broadcast(slots), fits).withColumn("sequence_id", slots["first_sequence"] + ranked["__rank"] - slots["first_rank"])
-    return out.select(*(ranked[c] for c in rows.columns), "sequence_id", slots["offset"])
+    past = ranked["__rank"] - slots["first_rank"]
+    at, turn = past % slots["stride"], F.floor(past / slots["stride"])
+    fits = (ranked["length"] == slots["length"]) & (past >= 0) & (past < slots["stride"] * slots["times"]) & (at < slots["ranks"])
+    out = ranked.join(F.broadcast(slots), fits).withColumn("sequence_id", slots["first_sequence"] + at)
+    out = out.withColumn("__offset", slots["offset"] + turn * slots["length"])
+    return out.select(*(ranked[c] for c in rows.columns), "sequence_id", F.col("__offset").alias("offset"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,24 @@ def test_patterns_cover_each_rank_once(seed):
     assert packing.patterns({}, capacity) == []
 
 
+@pytest.mark.parametrize(
+    "histogram",
+    [{100: 1000}, {1: 100_000}, {7: 50_000, 5: 3}, {1: 20_000, 30: 20_000, 41: 20_000}, {4096: 10, 3000: 50, 100: 90_000, 1: 45_000}],
+)
+def test_hot_short_lengths_share_sequences(histogram):
+    rows = [(n, first + i, o) for n, _, many, first, o in packing.patterns(histogram) for i in range(many)]
+    assert len(rows) == sum(histogram.values())
+    assert check(rows, 4096) <= 1 + 1.03 * sum(n * c for n, c in histogram.items()) / 4096
+    assert len(packing.runs(histogram)) <= 20
+
+
+def test_hot_short_lengths_in_spark(spark):
+    data = [(i, 0, 1 if i % 3 == 0 else 5) for i in range(900)]
+    out = packing.pack(spark.createDataFrame(data, "doc_id long, start long, length long"), 64).collect()
+    assert len(out) == 900 and {r.doc_id for r in out} == set(range(900))
+    assert check([(r["length"], r.sequence_id, r.offset) for r in out], 64) <= 1.03 * -(-3300 // 64)
+
+
 def test_salted_ranks(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 50)
     rng = random.Random(1)
