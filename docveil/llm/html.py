@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
 Every element subtree is hashed; Spark counts on how many pages of a host each hash occurs; subtrees that recur across many
-pages of their host are deleted. Elements that say by tag, role or class that they are no article go as well. Prose in
-an element that a page declares to be its article stays even if it recurs: copied articles are not a site's template.
+pages of their host are deleted, wherever they are. Pages with the same prose count once for a subtree of prose: what recurs
+with always the same rest is a copied article, not a site's template. Elements that say by tag, role or class that they are
+no article go as well. Of what is left, declared articles are the text unless there is more prose outside of them.
 """
 
 from __future__ import annotations
@@ -65,12 +66,18 @@ class Node:
 
 @dataclass
 class Page:
-    """Blocks of text, which of them are in a declared article, and the subtrees (hash, first block, end, is prose)."""
+    """Blocks of text, which of them are in a declared article, how much of them is not links, and the subtrees (hash,
+    first block, end, is prose)."""
 
     blocks: list[str] = field(default_factory=list)
     articles: list[bool] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)
     subtrees: list[tuple[int, int, int, bool]] = field(default_factory=list)
 
+    def body(self) -> int:
+        """A hash of the page's blocks that are not mostly links."""
+        return xxhash.xxh3_64_intdigest("\0".join(b for b, n in zip(self.blocks, self.plain) if 2 * n > len(b)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
 
 def marked(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element says that it is no article; inside an article a header belongs to it."""
@@ -93,30 +100,32 @@ def marked(tag: str, attrs: str, inside: bool) -> bool:
 
 def parse(html: str) -> Page:
     """A page's blocks outside of dropped elements. Unclosed elements end with those around them."""
-    page, stack, text, links = Page(), [Node("", False, False, 0)], [], 0
+    page, stack, text, links, plain = Page(), [Node("", False, False, 0)], [], 0, 0
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, plain
         if text:
             block = SPACE.sub(" ", unescape("".join(text))).strip()
             if block:
                 top = stack[-1]
                 page.blocks.append(block)
                 page.articles.append(top.article)
-            text = []
+                page.plain.append(plain)
+            text, plain = [], 0
 
     def close() -> None:
         node = stack.pop()
         if node.size and not node.dropped:
             digest = xxhash.xxh3_64_intdigest(node.tag.encode() + b"\0" + b"\1".join(node.parts))
             if node.tag in BLOCK:
-                prose = node.article and 2 * node.linked < node.size
+                prose = 2 * node.linked < node.size
                 page.subtrees.append((digest - (1 << 63), node.first, len(page.blocks), prose))
             stack[-1].parts.append(digest.to_bytes(8, "little"))
             stack[-1].size += node.size
             stack[-1].linked += node.linked
 
     def say(raw: str) -> None:
+        nonlocal plain
         top = stack[-1]
         if raw and not top.dropped:
             text.append(raw)
@@ -125,6 +134,7 @@ def parse(html: str) -> Page:
                 top.parts.append(shown.encode("utf-8", "surrogatepass"))
                 top.size += len(shown)
                 top.linked += len(shown) if links else 0
+                plain += 0 if links else len(shown)
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -172,13 +182,17 @@ def parse(html: str) -> Page:
 
 
 def main_text(page: Page, templates: set[int]) -> str:
-    """The blocks of a page's articles (of the whole page, if it declares none) outside of template subtrees."""
-    keep = page.articles if any(page.articles) else [True] * len(page.blocks)
+    """The blocks outside of template subtrees: those of the page's articles, or all if there is more prose outside of these."""
     gone = set()
-    for digest, first, end, prose in page.subtrees:
-        if digest in templates and not prose:
+    for digest, first, end, _ in page.subtrees:
+        if digest in templates:
             gone.update(range(first, end))
-    return "\n\n".join(b for i, b in enumerate(page.blocks) if keep[i] and i not in gone)
+    left = [i for i in range(len(page.blocks)) if i not in gone]
+    inside = [i for i in left if page.articles[i]]
+    prose = sum(page.plain[i] for i in inside)
+    if not inside or 2 * prose < sum(page.plain[i] for i in left):
+        inside = left
+    return "\n\n".join(page.blocks[i] for i in inside)
 
 
 def host(url: str = "url") -> Column:
@@ -188,17 +202,24 @@ def host(url: str = "url") -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, host, subtree): the distinct hashes of a page's element subtrees outside of dropped elements."""
+    """(page_id, host, subtree, prose, body): the distinct hashes of a page's element subtrees outside of dropped elements,
+    and the hash of its prose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows = [(i, d) for i, h in enumerate(part.column(2).to_pylist()) if h for d in {s[0] for s in parse(h).subtrees if not s[3]}]
+                rows = []
+                for i, h in enumerate(part.column(2).to_pylist()):
+                    if h:
+                        page = parse(h)
+                        body = page.body()
+                        rows += [(i, d, p, body) for d, p in {(s[0], s[3]) for s in page.subtrees}]
                 at = pa.array([r[0] for r in rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "host", "subtree"])
+                hashes = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.bool_()), (3, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *hashes], names=["page_id", "host", "subtree", "prose", "body"])
 
-    return pages.select("page_id", host().alias("host"), "html").mapInArrow(run, "page_id bigint, host string, subtree bigint")
+    return pages.select("page_id", host().alias("host"), "html").mapInArrow(run, "page_id bigint, host string, subtree bigint, prose boolean, body bigint")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -206,11 +227,15 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
 
     Blocks are separated by two line ends; character references are decoded; white space in a block is one space.
     """
-    found = subtrees(pages)
+    found = staged(subtrees(pages), "subtrees")
     sizes = pages.groupBy(host().alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    counted = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counted.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share)
-    frequent = staged(frequent.select("host", "subtree"), "templates")
+    # prose: by pages of different prose
+    bodies = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
+    by_body = found.groupBy("host", "subtree", "prose", F.when(F.col("prose"), F.col("body")).alias("body")).agg(F.count(F.lit(1)).alias("n"))
+    counted = by_body.groupBy("host", "subtree", "prose").agg(F.when(F.col("prose"), F.count(F.lit(1))).otherwise(F.sum("n")).alias("n"))
+    of = F.when(F.col("prose"), F.col("bodies")).otherwise(F.col("pages"))
+    frequent = counted.where(F.col("n") >= least_pages).join(sizes, "host").join(bodies, "host").where(F.col("n") >= of * least_share)
+    frequent = staged(frequent.select("host", "subtree").distinct(), "templates")
     # a page's template subtrees: no more than it has elements
     per_page = found.join(frequent, ["host", "subtree"], "left_semi").groupBy("page_id", "host").agg(F.collect_set("subtree").alias("templates"))
     marked_pages = pages.select("page_id", "url", "html", host().alias("host")).join(staged(per_page, "page_templates"), ["page_id", "host"], "left")

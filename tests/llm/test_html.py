@@ -47,6 +47,23 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in out} == {"The same article"} and len(out) == 9
 
 
+def extracted(spark, rows):
+    rows = [(i, "http://d/", h) for i, h in enumerate(rows)]
+    return [r.text for r in sorted(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_templates_within_articles(spark):
+    rows = [f"<main><div>Get our letter each day</div><article><p>By the staff</p><p>Story {i} tells a lot</p></article><p>All rights</p></main>" for i in range(9)]
+    rows += ["<main><div>Get our letter each day</div><article><p>Copied story</p><p>in two parts</p></article><p>All rights</p></main>"] * 9
+    assert extracted(spark, rows) == [f"Story {i} tells a lot" for i in range(9)] + ["Copied story\n\nin two parts"] * 9
+
+
+def test_story_outside_of_teasers(spark):
+    rows = [f"<div><p>Story {i} tells at length what {i} did</p></div><article><p>Read this next</p></article><article><p>Teaser {i}</p></article>" for i in range(9)]
+    for i, text in enumerate(extracted(spark, rows)):
+        assert text.startswith(f"Story {i} tells at length what {i} did") and "Read this next" not in text
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     out = html.op1(spark, sf_dir).collect()
