@@ -3,24 +3,26 @@
 Every string of SPAN bytes belongs to an anchor inside it (see `anchors`), so all its copies belong to anchors with the same
 gram. Spark gathers anchors by gram. Where the bytes around two anchors are the same, by their hashes, all strings of the
 later one are copies. The bytes around those that differ are gathered in shards, by gram, and their suffixes are sorted by
-external induced sorting; suffixes with SPAN bytes in common are copies of the earliest.
+external induced sorting; suffixes with SPAN bytes in common are copies of the earliest. A gram with more surroundings than
+a shard holds is split before, level by level, by what its windows have around the anchor.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.llm.anchors import BLOCK, SPAN, anchors
-from docveil.llm.common import blocks, partitions_for, released, staged, table, utf8
+from docveil.llm.common import blocks, discarded, partitions_for, released, staged, table, utf8
 from docveil.llm.induced import suffixes
 
-#: Bytes of anchors' surroundings that are sorted together, but for a gram with more.
+#: Bytes of anchors' surroundings that are sorted together, about.
 SHARD = 1 << 22
 #: Bytes of a shard beyond which its text lies on disk.
 IN_MEMORY = 1 << 26
@@ -221,6 +223,50 @@ def sorted_copies(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, first bigint, end bigint")
 
 
+def larger(rows: DataFrame, size: Column) -> DataFrame:
+    """(gram) of those whose surroundings, with a separator each, are more than a shard."""
+    return staged(rows.groupBy("gram").agg(F.sum(size + 1).alias("n")).where(F.col("n") > SHARD).select("gram"), "larger")
+
+
+def halved(rows: DataFrame, width: int) -> DataFrame:
+    """rows (gram, key, packed, bytes) cut by windows: those with the anchor in the same `width` places stay together, and
+    the gram becomes a hash of it, these places and all bytes that windows with the anchor there have in common."""
+    last = F.col("packed").bitwiseAND(255)  # the anchor's place in the first window, and in the last one
+    least = last - F.shiftright("packed", 8).bitwiseAND(255) + 1
+    low = F.transform(F.sequence(F.floor(least / width), F.floor(last / width)), lambda c: c * width)
+    cut = rows.withColumn("__last", last).withColumn("__least", least).withColumn("__low", F.explode(low))
+    top, low = F.least("__last", F.col("__low") + width - 1), F.greatest("__least", "__low")
+    cut = cut.withColumn("__skip", F.col("__last") - top).withColumn("__windows", top - low + 1).withColumn("__top", top)
+    shared = F.substring("bytes", (F.col("__last") - F.col("__low") + 1).cast("int"), F.lit(SPAN - width + 1))
+    return cut.select(
+        F.xxhash64("gram", F.lit(width), "__low", shared).alias("gram"),
+        "key",
+        F.shiftleft(F.shiftright("packed", 16) + F.col("__skip"), 16).bitwiseOR(F.shiftleft(F.col("__windows"), 8)).bitwiseOR(F.col("__top")).alias("packed"),
+        F.substring("bytes", (F.col("__skip") + 1).cast("int"), (F.col("__windows") + SPAN - 1).cast("int")).alias("bytes"),
+    )
+
+
+def split_copies(rows: DataFrame) -> list[DataFrame]:
+    """Tables of (key, first, end) of copies among surroundings (gram, key, packed, bytes) of grams larger than a shard.
+    What still is larger when its windows have the anchor in one place is one window, found again and again."""
+    out, held, width = [], None, 64
+    while True:
+        halves = staged(halved(rows, width), "halves")
+        if held is not None:
+            discarded(held)
+        rows = held = halves
+        if width == 1:
+            place = F.struct("key", F.shiftright("packed", 16).alias("first"))
+            earliest = rows.groupBy("gram", "bytes").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            later = rows.join(earliest, ["gram", "bytes"]).where(place > F.col("earliest"))
+            return [*out, staged(later.select("key", F.shiftright("packed", 16).alias("first"), (F.shiftright("packed", 16) + SPAN).alias("end")), "copies")]
+        hot = larger(rows, F.length("bytes"))
+        if hot.isEmpty():
+            return [*out, staged(sorted_copies(rows), "copies")]
+        out.append(staged(sorted_copies(rows.join(_bounded(hot), "gram", "left_anti")), "copies"))
+        rows, width = rows.join(_bounded(hot), "gram", "left_semi"), width // 2
+
+
 def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters: bool) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept) of every document, without the bytes in spans (key, first, end); with
     `characters`, kept is also without what is left of characters that were cut in two."""
@@ -271,9 +317,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters:
     found = staged(compared(gathered(docs, key, text)), "anchors")
     released(docs.sparkSession)
     whole = found.where("gram is null").select("key", F.shiftright("packed", 16).alias("first"), (F.shiftright("packed", 16) + F.shiftright("packed", 8).bitwiseAND(255) + SPAN - 1).alias("end"))
-    partly = staged(sorted_copies(surroundings(docs, found.where("gram is not null"), key, text)), "copies")
+    different, split = found.where("gram is not null"), []
+    hot = larger(different, F.shiftright("packed", 8).bitwiseAND(255) + SPAN - 1)
+    if not hot.isEmpty():
+        split = split_copies(surroundings(docs, different.join(_bounded(hot), "gram", "left_semi"), key, text))
+        different = different.join(_bounded(hot), "gram", "left_anti")
+        released(docs.sparkSession)
+    partly = staged(sorted_copies(surroundings(docs, different, key, text)), "copies")
     released(docs.sparkSession)
-    return removed(docs, whole.union(partly), key, text, characters)
+    return removed(docs, reduce(DataFrame.union, [partly, *split], whole), key, text, characters)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,23 @@ def test_against_all_strings(spark, monkeypatch, seed, small):
     assert shown(suffixdedup.dedup(df)) == slow(rows)
 
 
+@pytest.mark.parametrize("limit", [20000, 1000])
+def test_hot_gram_is_split(spark, monkeypatch, limit):
+    class Bounded(suffixdedup.Shard):
+        def copies(self):
+            assert self.size <= 2 * limit + 400
+            return super().copies()
+
+    monkeypatch.setattr(suffixdedup, "SHARD", limit)
+    monkeypatch.setattr(suffixdedup, "Shard", Bounded)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+    lines, lefts, rights = [word(60), word(120)], [word(60) for _ in range(5)], [word(70) for _ in range(5)]
+    pick = lambda some: rng.choice(some) if rng.random() < 0.3 else word(rng.randint(0, 150))
+    rows = [(i, pick(lefts) + rng.choice(lines) + pick(rights)) for i in rng.sample(range(5000), 500)]
+    assert shown(suffixdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == slow(rows)
+
+
 def test_edge_rows(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(300000))
