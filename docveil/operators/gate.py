@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,38 +61,76 @@ def name_forms(label_type: str, value: str) -> list[str]:
     return list(dict.fromkeys([value, f"{words[0]} {words[-1]}", f"{words[0][0]}. {words[-1]}", words[-1]]))
 
 
+def value_key(label_type: str, value: str) -> str:
+    """A key that text_keys gives of each text in which a value's pattern is: a number's first digits, else the longest word."""
+    plain, _ = normalised(value)
+    if label_type in NUMBERS:
+        digits = re.sub(r"[^0-9a-z]", "", plain)
+        if label_type == "TELEFON":
+            digits = re.sub("^(0090|90|0)(?=[2-5][0-9]{9}$)", "", digits)
+        return "#" + digits[:DIGITS]
+    return max(re.findall(r"[^\W_]+", plain), key=len, default="")
+
+
+def text_keys(text: str) -> set[str]:
+    plain, _ = normalised(text)
+    keys = {"", *re.findall(r"[^\W_]+", plain)}
+    for m in re.finditer(r"(?<![0-9a-z])(?=([0-9a-z](?:[ ()./-]*[0-9a-z]){5,9}))", plain):
+        digits = re.sub(r"[^0-9a-z]", "", m[1])
+        keys |= {"#" + digits[len(head) : len(head) + DIGITS] for head in ("", "0090", "90", "0") if digits.startswith(head)}
+    return keys
+
+
+@lru_cache(100_000)
+def _compiled(label_type: str, form: str) -> re.Pattern:
+    return re.compile(value_pattern(label_type, form))
+
+
 def gate(outgoing: DataFrame, values: DataFrame) -> DataFrame:
     """(out_id, label_type, label, hits, cleaned): vault values (matter_id, label_type, label, value) that outgoing texts
     (out_id, matter_id, text) still show, and the text with labels instead; cleaned is null on all but a text's first row.
     Longer values are looked for first. A last name that several labels share is looked for, too.
 
-    A matter's values meet its texts as one array, the size of its vault; texts of other matters are not touched.
+    Values and texts of a matter meet by value_key; a text is searched for the values that meet it.
     """
-    by_matter = values.groupBy("matter_id").agg(F.sort_array(F.collect_set(F.struct("label_type", "label", "value"))).alias("__values"))
-    rows = outgoing.select("out_id", "matter_id", "text").join(by_matter, "matter_id", "left").select("out_id", "text", F.coalesce("__values", F.array()).cast("array<struct<label_type:string,label:string,value:string>>").alias("vault"))
+    matter = outgoing.schema["matter_id"].dataType.simpleString()
+    kept = values.where("matter_id is not null and value is not null").select("matter_id", "label_type", "label", "value").distinct()
+
+    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(m, value_key(t, f), f, t, n) for m, t, n, v in frame.itertuples(index=False) for f in name_forms(t, v) if value_pattern(t, f)]
+            yield pd.DataFrame(rows, columns=["matter_id", "key", "form", "label_type", "label"])
+
+    keyed = kept.mapInPandas(forms, f"matter_id {values.schema['matter_id'].dataType.simpleString()}, key string, form string, label_type string, label string").distinct()
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), 200):
+                part = frame[lo : lo + 200]
+                rows = [(m, d, k) for m, t, d in part.itertuples(index=False) for k in text_keys(t)]
+                yield pd.DataFrame(rows, columns=["matter_id", "digest", "key"])
+
+    rows = outgoing.where("matter_id is not null and text is not null").select("out_id", "matter_id", "text", F.sha2("text", 256).alias("digest"))
+    met = rows.select("matter_id", "text", "digest").mapInPandas(keys, f"matter_id {matter}, digest string, key string").join(keyed, ["matter_id", "key"])
+    near = met.groupBy("matter_id", "digest").agg(F.collect_set(F.struct("form", "label_type", "label")).alias("near"))
+    rows = rows.join(near, ["matter_id", "digest"]).select("out_id", "text", "near")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[tuple, list] = {}
         for frame in frames:
             out = []
-            for out_id, text, vault in zip(frame["out_id"], frame["text"], frame["vault"]):
-                key = tuple((v["label_type"], v["label"], v["value"]) for v in vault)
-                if key not in memo:
-                    memo.clear()
-                    forms = {(f, t, n) for t, n, v in key for f in name_forms(t, v)}
-                    memo[key] = [(re.compile(p), t, n) for f, t, n in sorted(forms, key=lambda x: (-len(x[0]), x)) if (p := value_pattern(t, f))]
-                plain, places = normalised(text or "")
+            for out_id, text, near in zip(frame["out_id"], frame["text"], frame["near"]):
+                plain, places = normalised(text)
                 taken, found = [], {}
-                for pattern, t, n in memo[key]:
-                    for m in pattern.finditer(plain):
+                for f, t, n in sorted(((v["form"], v["label_type"], v["label"]) for v in near), key=lambda x: (-len(x[0]), x)):
+                    for m in _compiled(t, f).finditer(plain):
                         if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
                             taken.append((m.start(), m.end(), n))
                             found[t, n] = found.get((t, n), 0) + 1
                 clean, at = [], 0
                 for a, b, n in sorted(taken):
-                    clean += [(text or "")[at : places[a]], n]
+                    clean += [text[at : places[a]], n]
                     at = places[b - 1] + 1
-                clean.append((text or "")[at:])
+                clean.append(text[at:])
                 out += [(out_id, t, n, k, "".join(clean) if i == 0 else None) for i, ((t, n), k) in enumerate(sorted(found.items()))]
             yield pd.DataFrame(out, columns=["out_id", "label_type", "label", "hits", "cleaned"])
 
