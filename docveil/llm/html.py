@@ -1,9 +1,13 @@
 """Main text of web pages by site template removal.
 
-Every element subtree is hashed; Spark counts on how many pages of a host each hash occurs; subtrees that recur across many
-pages of their host are deleted, wherever they are. Pages with the same prose count once for a subtree of prose: what recurs
-with always the same rest is a copied article, not a site's template. Elements that say by tag, role or class that they are
-no article go as well. Of what is left, declared articles are the text unless there is more prose outside of them.
+Every element subtree is hashed twice: with its text, and as a skeleton of tags, classes and links at its place in the page, in
+which runs of like children are one. Spark counts both by host. A subtree whose text recurs across many pages of its host is
+template, wherever it is; one whose skeleton recurs is, outside of the host's content, if it is mostly links or holds little
+of its pages' text. The content is the deepest place that holds most of the host's text. Pages with the same prose count once
+for a subtree of prose: what recurs with always the same rest is a copied article, not a site's template.
+
+Elements that say by tag, role or class that they are no article go as well (`declared`); on hosts with fewer than LEAST_PAGES
+pages these are all there is to go by. Of what is left, declared articles are the text unless there is more prose outside.
 """
 
 from __future__ import annotations
@@ -20,9 +24,17 @@ from pyspark.sql import functions as F
 
 from docveil.llm.common import staged, table
 
-#: A subtree is template if it is on at least this many pages of its host, and on this share of them.
+#: A subtree recurs if it is on at least this many pages of its host, and on this share of them.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.3
+#: The content holds this share of its host's text, in about one element a page.
+CONTENT_SHARE, CONTENT_TIMES = 0.5, 1.2
+#: A recurring skeleton is template if it holds at most this share of the text of the pages that have it.
+LITTLE = 0.1
+#: Tables of up to so many hosts with templates are sent to all executors; larger ones meet pages in SALTS groups a host.
+SMALL, SALTS = 20_000, 32
+#: What is counted: subtrees by text, subtrees by skeleton, places.
+TEXT, SKELETON, PLACE = 0, 1, 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -39,90 +51,148 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never part of an article.
-DROPPED = frozenset("head nav footer aside form button select menu dialog audio video canvas map fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements of the head and of forms, which hold no text of a page.
+NEVER = frozenset("head form button select dialog audio video canvas map fieldset".split())
+#: Elements that declare that they are never part of an article.
+DROPPED = frozenset("nav footer aside menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-#: Words of a class or id that mark what is no article.
+#: Words of a class or id that mark what is no article; a word of WEAK does so inside of an article only for what is mostly links.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation "
-    "breadcrumb breadcrumbs pagination pager masthead topbar footer comment comments commentlist disqus respond replies share sharing social related "
-    "recommended recommendations login search toolbar skip hidden outbrain taboola".split()
+    "notice notices notification popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation "
+    "breadcrumb breadcrumbs pagination pager masthead topbar footer comment comments commentlist disqus respond replies hidden outbrain taboola".split()
 )
+WEAK = frozenset("alert share sharing social related recommended recommendations login search toolbar skip".split())
+#: Words that mark even an <article> as a reader's.
+READERS = frozenset("comment comments reply replies".split())
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+TOP = 1 << 63
 
 
 @dataclass
 class Node:
     tag: str
     dropped: bool
+    weak: bool
     article: bool
     first: int
+    block: int  # where on the stack the nearest block element is
+    label: str = ""
+    place: int = 0
+    depth: int = 0
+    inside: bool = False  # of a declared article or main
     parts: list[bytes] = field(default_factory=list)
+    bones: list[bytes] = field(default_factory=list)
     size: int = 0
     linked: int = 0
 
 
 @dataclass
 class Page:
-    """Blocks of text, which of them are in a declared article, how much of them is not links, and the subtrees (hash,
-    first block, end, is prose)."""
+    """Blocks of text, which of them are in a declared article, how much of each is not links; subtrees (text hash, skeleton,
+    place, first block, end); and what is counted: (kind, hash) to [elements, size, linked, depth, prose]."""
 
     blocks: list[str] = field(default_factory=list)
     articles: list[bool] = field(default_factory=list)
     plain: list[int] = field(default_factory=list)
-    subtrees: list[tuple[int, int, int, bool]] = field(default_factory=list)
+    subtrees: list[tuple[int, int, int, int, int]] = field(default_factory=list)
+    counts: dict[tuple[int, int], list] = field(default_factory=dict)
+    size: int = 0
+
+    def count(self, kind: int, key: int, size: int, linked: int, depth: int, prose: bool) -> None:
+        c = self.counts.setdefault((kind, key), [0, 0, 0, depth, prose])
+        c[0] += 1
+        c[1] += size
+        c[2] += linked
 
     def body(self) -> int:
         """A hash of the page's blocks that are not mostly links."""
-        return xxhash.xxh3_64_intdigest("\0".join(b for b, n in zip(self.blocks, self.plain) if 2 * n > len(b)).encode("utf-8", "surrogatepass")) - (1 << 63)
+        return _hash("\0".join(b for b, n in zip(self.blocks, self.plain) if 2 * n > len(b)).encode("utf-8", "surrogatepass"))
+
+
+def _hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - TOP
+
 
+def attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), next(filter(None, values), "").lower()) for name, *values in ATTRIBUTE.findall(attrs)]
 
-def marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element says that it is no article; inside an article a header belongs to it."""
+
+def marked(tag: str, attrs: list[tuple[str, str]], inside: bool) -> str:
+    """Whether an element says that it is no article: "yes", "weak" (if it is mostly links) or "". Inside of an article a header
+    belongs to it."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
-    if not attrs or not attrs.strip(" /") or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next(filter(None, values), "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+        return "yes"
+    if tag in ("html", "body"):
+        return ""
+    found = ""
+    for name, value in attrs:
         if name in ("class", "id"):
             words = WORDS.findall(value)
-            if not MARKS.isdisjoint(words) or "header" in words and not inside:
-                return True
-    return False
-
-
-def parse(html: str) -> Page:
-    """A page's blocks outside of dropped elements. Unclosed elements end with those around them."""
-    page, stack, text, links, plain = Page(), [Node("", False, False, 0)], [], 0, 0
+            if tag in ("article", "main"):
+                if not READERS.isdisjoint(words):
+                    return "yes"
+            elif not MARKS.isdisjoint(words) or "header" in words and not inside:
+                return "yes"
+            elif not WEAK.isdisjoint(words):
+                found = "weak" if inside else "yes"
+        elif tag not in ("article", "main"):
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+                return "yes"
+            if name == "style" and "display:none" in value.replace(" ", ""):
+                return "yes"
+    return found
+
+
+def parse(html: str, declared: bool = True) -> Page:
+    """A page's blocks and subtrees outside of dropped elements. Unclosed elements end with those around them."""
+    page, text, links, plain = Page(), [], 0, 0
+    stack = [Node("", False, False, False, 0, 0)]
+    open_: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal text, plain
         if text:
             block = SPACE.sub(" ", unescape("".join(text))).strip()
             if block:
-                top = stack[-1]
                 page.blocks.append(block)
-                page.articles.append(top.article)
+                page.articles.append(stack[-1].article)
                 page.plain.append(plain)
             text, plain = [], 0
 
     def close() -> None:
-        node = stack.pop()
-        if node.size and not node.dropped:
-            digest = xxhash.xxh3_64_intdigest(node.tag.encode() + b"\0" + b"\1".join(node.parts))
-            if node.tag in BLOCK:
-                prose = 2 * node.linked < node.size
-                page.subtrees.append((digest - (1 << 63), node.first, len(page.blocks), prose))
-            stack[-1].parts.append(digest.to_bytes(8, "little"))
-            stack[-1].size += node.size
-            stack[-1].linked += node.linked
+        nonlocal links
+        node, top = stack.pop(), stack[-1]
+        open_[node.tag] -= 1
+        if node.tag == "a":
+            links = 0
+        if not node.size or node.dropped:
+            return
+        if node.weak and 2 * node.linked >= node.size:
+            del page.blocks[node.first :], page.articles[node.first :], page.plain[node.first :]
+            page.subtrees[:] = [s for s in page.subtrees if s[3] < node.first]
+            return
+        digest = _hash(node.tag.encode() + b"\0" + b"\1".join(node.parts))
+        top.parts.append(digest.to_bytes(8, "little", signed=True))
+        top.size += node.size
+        top.linked += node.linked
+        if node.tag not in BLOCK:  # inline elements are bones of what they stand in
+            bones = [b"a"] if node.tag == "a" else node.bones
+        else:
+            bones = [xxhash.xxh3_64_digest(node.label.encode("utf-8", "surrogatepass") + b"\0" + b"\1".join(node.bones))]
+            skeleton = _hash(node.place.to_bytes(8, "little", signed=True) + bones[0])
+            page.subtrees.append((digest, skeleton, node.place, node.first, len(page.blocks)))
+            prose = 2 * node.linked < node.size
+            page.count(TEXT, digest, node.size, node.linked, 0, prose)
+            if node.tag not in HEADINGS:
+                page.count(SKELETON, skeleton, node.size, node.linked, 0, prose)
+            if not (declared and node.inside):
+                page.count(PLACE, node.place, node.size, node.linked, node.depth, prose)
+        for b in bones:
+            if not top.bones or top.bones[-1] != b:
+                top.bones.append(b)
 
     def say(raw: str) -> None:
         nonlocal plain
@@ -132,6 +202,8 @@ def parse(html: str) -> Page:
             shown = SPACE.sub(" ", raw).strip()
             if shown:
                 top.parts.append(shown.encode("utf-8", "surrogatepass"))
+                if not top.bones or top.bones[-1] != b"#":
+                    top.bones.append(b"#")
                 top.size += len(shown)
                 top.linked += len(shown) if links else 0
                 plain += 0 if links else len(shown)
@@ -143,52 +215,65 @@ def parse(html: str) -> Page:
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
-        tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or ""
+        tag, end, raw = tag.lower(), m["end"] or m["end2"], m["attrs"] or ""
         if tag in BLOCK:
             flush()
         elif tag == "br" and not stack[-1].dropped:
             text.append(" ")
         if end:
-            if any(n.tag == tag for n in stack):
-                while True:
-                    done = stack[-1].tag
+            if open_.get(tag):
+                while stack[-1].tag != tag:
                     close()
-                    if done == "a":
-                        links = 0
-                    if done == tag:
-                        break
+                close()
             continue
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
+        if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK:  # a paragraph ends where a block starts, a list's or table's part where the next one starts
-            ending = {"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ending:
-                    while len(stack) > k:
-                        close()
-                    links = 0
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            k = stack[-1].block
+            if k and (stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                while len(stack) > k:
+                    close()
         top = stack[-1]
+        attrs = attributes(raw) if raw and raw.strip(" /") else []
         article = top.article or tag in ("article", "main")
-        stack.append(Node(tag, top.dropped or marked(tag, attrs, article), article, len(page.blocks)))
-        links = 1 if tag == "a" else links
+        mark = marked(tag, attrs, article) if declared else ""
+        if mark == "weak" and tag not in BLOCK:
+            mark = ""
+        node = Node(tag, top.dropped or tag in NEVER or mark == "yes", mark == "weak", article, len(page.blocks), top.block, place=top.place, depth=top.depth, inside=top.article)
+        if tag in BLOCK:
+            node.block = len(stack)
+            if not node.dropped:
+                classes = sorted({w for name, value in attrs if name == "class" for w in WORDS.findall(value)})
+                node.label = ".".join([tag, *classes])
+                node.place, node.depth = _hash(top.place.to_bytes(8, "little", signed=True) + node.label.encode("utf-8", "surrogatepass")), top.depth + 1
+        stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
+        if tag == "a":
+            links = 1
     say(html[at:])
     flush()
     while len(stack) > 1:
         close()
+    page.size = stack[0].size
     return page
 
 
-def main_text(page: Page, templates: set[int]) -> str:
-    """The blocks outside of template subtrees: those of the page's articles, or all if there is more prose outside of these."""
-    gone = set()
-    for digest, first, end, _ in page.subtrees:
-        if digest in templates:
+def main_text(page: Page, texts: set[int] = frozenset(), skeletons: set[int] = frozenset(), content: int | None = None, articles: bool = True) -> str:
+    """The blocks outside of template subtrees: those of the page's articles, or all if there is more prose outside of these
+    (or without `articles`). Skeletons do not count within the content's place."""
+    gone: set[int] = set()
+    bare: set[int] = set()
+    kept: set[int] = set()
+    for digest, skeleton, place, first, end in page.subtrees:
+        if digest in texts:
             gone.update(range(first, end))
+        if skeleton in skeletons:
+            bare.update(range(first, end))
+        if place == content:
+            kept.update(range(first, end))
+    gone |= bare - kept
     left = [i for i in range(len(page.blocks)) if i not in gone]
-    inside = [i for i in left if page.articles[i]]
+    inside = [i for i in left if page.articles[i]] if articles else left
     prose = sum(page.plain[i] for i in inside)
     if not inside or 2 * prose < sum(page.plain[i] for i in left):
         inside = left
@@ -201,54 +286,108 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """(page_id, host, subtree, prose, body): the distinct hashes of a page's element subtrees outside of dropped elements,
-    and the hash of its prose."""
+COUNT = "struct<kind:tinyint,hash:bigint,elements:int,size:int,linked:int,depth:int,prose:boolean>"
+SUBTREE = "struct<text:bigint,skeleton:bigint,place:bigint,first:int,end:int>"
+PARSED = f"blocks array<string>, articles array<boolean>, plain array<int>, subtrees array<{SUBTREE}>, counts array<{COUNT}>, body bigint, size int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                rows = []
-                for i, h in enumerate(part.column(2).to_pylist()):
-                    if h:
-                        page = parse(h)
-                        body = page.body()
-                        rows += [(i, d, p, body) for d, p in {(s[0], s[3]) for s in page.subtrees}]
-                at = pa.array([r[0] for r in rows], pa.int32())
-                hashes = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.bool_()), (3, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *hashes], names=["page_id", "host", "subtree", "prose", "body"])
-
-    return pages.select("page_id", host().alias("host"), "html").mapInArrow(run, "page_id bigint, host string, subtree bigint, prose boolean, body bigint")
 
+def parsed(pages: DataFrame, declared: bool = True) -> DataFrame:
+    """pages (page_id, url, html), each parsed once, as (page_id, url, host, blocks, articles, plain, subtrees, counts, body, size)."""
+    rows = pages.select("page_id", "url", host().alias("host"), "html")
+    subtree = pa.struct([("text", pa.int64()), ("skeleton", pa.int64()), ("place", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+    count = pa.struct([("kind", pa.int8()), ("hash", pa.int64()), ("elements", pa.int32()), ("size", pa.int32()), ("linked", pa.int32()), ("depth", pa.int32()), ("prose", pa.bool_())])
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(page_id, url, text) of every page (page_id, url, html). Null html gives an empty text; a null url has host ''.
+    def structs(lists: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+        ends, flat = [0], []
+        for one in lists:
+            flat += one
+            ends.append(len(flat))
+        columns = zip(*flat) if flat else [()] * kind.num_fields
+        fields = [pa.array(c, kind.field(i).type) for i, c in enumerate(columns)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=[kind.field(i) for i in range(kind.num_fields)]))
 
-    Blocks are separated by two line ends; character references are decoded; white space in a block is one space.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                found = [parse(h or "", declared) for h in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(i) for i in range(3)),
+                        pa.array([p.blocks for p in found], pa.list_(pa.string())),
+                        pa.array([p.articles for p in found], pa.list_(pa.bool_())),
+                        pa.array([p.plain for p in found], pa.list_(pa.int32())),
+                        structs([p.subtrees for p in found], subtree),
+                        structs([[(*k, *c) for k, c in p.counts.items()] for p in found], count),
+                        pa.array([p.body() for p in found], pa.int64()),
+                        pa.array([p.size for p in found], pa.int32()),
+                    ],
+                    names=["page_id", "url", "host", "blocks", "articles", "plain", "subtrees", "counts", "body", "size"],
+                )
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, {PARSED}")
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, texts array<bigint>, skeletons array<bigint>, content bigint) of hosts with templates, from parsed pages.
+
+    A host has at most 1 / least_share as many of each as its pages have subtrees on average.
     """
-    found = staged(subtrees(pages), "subtrees")
-    sizes = pages.groupBy(host().alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    # prose: by pages of different prose
-    bodies = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
-    by_body = found.groupBy("host", "subtree", "prose", F.when(F.col("prose"), F.col("body")).alias("body")).agg(F.count(F.lit(1)).alias("n"))
-    counted = by_body.groupBy("host", "subtree", "prose").agg(F.when(F.col("prose"), F.count(F.lit(1))).otherwise(F.sum("n")).alias("n"))
-    of = F.when(F.col("prose"), F.col("bodies")).otherwise(F.col("pages"))
-    frequent = counted.where(F.col("n") >= least_pages).join(sizes, "host").join(bodies, "host").where(F.col("n") >= of * least_share)
-    frequent = staged(frequent.select("host", "subtree").distinct(), "templates")
-    # a page's template subtrees: no more than it has elements
-    per_page = found.join(frequent, ["host", "subtree"], "left_semi").groupBy("page_id", "host").agg(F.collect_set("subtree").alias("templates"))
-    marked_pages = pages.select("page_id", "url", "html", host().alias("host")).join(staged(per_page, "page_templates"), ["page_id", "host"], "left")
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("host_size")).where(F.col("pages") >= least_pages)
+    # copied pages count once for prose
+    bodies = pages.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
+    rows = pages.select("host", "body", F.col("size").alias("page_size"), F.inline("counts"))
+    by_body = rows.groupBy("host", "kind", "hash", "prose", F.when((F.col("kind") == TEXT) & F.col("prose"), F.col("body")).alias("body")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("elements").alias("elements"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.sum("page_size").alias("around"), F.max("depth").alias("depth")
+    )
+    # a skeleton or a place is one, whether its text is prose or not
+    prose = (F.col("kind") == TEXT) & F.col("prose")
+    counted = by_body.groupBy("host", "kind", "hash", prose.alias("prose")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.sum("elements").alias("elements"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.sum("around").alias("around"), F.max("depth").alias("depth")
+    )
+    known = counted.join(sizes, "host").join(bodies, "host")
+    n, of = F.when(F.col("prose"), F.col("copies")).otherwise(F.col("n")), F.when(F.col("prose"), F.col("bodies")).otherwise(F.col("pages"))
+    known = staged(known.where((n >= least_pages) & (n >= of * least_share)), "recurring")
+    most = known.where((F.col("kind") == PLACE) & (F.col("size") >= F.col("host_size") * CONTENT_SHARE) & (F.col("elements") <= F.col("n") * CONTENT_TIMES))
+    content = most.groupBy("host").agg(F.max_by("hash", F.struct("depth", "size", "hash")).alias("content"))
+    links, little = 2 * F.col("linked") >= F.col("size"), F.col("content").isNotNull() & (F.col("size") <= F.col("around") * LITTLE)
+    return (
+        known.join(content, "host", "left")
+        .groupBy("host", "content")
+        .agg(F.collect_set(F.when(F.col("kind") == TEXT, F.col("hash"))).alias("texts"), F.collect_set(F.when((F.col("kind") == SKELETON) & (links | little), F.col("hash"))).alias("skeletons"))
+        .select("host", "texts", "skeletons", "content")
+    )
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, declared: bool = True) -> DataFrame:
+    """(page_id, url, text) of every page (page_id, url, html); rows that repeat an id, or have none, are pages of their own.
+
+    Null or empty html gives an empty text; a null url has host ''. Blocks are separated by two line ends; character
+    references are decoded; white space in a block is one space. Without `declared`, only the templates decide.
+    """
+    once = staged(parsed(pages, declared), "parsed")
+    of_host = staged(templates(once, least_pages, least_share), "templates")
+    rows = once.select("page_id", "url", "host", "blocks", "articles", "plain", "subtrees")
+    if of_host.count() <= SMALL:
+        met = rows.join(F.broadcast(of_host), "host", "left")
+    else:  # a host's pages meet its templates in several groups
+        salted = of_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("__salt", F.pmod(F.xxhash64("blocks"), F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-                texts = [main_text(parse(h), set(t or ())) if h else "" for h, t in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return marked_pages.select("page_id", "url", "html", "templates").mapInArrow(run, "page_id bigint, url string, text string")
+                out = []
+                for blocks, articles, plain, subtrees, texts, skeletons, content in zip(*(part.column(i).to_pylist() for i in range(2, 9))):
+                    page = Page(blocks, articles, plain, [(s["text"], s["skeleton"], s["place"], s["first"], s["end"]) for s in subtrees])
+                    out.append(main_text(page, set(texts or ()), set(skeletons or ()), content, declared))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    wanted = met.select("page_id", "url", "blocks", "articles", "plain", "subtrees", "texts", "skeletons", "content")
+    return wanted.mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

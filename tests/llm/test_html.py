@@ -64,6 +64,87 @@ def test_story_outside_of_teasers(spark):
         assert text.startswith(f"Story {i} tells at length what {i} did") and "Read this next" not in text
 
 
+def test_weak_marks_and_readers():
+    page = """<article><h1>T</h1><div class="related work"><p>Prose on related work in full</p></div><div class="share"><a>x</a> <a>y</a></div>
+    <p>A <span class="search">search</span> word</p></article><article class="comment"><p>Nice!</p></article><div class="search">Find</div>"""
+    assert text(page) == "T\n\nProse on related work in full\n\nA search word"
+
+
+def site(i, words):
+    """A page without any class, role or tag that tells what is what."""
+    say = lambda k: " ".join(words[(i * 7 + j * 3) % len(words)] for j in range(k))
+    menu = "".join(f"<li><a href='/{j}'>{words[(i + j) % len(words)]}</a></li>" for j in range(4 + i % 3))
+    story = [f"Title {i} {say(3)}", *(f"Part {k} of {i}: {say(40)}" for k in range(2 + i % 3))]
+    body = f"<div><h1>{story[0]}</h1>" + "".join(f"<p>{s}</p>" for s in story[1:]) + "</div>"
+    return f"<body><table><tr><td><ul>{menu}</ul></td></tr></table><center>{say(4)}</center><section>{body}</section><dl><dd>{say(3)} {i}</dd></dl></body>", "\n\n".join(story)
+
+
+def test_templates_of_changing_words_by_skeleton(spark):
+    words = [f"w{k}" for k in range(53)]
+    rows = [(i, f"http://h{i % 3}/", *site(i, words)) for i in range(60)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), declared=False).collect()}
+    assert out == {r[0]: r[3] for r in rows}
+
+
+def test_skeletons_against_a_brute_force_count(spark):
+    """The skeletons that the method takes for templates of a host, counted again page by page."""
+    words = [f"w{k}" for k in range(53)]
+    pages = [(i, f"http://h{i % 2}/", site(i, words)[0] if i % 5 else f"<p>{i} lone</p>") for i in range(40)]
+    found = {r["host"]: r for r in html.templates(html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string"), False)).collect()}
+    for h in ("h0", "h1"):
+        mine = [html.parse(p[2], False) for p in pages if p[1] == f"http://{h}/"]
+        total = sum(p.size for p in mine)
+        places = {}
+        for p in mine:
+            for (kind, key), c in p.counts.items():
+                places.setdefault((kind, key), []).append((p, c))
+        often = {k: v for k, v in places.items() if len(v) >= max(html.LEAST_PAGES, html.LEAST_SHARE * len(mine))}
+        most = [(v[0][1][3], sum(c[1] for _, c in v), k[1]) for k, v in often.items() if k[0] == html.PLACE]
+        most = [(d, n, k) for d, n, k in most if n >= html.CONTENT_SHARE * total and sum(c[0] for _, c in often[html.PLACE, k]) <= html.CONTENT_TIMES * len(often[html.PLACE, k])]
+        content = max(most)[2]
+        templates = set()
+        for (kind, key), v in often.items():
+            size, linked, around = sum(c[1] for _, c in v), sum(c[2] for _, c in v), sum(p.size for p, _ in v)
+            if kind == html.SKELETON and (2 * linked >= size or size <= html.LITTLE * around):
+                templates.add(key)
+        assert found[h]["content"] == content and set(found[h]["skeletons"]) == templates and len(templates) > 3
+
+
+def test_ids_ties_and_extra_columns(spark):
+    words = [f"w{k}" for k in range(53)]
+    rows = [(None if i % 2 else 7, f"http://h/{i}", site(i, words)[0], "t", [i], 0) for i in range(12)]
+    rows += [rows[0]] * 3
+    kind = "page_id long, url string, html string, text string, blocks array<int>, templates int"
+    out = html.extract(spark.createDataFrame(rows, kind), declared=False).collect()
+    assert sorted((r.url, r.text) for r in out) == sorted((u, site(int(u.rpartition("/")[2]), words)[1]) for _, u, *_ in rows)
+    named = html.extract(spark.createDataFrame([("a", None, "<p>x</p>")], "page_id string, url string, html string")).first()
+    assert named.page_id == "a" and named.text == "x"
+
+
+def test_very_long_pages():
+    many = "".join(f"<p>{i} words</p>" for i in range(60_000))
+    assert text(f"<article>{many}</article>").count("\n\n") == 59_999
+    assert text("<b>" * 200_000 + "<p>a<p>b") == "a\n\nb" and text("</div>" * 200_000 + "x") == "x"
+    assert len(text("x" * 3_000_000)) == 3_000_000
+
+
+def test_many_hosts_meet_their_templates_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(html, "SMALL", 1)
+    words = [f"w{k}" for k in range(53)]
+    rows = [(i, f"http://h{i % 3}/", *site(i, words)) for i in range(60)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), declared=False).collect()}
+    assert out == {r[0]: r[3] for r in rows}
+
+
+def test_query_by_templates_alone(spark):
+    """On hosts of at least three pages, the templates find what the page's own marks declare."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", html.host())
+    hosts = {r["host"]: r["count"] for r in pages.groupBy("host").count().collect()}
+    both = [{r.page_id: r.text for r in html.extract(pages, declared=d).collect()} for d in (True, False)]
+    large = [r.page_id for r in pages.select("page_id", "host").collect() if hosts[r.host] >= 3]
+    assert sum(both[0][k] == both[1][k] for k in large) >= 0.95 * len(large) > 200
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     out = html.op1(spark, sf_dir).collect()
