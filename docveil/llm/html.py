@@ -366,7 +366,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     Null or empty html gives an empty text; a null url has host ''. Blocks are separated by two line ends; character
     references are decoded; white space in a block is one space. Without `declared`, only the templates decide.
     """
-    once = staged(parsed(pages, declared), "parsed")
+    once = staged(parsed(pages, declared), "parsed", "zstd")
     of_host = staged(templates(once, least_pages, least_share), "templates")
     rows = once.select("page_id", "url", "host", "blocks", "articles", "plain", "subtrees")
     if of_host.count() <= SMALL:
