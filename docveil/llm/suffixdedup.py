@@ -1,14 +1,15 @@
 """Exact removal of repeated strings over a whole corpus, by sorted suffixes.
 
 Every string of SPAN bytes belongs to an anchor inside it (see `anchors`), so all its copies belong to anchors with the same
-gram. Spark gathers anchors by gram. Where the bytes around two anchors are the same, by their hashes, all strings of the
-later one are copies. The bytes around those that differ are gathered in shards, by gram, and their suffixes are sorted by
+gram. Spark gathers anchors by gram. Where the bytes around two anchors are the same, all strings of the later one are copies;
+that is read from the bytes in a block of texts, and from two hashes, of 64 bits each, between blocks. The bytes around those that differ are gathered in shards, by gram, and their suffixes are sorted by
 external induced sorting; suffixes with SPAN bytes in common are copies of the earliest. A gram with more surroundings than
 a shard holds is split before, level by level, by what its windows have around the anchor.
 """
 
 from __future__ import annotations
 
+import struct
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
@@ -27,6 +28,8 @@ SHARD = 1 << 22
 #: Bytes of a shard beyond which its text lies on disk.
 IN_MEMORY = 1 << 26
 SEPARATOR = 255  # is in no UTF-8 text
+#: A segment's place in a shard, its document and its `packed`.
+RECORD, RECORD_SIZE = "<qqq", 24
 NO_ID = -(1 << 63)
 
 
@@ -35,23 +38,52 @@ def _pack(first: np.ndarray, windows: np.ndarray, place: np.ndarray) -> np.ndarr
     return first << 16 | windows << 8 | place - first
 
 
+def _alike(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from each start are those from each other place, for size bytes."""
+    out = np.zeros(len(start), bool)
+    for lo in range(0, len(start), 1 << 13):
+        s, o, n = start[lo : lo + (1 << 13), None], other[lo : lo + (1 << 13), None], size[lo : lo + (1 << 13), None]
+        at = np.arange(n.max() if len(n) else 0)
+        ok = at < n
+        out[lo : lo + (1 << 13)] = (~ok | (data[np.where(ok, s + at, 0)] == data[np.where(ok, o + at, 0)])).all(axis=1)
+    return out
+
+
 def gathered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(gram, cover, key, packed) of all anchors, dealt by gram and sorted by (gram, cover, key, packed)."""
+    """(copy, gram, cover, key, packed) of all anchors, dealt by gram and sorted by (gram, cover, key, packed).
+
+    Of anchors with the same surroundings that one task meets in a block of texts only the first is dealt by gram; the others
+    are known to be copies, byte by byte, and are dealt by key. So what is frequent is one row for each block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             for i, j in blocks(offsets, BLOCK):
-                doc, place, gram, first, last, cover = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(_pack(first, last - first + 1, place))],
-                    names=["gram", "cover", "key", "packed"],
-                )
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                doc, place, gram, first, last, cover = anchors(part, at)
+                who, packed = ids[i:j][doc], _pack(first, last - first + 1, place)
+                order = np.lexsort((packed, who, cover, gram))
+                doc, gram, first, last, cover, who, packed = (c[order] for c in (doc, gram, first, last, cover, who, packed))
+                new = np.ones(len(doc), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (cover[1:] != cover[:-1])
+                again = np.flatnonzero(~new)
+                earliest = np.flatnonzero(new)[np.cumsum(new)[again] - 1]
+                start = at[doc] + first
+                same = _alike(part, start[again], start[earliest], (last - first + SPAN)[again])
+                again, earliest = again[same], earliest[same]
+                copy, kept = np.zeros(len(doc), bool), np.ones(len(doc), bool)
+                copy[again] = True
+                kept[again] = (who[again] != who[earliest]) | (packed[again] != packed[earliest])
+                columns = (copy, gram.view(np.int64), cover.view(np.int64), who, packed)
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["copy", "gram", "cover", "key", "packed"])
 
     rows = docs.select(F.coalesce(F.col(key), F.lit(NO_ID)).cast("bigint").alias("key"), F.col(text))
-    out = rows.mapInArrow(run, "gram bigint, cover bigint, key bigint, packed bigint")
-    return out.repartition(partitions_for(docs), "gram").sortWithinPartitions("gram", "cover", "key", "packed")
+    out = rows.mapInArrow(run, "copy boolean, gram bigint, cover bigint, key bigint, packed bigint")
+    # of a copy, gram and cover are not needed any more
+    out = out.select("copy", F.when(F.col("copy"), F.col("key")).otherwise(F.col("gram")).alias("gram"), F.when(F.col("copy"), F.lit(0)).otherwise(F.col("cover")).alias("cover"), "key", "packed")
+    return out.repartition(partitions_for(docs), "gram").sortWithinPartitions("copy", "gram", "cover", "key", "packed")
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -65,7 +97,10 @@ def compared(rows: DataFrame) -> DataFrame:
         before = None  # the last row
         alone = None  # the first of the last gram's surroundings, while there are no others
         for batch in batches:
-            gram, cover, key, packed = (c.to_numpy() for c in batch.columns)
+            copy, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if copy.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(copy.sum()), pa.int64()), *(pa.array(c[copy]) for c in rest[2:])], names=["gram", "key", "packed"])
+            gram, cover, key, packed = (c[~copy] for c in rest)
             n = len(gram)
             if not n:
                 continue
@@ -137,19 +172,18 @@ class Shard:
     """Surroundings laid end to end, each closed by a separator; beyond IN_MEMORY bytes they are on disk."""
 
     def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(IN_MEMORY)
-        self.size, self.starts, self.keys, self.packed = 0, [], [], []
+        self.file, self.records = tempfile.SpooledTemporaryFile(IN_MEMORY), tempfile.SpooledTemporaryFile(IN_MEMORY)
+        self.size = self.count = 0
 
     def add(self, key: int, packed: int, raw: bytes) -> None:
-        self.starts.append(self.size)
-        self.keys.append(key)
-        self.packed.append(packed)
+        self.records.write(struct.pack(RECORD, self.size, key, packed))
         self.file.write(raw + bytes([SEPARATOR]))
         self.size += len(raw) + 1
+        self.count += 1
 
     def copies(self) -> Iterator[tuple[int, int, int]]:
         """(key, first byte, end) of what is covered by strings of SPAN bytes that have an earlier copy in the shard."""
-        if len(self.starts) < 2:
+        if self.count < 2:
             return
         if self.size > IN_MEMORY:
             self.file.rollover()
@@ -159,16 +193,22 @@ class Shard:
         else:
             self.file.seek(0)
             text, flags = np.frombuffer(self.file.read(), np.uint8), np.zeros(self.size, bool)
-        starts, keys, packed = np.array(self.starts), np.array(self.keys), np.array(self.packed)
-        first, windows = packed >> 16, packed >> 8 & 255
+        if self.count * RECORD_SIZE > IN_MEMORY:
+            self.records.rollover()
+            self.records.flush()
+            records = np.memmap(self.records, "<i8", "r", shape=(self.count, 3))
+        else:
+            self.records.seek(0)
+            records = np.frombuffer(self.records.read(), "<i8").reshape(-1, 3)
+        starts, keys, packed = (records[:, i] for i in range(3))
         held = [np.zeros(0, np.int64)]  # the suffixes since the last that had less than SPAN in common with the one before
 
         def mark(place: np.ndarray, group: np.ndarray) -> None:
             segment = np.searchsorted(starts, place, "right") - 1
             after = place - starts[segment]
-            ok = after < windows[segment]
+            ok = after < (packed[segment] >> 8 & 255)
             place, group, segment, after = place[ok], group[ok], segment[ok], after[ok]
-            order = np.lexsort((first[segment] + after, keys[segment], group))
+            order = np.lexsort(((packed[segment] >> 16) + after, keys[segment], group))
             place, group = place[order], group[order]
             same = np.flatnonzero(group[1:] == group[:-1]) + 1
             flags[place[same]] = True
@@ -190,14 +230,17 @@ class Shard:
         rest = np.concatenate(held)
         if len(rest) > 1:
             mark(rest, np.zeros(len(rest), np.int64))
-        hit = np.flatnonzero(flags)
-        if len(hit):
-            segment = np.searchsorted(starts, hit, "right") - 1
-            cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (segment[1:] != segment[:-1])]))
-            last = np.append(cut[1:], len(hit)) - 1
-            s = segment[cut]
-            lo = first[s] + hit[cut] - starts[s]
-            yield from zip(keys[s].tolist(), lo.tolist(), (first[s] + hit[last] - starts[s] + SPAN).tolist())
+        for lo in range(0, self.count, 1 << 14):  # some segments at once
+            hi = min(lo + (1 << 14), self.count)
+            begin, end = int(starts[lo]), int(starts[hi]) if hi < self.count else self.size
+            hit = np.flatnonzero(flags[begin:end]) + begin
+            if len(hit):
+                segment = lo + np.searchsorted(starts[lo:hi], hit, "right") - 1
+                cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (segment[1:] != segment[:-1])]))
+                last = np.append(cut[1:], len(hit)) - 1
+                s = segment[cut]
+                first = packed[s] >> 16
+                yield from zip(keys[s].tolist(), (first + hit[cut] - starts[s]).tolist(), (first + hit[last] - starts[s] + SPAN).tolist())
 
 
 def sorted_copies(rows: DataFrame) -> DataFrame:
