@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from docveil.llm.common import blocks, table, utf8
+from docveil.llm.common import blocks, partitions_for, staged, table, utf8
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams, and the n.
@@ -25,8 +26,8 @@ BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 #: About so many labelled documents of each language are learnt from at most: those with the smallest hashes of their ids.
 SAMPLE = 4000
-#: At most so many languages are learnt: the most frequent ones, then by name.
-LANGUAGES = 256
+#: Counts of n-grams by language that a task holds at once.
+HELD = 1 << 22
 #: Additive smoothing of n-gram frequencies, in counts.
 SMOOTHING = 0.5
 #: Two codewords whose scores differ by less are ambiguous.
@@ -113,54 +114,78 @@ class Model:
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """Learns from rows with a text and a label, about SAMPLE of each of at most LANGUAGES labels at most.
+    """Learns all labels, from rows with a text and a label, about SAMPLE of each at most.
 
-    What is collected is the n-gram counts by language, whose size those bounds and BUCKETS fix.
+    What is collected is the labels with their numbers, and one sum for each bucket and bit, whose number grows with the
+    logarithm of the number of labels.
     """
     rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    languages = sorted(r["label"] for r in sizes)
+    sizes = rows.groupBy("label").count()
+    languages = sorted(r["label"] for r in sizes.select("label").collect())
     if not languages:
         return Model([], codewords(0), np.zeros((BUCKETS, 1)))
-    order = F.xxhash64("key")
-    # the SAMPLE smallest hashes of each label, found without moving texts
-    space = float(2**64)
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("label") == r["label"], min(1.0, SAMPLE / r["count"])).otherwise(share)
-    rows = rows.where((order.cast("double") / space + 0.5) <= share)
-
-    at = {name: i for i, name in enumerate(languages)}
+    code, at = codewords(len(languages)), {name: i for i, name in enumerate(languages)}
+    # the SAMPLE smallest hashes of each label, found without moving texts; there are no more labels than the driver holds
+    share = sizes.select("label", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
+    rows = rows.join(F.broadcast(share), "label").where(F.xxhash64("key").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = (np.concatenate(c) for c in zip(*held))
+            values, of = np.unique(keys, return_inverse=True)
+            sums = np.bincount(of, n, len(values)).astype(np.int64)
+            columns = ((values // BUCKETS).astype(np.int32), (values % BUCKETS).astype(np.int32), sums)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", "bucket", "n"])
+
         for batch in batches:
-            text, offsets = utf8(batch.column(1))
-            labels = np.array([at[x] for x in batch.column(0).to_pylist()])
+            raw, offsets = utf8(batch.column(1))
+            labels = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
             for i, j in blocks(offsets, BLOCK):
-                values, owners = grams(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                total += np.bincount(labels[i:j][owners] * BUCKETS + values, minlength=total.size).reshape(total.shape)
-        for k in range(len(languages)):
-            some = np.flatnonzero(total[k])
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k][some])], names=["lang", "bucket", "n"])
-
-    counted = rows.select("label", "text").mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(languages), BUCKETS))
-    got = counted.toArrow()
-    counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    code = codewords(len(languages))
-    share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-    weights = np.zeros((BUCKETS, code.shape[1]))
-    for bit in range(code.shape[1]):
-        plus, minus = share[code[:, bit] > 0], share[code[:, bit] < 0]
-        if len(plus) and len(minus):
-            weights[:, bit] = np.log(plus.mean(axis=0)) - np.log(minus.mean(axis=0))
+                values, owners = grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append(np.unique(labels[i:j][owners] * BUCKETS + values, return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    counts = staged(rows.select("label", "text").mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    totals = np.zeros(len(languages))
+    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        totals[r["lang"]] = r["n"]
+    totals += SMOOTHING * BUCKETS
+
+    def by_bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums over the languages of either half of a bit of an n-gram's frequency, all that is beyond smoothing."""
+        plus, minus = (np.zeros((BUCKETS, code.shape[1])) for _ in range(2))
+        for batch in batches:
+            lang, bucket, n = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(lang):
+                mine = lang == k
+                part = (n[mine] / totals[k])[:, None]
+                plus[bucket[mine]] += part * (code[k] > 0)
+                minus[bucket[mine]] += part * (code[k] < 0)
+        some, bit = np.nonzero(plus + minus)
+        columns = (some.astype(np.int32), bit.astype(np.int32), plus[some, bit], minus[some, bit])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "bit", "plus", "minus"])
+
+    dealt = counts.repartition(partitions_for(counts), "bucket").mapInArrow(by_bit, "bucket int, bit int, plus double, minus double")
+    got = dealt.groupBy("bucket", "bit").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus")).toArrow()
+    halves = []
+    for name, sign in (("plus", 1), ("minus", -1)):
+        half = code * sign > 0
+        sums = np.zeros((BUCKETS, code.shape[1]))
+        sums[got["bucket"].to_numpy(), got["bit"].to_numpy()] = got[name].to_numpy()
+        halves.append((sums + ((SMOOTHING / totals)[:, None] * half).sum(axis=0)) / np.maximum(1, half.sum(axis=0)))
+    both = (halves[0] > 0) & (halves[1] > 0)  # a lone language has bits with one half
+    weights = np.where(both, np.log(np.where(both, halves[0], 1)) - np.log(np.where(both, halves[1], 1)), 0.0)
     return Model(languages, code, weights)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, lang_pred, score, ambiguous of every row, from its whole text alone.
+    """keys, lang_pred, score, ambiguous of every row, from its whole text alone. keys have other names than these three.
 
     A text that is null or has no letter, or a model without languages, gives `und` with score 0, not ambiguous.
     """
@@ -185,8 +210,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"],
             )
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    if clash := {"lang_pred", "score", "ambiguous"}.intersection(keys):
+        raise ValueError(f"keys named like results: {sorted(clash)}")
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
+    kinds = StructType([*(StructField(k, df.schema[k].dataType) for k in keys), *more])
+    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, kinds)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
 
 from docveil.llm.common import table
 
@@ -145,10 +145,24 @@ def demultiplex(data: bytes) -> tuple[dict[int, Stream], int]:
     return streams, count
 
 
-def read(data: bytes) -> tuple[bytes, str]:
-    """The stored samples, and a line of features of the container and the samples."""
+def times(stream: Stream, rate: int) -> list[float]:
+    """The second at which each packet after the first begins. A page's granule position is that of the last packet which ends
+    on it; those before end as many samples earlier as come after them."""
+    out, ends = [], 0
+    for k in range(len(stream.packets) - 1, 0, -1):
+        own = stream.granules[k]
+        if k == len(stream.packets) - 1 or stream.granules[k + 1] != own:
+            ends = own
+        ends -= len(stream.packets[k])
+        out.append(ends / rate)
+    return out[::-1]
+
+
+def read(data: bytes) -> tuple[bytes, str, list[float]]:
+    """The stored samples, a line of features of the container and the samples, and the second at which each packet begins,
+    stream by stream."""
     streams, count = demultiplex(data)
-    parts, times = {}, []
+    parts, seconds, starts = {}, [], []
     for s in streams.values():
         name, number, of, frame, rate = IDENTITY.unpack(s.packets[0])
         if name != NAME or of != len(streams):
@@ -157,7 +171,8 @@ def read(data: bytes) -> tuple[bytes, str]:
         if s.granules[-1] != len(raw):
             raise OggError("the granule position differs from the samples")
         parts[number] = np.frombuffer(raw, np.uint8).reshape(-1, frame)
-        times.append(s.granules[-1] / rate)
+        seconds.append(s.granules[-1] / rate)
+        starts += times(s, rate)
     total = sum(map(len, parts.values()))
     frames = np.empty((total, frame), np.uint8)
     for number, part in parts.items():
@@ -171,8 +186,8 @@ def read(data: bytes) -> tuple[bytes, str]:
     high = samples >= 128
     crossings = int(np.count_nonzero(high[1:] != high[:-1]))
     packets = sum(len(s.packets) for s in streams.values())
-    line = f"streams={len(streams)};pages={count};packets={packets};seconds={max(times):.6f};mean={mean:.6f};rms={power**0.5:.6f};min={int(samples.min())};max={int(samples.max())};crossings={crossings}"
-    return samples.tobytes(), line
+    line = f"streams={len(streams)};pages={count};packets={packets};seconds={max(seconds):.6f};mean={mean:.6f};rms={power**0.5:.6f};min={int(samples.min())};max={int(samples.max())};crossings={crossings}"
+    return samples.tobytes(), line, starts
 
 
 def padded(text: bytes) -> bytes:
@@ -198,28 +213,32 @@ def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFram
 
 
 def load(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with `payload` (the stored samples), `feature` and `media_error` (why the media is unreadable, else null).
+    """df with `payload` (the stored samples), `feature`, `packet_seconds` (when each packet begins) and `media_error` (why the
+    media is unreadable, else null). Columns of df with these names are replaced, but for the media itself.
 
-    Null or damaged media give a null payload and feature. df must have no columns of these three names.
+    Null or damaged media give a null payload, feature and packet_seconds.
     """
-    new = (("payload", BinaryType()), ("feature", StringType()), ("media_error", StringType()))
+    new = (("payload", BinaryType()), ("feature", StringType()), ("packet_seconds", ArrayType(DoubleType())), ("media_error", StringType()))
+    if media in [name for name, _ in new]:
+        df, media = df.withColumnRenamed(media, "media"), "media"
+    df = df.drop(*(name for name, _ in new))
     schema = StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in new)])
 
-    def one(data: bytes | None) -> tuple[bytes | None, str | None, str | None]:
+    def one(data: bytes | None) -> tuple[bytes | None, str | None, list[float] | None, str | None]:
         if data is None:
-            return None, None, None
+            return None, None, None, None
         try:
             return *read(data), None
         except (OggError, struct.error, ValueError) as e:
-            return None, None, str(e)
+            return None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 found = [one(m) for m in part.column(part.schema.get_field_index(media)).to_pylist()]
-                more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "payload", "feature", "media_error"])
+                more = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.string(), pa.list_(pa.float64()), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -36,14 +36,15 @@ class Tokens:
     """Ids of whole texts by a `tokenizers` file whose parts end words with WORD_END, as that library gives them.
 
     A word's ids do not depend on its neighbours, so words are encoded once and remembered. Texts with characters for
-    which WORDS is not known to split alike go through the library whole.
+    which WORDS is not known to split alike, or in which an added token of the file is spelt out, go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -67,7 +68,7 @@ class Tokens:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [None if ODD.search(t) else WORDS.findall(t.lower()) for t in texts]
+        found = [None if ODD.search(t) or self.added.search(t) else WORDS.findall(t.lower()) for t in texts]
         self._learn(self.memo.missing(set().union(*(k for k in found if k is not None))))
         memo = self.memo.young
         return [self._exact(t) if k is None else b"".join(map(memo.__getitem__, k)) for t, k in zip(texts, found)]

@@ -109,11 +109,9 @@ def keys(value: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, n
         tag = (band[w] << 40 | block).astype(np.uint64)
         out.append(mix(word + mix(tag))[kept])
         who.append(w[kept])
-        # fewer blocks than needed: their lack is one more key, so that such documents still meet each other
-        count = np.bincount(w, minlength=docs)
-        lacking = np.flatnonzero((count < needed) & has)
-        out.append(mix(mix(band[lacking].astype(np.uint64) + np.uint64(1 << 60))))
-        who.append(lacking)
+        # a set of n shingles fills more than 1.6 n / 2 of these blocks but for a chance below 10**-30; nothing may be lost by it
+        if (has & (np.bincount(w, minlength=docs) < needed)).any():
+            raise ArithmeticError("a document's shingles fill fewer blocks than it must give; change the hash of the blocks")
     return np.concatenate(out), np.concatenate(who)
 
 
@@ -236,18 +234,19 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def sets(docs: DataFrame, key: str, text: str, k: int = WORDS) -> DataFrame:
-    """(key, n, sketch, shingles array<long>) of every document."""
+def sets(docs: DataFrame, text: str, k: int = WORDS) -> DataFrame:
+    """(id, n, sketch, shingles array<long>) of every document; id is the first signature of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, m, value, owner in _sets(batch, 1, k):
+            for _, m, value, owner in _sets(batch, 0, k):
+                s1, _ = _signatures(value, owner, m)
                 n = np.bincount(owner, minlength=m)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 flips = pa.array([sketch(value[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(n.astype(np.int64)), flips, pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(value)))], names=[key, "n", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s1)), pa.array(n.astype(np.int64)), flips, pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(value)))], names=["id", "n", "sketch", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, sketch binary, shingles array<bigint>")
+    return docs.select(text).mapInArrow(run, "id bigint, n bigint, sketch binary, shingles array<bigint>")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +291,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     """(key, n_shingles, component_id) of every document: the size of its set of distinct shingles of k words, and the
     smallest key in its component of linked documents (itself, if it has no words: such documents link with nothing).
 
-    Null texts count as empty. Documents with equal sets are one class, for which its smallest key stands; rows that
-    repeat a key are rows of their own.
+    Null texts count as empty. Documents with equal sets are one class, which its signature names; rows that repeat a key
+    are rows of their own, whatever their texts. A null key is no smallest key unless its component has no other.
     """
     every = staged(classes(docs, key, text, k), "classes")
-    one = every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(key).alias("id"), *(F.min(f).alias(f) for f in FLIPS))
-    one = staged(one, "class_ids")
+    one = every.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(key).alias("least"), *(F.min(f).alias(f) for f in FLIPS))
+    one = staged(one.withColumn("id", F.col("s1")), "class_ids")
     sized = one.select("s1", "id", F.col("n_shingles").alias("n"))
     # whoever shares fewer keys with all others together than it must share with one has no links
     shares = F.count(F.lit(1)).over(Window.partitionBy("s1"))
@@ -321,10 +320,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
             candidates = candidates.join(t, ["a", "b"], "left_anti")
         fresh = staged(candidates, "pairs")
         tested.append(fresh)
-        ids = staged(fresh.select(F.col("a").alias(key)).union(fresh.select("b")).distinct(), "ids")
-        wanted = docs.select(key, text).join(F.broadcast(ids) if ids.count() <= SMALL else ids, key, "left_semi")
-        of = staged(sets(wanted, key, text, k).dropDuplicates([key]), "sets")
-        links.append(linked(fresh, of.withColumnRenamed(key, "id")))
+        ids = staged(fresh.select(F.col("a").alias("id")).union(fresh.select("b")).distinct().join(one.select("id", "least"), "id"), "ids")
+        few = ids.count() <= SMALL
+        keys_ = ids.select(F.col("least").alias("__least")).distinct()
+        met = F.col(key).eqNullSafe(F.col("__least"))
+        # a key with several texts brings them all; those of other classes go again
+        wanted = docs.select(key, text).join(F.broadcast(keys_) if few else keys_, met, "left_semi")
+        found = sets(wanted, text, k).join(F.broadcast(ids.select("id")) if few else ids.select("id"), "id", "left_semi")
+        of = staged(found.dropDuplicates(["id"]), "sets")
+        links.append(linked(fresh, of))
         discarded(ids, of)
         released(docs.sparkSession)
         return components(reduce(DataFrame.union, links))
@@ -363,7 +367,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     labels = test(pairs(across, False))
     discarded(ranked, *tested, *links)
     released(docs.sparkSession)
-    mapped = one.join(labels, "id", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "id").alias("__component"))
+    labelled = one.join(labels, "id", "left").select("n_shingles", "s1", "s2", "least", F.coalesce("component", "id").alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("__component"))
+    mapped = labelled.join(smallest, "label").select("n_shingles", "s1", "s2", "__component")
     return every.join(mapped, ["n_shingles", "s1", "s2"], "left").select(key, "n_shingles", F.coalesce("__component", key).alias("component_id"))
 
 

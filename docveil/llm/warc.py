@@ -52,17 +52,18 @@ def http_head(size: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
 
 
-def record(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> Iterator[bytes]:
+def record(record_id: str, url: str | None, payload: bytes | memoryview, refers_to: str | None) -> Iterator[bytes]:
     """A record's gzip member in pieces: a response, or a revisit of `refers_to` without its payload."""
     view, sha = memoryview(payload), hashlib.sha1()
     for i in range(0, len(view), SLICE):
         sha.update(view[i : i + SLICE])
-    http = http_head(len(view))
+    size = len(view)
+    http = http_head(size)
     if refers_to is not None:
         view = view[:0]
     zip_ = zlib.compressobj(4, zlib.DEFLATED, 31)
     kind = "response" if refers_to is None else "revisit"
-    yield zip_.compress(head(record_id, kind, url, base32_sha1(sha.digest()), len(payload), refers_to, len(http) + len(view)) + http)
+    yield zip_.compress(head(record_id, kind, url, base32_sha1(sha.digest()), size, refers_to, len(http) + len(view)) + http)
     for i in range(0, len(view), SLICE):
         yield zip_.compress(view[i : i + SLICE])
     yield zip_.compress(b"\r\n\r\n") + zip_.flush()
@@ -132,15 +133,23 @@ class Reader:
         return f["WARC-Record-ID"][1:-1], f["WARC-Type"], size, digest, refers and refers[1:-1]
 
 
-def name(page_id: int) -> str:
-    return f"urn:page:{page_id}"
+def name(page_id: int | None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}"
+
+
+def page_of(record_id: str) -> int | None:
+    number = record_id.rpartition(":")[2]
+    return int(number) if number else None
 
 
 def write(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archives of pages (page_id, url, html) as a chunked record table in the shared folder.
 
     Of records with equal payloads of at least `least` bytes, that with the smallest page_id is a response and the
-    others revisit it; rows that repeat that page_id are responses too. Null html is an empty payload.
+    others revisit it; rows that repeat that page_id are responses too. Rows without a page_id revisit it as well, or are
+    all responses if none of them has one. Null html is an empty payload.
+
+    A payload is hashed and compressed slice by slice out of the batch that Spark hands over, never copied as a whole.
     """
     pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = pages.withColumn("digest", F.sha1("payload"))
@@ -158,7 +167,8 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         archive, at, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, first_id = (c[i].as_py() for c in batch.columns)
+                page, url, first_id = (batch.column(c)[i].as_py() for c in (0, 1, 3))
+                payload = memoryview(batch.column(2)[i].as_buffer())
                 refers = name(first_id) if first_id is not None and first_id != page else None
                 key, crc = f"{archive}/{at}", 0
                 for k, data in enumerate(chunks(record(name(page), url, payload, refers))):
@@ -192,7 +202,7 @@ def read(archives: DataFrame) -> DataFrame:
 
         def close() -> None:
             record_id, kind, size, digest, refers = reader.end()
-            rows.append((int(record_id.rpartition(":")[2]), size, digest, kind, refers and int(refers.rpartition(":")[2])))
+            rows.append((page_of(record_id), size, digest, kind, refers and page_of(refers)))
 
         for batch in batches:
             for i in range(batch.num_rows):

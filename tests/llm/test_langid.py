@@ -48,6 +48,30 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_weights_by_definition(spark):
+    rows = [(i, f"{'abc'[i % 3] * 3} {'xyz'[i % 3]}{i}", "l" + str(i % 3)) for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = np.zeros((3, langid.BUCKETS))
+    for _, text, lang in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        np.add.at(counts[int(lang[1])], langid.grams(raw, np.array([0, len(raw)]))[0], 1)
+    share = (counts + langid.SMOOTHING) / (counts + langid.SMOOTHING).sum(axis=1, keepdims=True)
+    code = langid.codewords(3)
+    want = np.stack([np.log(share[c > 0].mean(axis=0)) - np.log(share[c < 0].mean(axis=0)) for c in code.T], axis=1)
+    assert model.languages == ["l0", "l1", "l2"] and np.allclose(model.weights, want)
+
+
+def test_many_languages_are_all_learnt(spark):
+    """More labels than any cap: each with its own letters."""
+    say = lambda k: " ".join(chr(0x4E00 + 5 * k + j) * 3 for j in range(5)) + " "
+    rows = [(3 * k + i, say(k) * 4, f"l{k}") for k in range(300) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(df.withColumnRenamed("lang", "own"), langid.fit(df), keys=("own",)).collect()
+    assert sum(r.own == r.lang_pred for r in out) >= 0.98 * len(rows)
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumnRenamed("lang", "score"), langid.fit(df.limit(0)), keys=("score",))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = langid.op8(spark, sf_dir).collect()

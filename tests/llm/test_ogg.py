@@ -24,8 +24,11 @@ def test_checksum(data):
 def test_round_trip(n):
     payload = bytes((i * 31 + i // 255) % 256 for i in range(n))
     data = ogg.write(payload)
-    back, feature = ogg.read(data)
+    back, feature, starts = ogg.read(data)
     assert back == payload and f"streams=2;" in feature
+    size = ogg.PACKET_FRAMES * ogg.FRAME
+    halves = [sum(192 for i in range(n // 192) if i % 2 == k) for k in (0, 1)]
+    assert starts == [i / ogg.RATE for h in halves for i in range(0, h, size)]
     assert ogg.write(payload) == data
 
 
@@ -59,6 +62,23 @@ def test_edge_rows(spark):
     assert ogg.store(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_packet_times_on_pages_of_several_packets():
+    packets = [b"h", b"a" * 100, b"b" * 200, b"c" * 70000, b"d" * 30]
+    data = b"".join(p for _, p in ogg.pages(packets, [0, 100, 300, 70300, 70330], 7))
+    streams, _ = ogg.demultiplex(data)
+    assert ogg.times(streams[7], 10) == [0.0, 10.0, 30.0, 7030.0]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "abc", "p", 2, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, payload string, feature int, media_error string")
+    stored = ogg.store(df).join(df.drop("text"), "doc_id")
+    out = ogg.load(stored).first()
+    assert bytes(out.payload).strip() == b"abc" and out.media_error is None and out.packet_seconds == [0.0]
+    renamed = ogg.load(ogg.store(df).withColumnRenamed("media", "payload"), "payload").first()
+    assert bytes(renamed.payload).strip() == b"abc"
+
+
 def test_query(spark, sf_dir):
     rows = {r.doc_id: r for r in ogg.op6(spark, sf_dir).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():

@@ -15,7 +15,6 @@ PATH = P.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: [*t.encode(s, add_special_tokens=False).ids, packing.END_ID]
 
 
@@ -24,8 +23,10 @@ def test_tokens_equal_the_library(reference):
     rng = random.Random(5)
     texts = ["".join(rng.choice("abT 's\n\t　é١²x!_ \rS'llthe0ΣÉİ́日<|endoftext|>") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += [f"ab{chr(c)}Cd {chr(c)} 1" for c in range(0x2200)]
+    texts += ["see <|endoftext|> x", "<|startoftext|>", "a<|ENDOFTEXT|>b <|endoftext|><|endoftext|>", "<|endoftext |> <| endoftext|>"]
     for t, raw in zip(texts, mine.encode(texts)):
         assert [*np.frombuffer(raw, "<u4").tolist(), 2] == reference(t), repr(t)
+    assert np.frombuffer(mine.encode(["see <|endoftext|> x"])[0], "<u4").tolist() == [862, 49407, 343]
 
 
 def check(rows, capacity):

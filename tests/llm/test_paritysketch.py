@@ -118,3 +118,14 @@ def test_small_tables(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, ps.op5(spark, "/root/testdata/sf0.01").collect())) == slow_join(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    w, v, x, y = (say(n) for n in (60, 80, 400, 30))
+    rows = [(1, w), (1, v), (2, w + " more"), (3, v + " more"), (4, x), (4, x + " more"), (4, y), (5, y + " " + say(1)), (9, say(50))]
+    assert sorted(map(tuple, ps.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == slow_join(rows)
+    rows = [(None, w), (5, w), (None, v + " more"), (7, v), (None, y), (None, None)]
+    out = ps.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted([(None, 5), (5, 5), (None, 7), (7, 7), (None, None), (None, None)], key=str)

@@ -55,6 +55,13 @@ def test_edge_rows(spark):
     assert small.count() == 0
 
 
+def test_rows_without_an_id(spark):
+    rows = [(None, "u", "same"), (5, "u", "same"), (7, None, "same"), (None, "v", "lone"), (None, "w", "twin"), (None, "w", "twin")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(warc.write(df)).collect()), key=str)
+    assert out == sorted([(None, 4, "revisit", 5), (5, 4, "response", None), (7, 4, "revisit", 5), *[(None, 4, "response", None)] * 3], key=str)
+
+
 def test_query_and_archive(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, warc.op9(spark, sf_dir).collect()), key=str) == expected(rows)
