@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegralType, LongType, StructField, StructType
 
 from docveil.llm.anchors import BLOCK, SPAN, anchors
 from docveil.llm.common import blocks, discarded, partitions_for, released, staged, table, utf8
@@ -310,11 +311,11 @@ def split_copies(rows: DataFrame) -> list[DataFrame]:
         rows, width = rows.join(_bounded(hot), "gram", "left_semi"), width // 2
 
 
-def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters: bool) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) of every document, without the bytes in spans (key, first, end); with
+def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters: bool, carry: str) -> DataFrame:
+    """(carry, n_bytes, n_removed, n_spans, kept) of every document, without the bytes in spans (key, first, end); with
     `characters`, kept is also without what is left of characters that were cut in two."""
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.coalesce(F.col(key), F.lit(NO_ID)).cast("bigint").alias("key"), F.col(key).alias("id"), F.lit(0).alias("own"), F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("end"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = docs.schema[carry].dataType
+    texts = docs.select(F.coalesce(F.col(key), F.lit(NO_ID)).cast("bigint").alias("key"), F.col(carry).alias("id"), F.lit(0).alias("own"), F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("end"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     more = spans.select("key", F.lit(None).cast(kind).alias("id"), F.lit(-1).alias("own"), "first", "end", F.lit(None).cast("string").alias("text"))
     both = texts.unionByName(more).repartition(partitions_for(docs), "key").sortWithinPartitions("key", "own", "first")
 
@@ -344,19 +345,24 @@ def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters:
                 rows.append((batch.column(1)[i].as_py(), len(raw), gone, len(here), kept))
             if rows:
                 kinds = (batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.select("key", "id", "own", "first", "end", "text").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    counts = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    out = StructType([StructField(carry, kind), *counts, StructField("kept", BinaryType())])
+    return both.select("key", "id", "own", "first", "end", "text").mapInArrow(run, out)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept binary) of every document: its UTF-8 without each byte that is covered by a
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters: bool = False, carry: str | None = None) -> DataFrame:
+    """(carry, n_bytes, n_removed, n_spans, kept binary) of every document: its UTF-8 without each byte that is covered by a
     string of SPAN bytes which also starts earlier, in a document of smaller key or before in the same one.
 
     Null texts count as empty. Rows that repeat a key are one document, judged once and returned for each; if their texts
     differ, what is found in any of them is removed from all. A null key is the smallest. With `characters`, characters
-    that would be left in part are left out of `kept`, which then is UTF-8.
+    that would be left in part are left out of `kept`, which then is UTF-8. `carry` names the column that comes back with each
+    row, the key if it is not given. Keys are whole numbers.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} holds no whole numbers")
     found = staged(compared(gathered(docs, key, text)), "anchors")
     released(docs.sparkSession)
     whole = found.where("gram is null").select("key", F.shiftright("packed", 16).alias("first"), (F.shiftright("packed", 16) + F.shiftright("packed", 8).bitwiseAND(255) + SPAN - 1).alias("end"))
@@ -368,7 +374,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters:
         released(docs.sparkSession)
     partly = staged(sorted_copies(surroundings(docs, different, key, text)), "copies")
     released(docs.sparkSession)
-    return removed(docs, reduce(DataFrame.union, [partly, *split], whole), key, text, characters)
+    return removed(docs, reduce(DataFrame.union, [partly, *split], whole), key, text, characters, carry or key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_packing import reference, verify  # noqa: F401
@@ -51,3 +52,17 @@ def test_edge_rows(spark, tmp_path, reference):  # noqa: F811
     empty = tmp_path / "none"
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    long = "Der Hund und die Katze gehen heute in den Wald und essen dort einen Kuchen "
+    rows = [(i, f"{long} {i} {i + 1} {i * 7} ende {'hund ' * i}", "de", 0.5, True, "x", "k", 3, 2) for i in range(6)]
+    rows += [(0, "The cat and the dog walk into a wood and eat the cake that is there", "en", 0.5, True, "x", "k", 3, 2), (None, "Le chat et le chien vont dans la forêt pour manger un gâteau", "fr", 0.1, None, "", "", 1, 2), (None, "El gato y el perro van al bosque para comer una tarta buena", "es", 0.1, None, "", "", 1, 2)]
+    kind = "doc_id long, text string, lang string, score double, ambiguous boolean, lang_pred string, kept string, kept_id int, row int"
+    docs = spark.createDataFrame(rows, kind).withColumn("n_chars", F.length("text").cast("long")).withColumn("key", F.lit("clash"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = corpus_pipeline.staged(stage(spark, now, ""), name)
+        assert now.columns == docs.columns
+    out = now.collect()
+    assert {(r.doc_id, r.lang) for r in out if r.lang != "de"} == {(0, "en"), (None, "es"), (None, "fr")}
