@@ -15,22 +15,26 @@ from docveil.llm.common import staged, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Those without a letter, and those about as near to two languages, go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    told = langid.predict(docs, model, keys=tuple(docs.columns))
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(docs.columns)
+    told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), model, keys=("row",))
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    groups = paritysketch.join(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked documents the one with the smallest doc_id (none is the smallest). Rows with the same doc_id and
+    the same text are one document; with other texts, they are others."""
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    groups = paritysketch.join(rows, key="key")
+    stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("stay")).distinct()
+    return rows.join(stay, F.col("key").eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that have been before; those of which nothing is left go."""
-    kept = suffixdedup.dedup(docs, characters=True).select(F.col("doc_id").alias("kept_id"), F.col("kept").cast("string").alias("kept"))
-    rest = docs.drop("text", "n_chars").join(kept.where("kept <> ''"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return rest.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(docs.columns)
+    """Documents without passages that have been before; those of which nothing is left go. Rows that share a doc_id are one
+    document to the operator: what any of them repeats goes from all."""
+    others = F.struct(*(F.col(c) for c in docs.columns if c not in ("text", "n_chars")))
+    kept = suffixdedup.dedup(docs.select(others.alias("row"), "doc_id", "text"), characters=True, carry="row")
+    rest = kept.select("row.*", F.col("kept").cast("string").alias("text")).where("text <> ''")
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
