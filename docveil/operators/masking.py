@@ -6,37 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docveil.operators import filters, resolve, rules, terms, vault
+from docveil.operators.match import let
 from docveil.operators.rules import Rule
+from docveil.operators.staging import kept
 
 
-def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True) -> DataFrame:
-    """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`."""
+def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True, once: bool = False) -> DataFrame:
+    """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`. With `once`, candidates are written
+    before they are filtered, and only documents that have some come back."""
     t, c = F.col(text), F.col("candidates")
     out = rules.detect(docs, chosen, text)
     if entries:
         out = out.withColumn("candidates", F.concat(c, filters.dictionary(t, entries)))
+    if once:
+        out = kept(out.where(F.size("candidates") > 0), "candidates")
     if allow:
         out = out.withColumn("__allowed", filters.allowed(t, allow)).withColumn("candidates", filters.outside(c, F.col("__allowed"), "SOZLUK"))
     people = any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)
     if definitions and people:
-        out = out.withColumn("__terms", terms.definitions(t)).withColumn("candidates", terms.without_defined(c, F.col("__terms")))
+        out = out.withColumn("candidates", let(terms.definitions(t), lambda d: terms.without_defined(c, d)))
     if citations and people:
-        out = out.withColumn("__cited", terms.foreign_citations(t)).withColumn("candidates", filters.outside(c, F.col("__cited"), "SOZLUK"))
+        out = out.withColumn("candidates", let(terms.foreign_citations(t), lambda a: filters.outside(c, a, "SOZLUK")))
     if citations and any(r.entity == "TR_DOSYA_NO" for r in chosen):
         out = out.withColumn("candidates", filters.without_citations(t, c))
-    out = out.withColumn("kept", resolve.resolve(filters.certain(c, threshold)))
+    out = out.withColumn("candidates", F.when(F.size(c) > 0, c).otherwise(F.array().cast(rules.FINDINGS)))
+    out = out.withColumn("kept", let(c, lambda found: resolve.resolve(filters.certain(found, threshold))))
     if propagation and (entries or people):
-        more = resolve.propagate(t, F.col("kept"))
-        out = out.withColumn("kept", F.concat("kept", filters.outside(more, F.col("__allowed")) if allow else more)).withColumn("kept", resolve.resolve(F.col("kept")))
-    return out.withColumn("suspects", resolve.resolve(filters.suspects(c, F.col("kept"), threshold))).drop("__allowed", "__terms", "__cited")
+        wider = lambda k: F.concat(k, filters.outside(resolve.propagate(t, k), F.col("__allowed")) if allow else resolve.propagate(t, k))
+        out = out.withColumn("kept", let(let(F.col("kept"), wider), resolve.resolve))
+    both = F.struct("candidates", "kept")
+    return out.withColumn("suspects", let(both, lambda b: resolve.resolve(filters.suspects(b["candidates"], b["kept"], threshold)))).drop("__allowed")
 
 
 def mask_documents(docs: DataFrame, chosen: list[Rule], matter: str = "source", known: DataFrame | None = None, **options) -> DataFrame:
-    """docs (doc_id, text, matter) with `masked`, `n_findings` and `n_suspects`."""
+    """docs (doc_id, text, matter) with `masked`, `n_findings` and `n_suspects`. Texts are scanned once: what was found is
+    written without the texts, and labels, edits and counts come from there."""
     rows = docs.select("doc_id", F.col(matter).alias("matter_id"), "text")
-    found = resolved(rows, chosen, **options)
+    found = kept(resolved(rows, chosen, once=True, **options).select("doc_id", "matter_id", "kept", F.size("suspects").alias("n_suspects")), "findings")
     findings = found.select("doc_id", "matter_id", F.inline("kept"))
     labels = vault.number_values(findings.select("matter_id", "doc_id", "start", "label_type", "canonical", "text"), known)
     masked = vault.mask(rows, findings.drop("text"), labels)
-    counts = found.select("doc_id", F.size("kept").alias("n_findings"), F.size("suspects").alias("n_suspects"))
-    return masked.join(counts, "doc_id")
+    counts = found.select("doc_id", F.size("kept").alias("n_findings"), "n_suspects")
+    zero = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_findings", "n_suspects")]
+    return masked.join(counts, "doc_id", "left").select(*masked.columns, *zero)

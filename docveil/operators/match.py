@@ -6,15 +6,17 @@ a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, text>> of all matches, left to right, in code points. The pattern matches no empty text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
@@ -29,6 +31,11 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, also where body uses it for each of many things."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def line_number(text: Column, start: Column) -> Column:
     """The line, from 1, on which a place lies."""
     return F.size(F.split(F.substring(text, F.lit(1), start), "\n"))

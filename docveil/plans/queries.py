@@ -49,7 +49,7 @@ LUHN_SQL = """(length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1,
 KEY_SQL = r"trim(regexp_replace(lower(translate(m, 'Iİ', 'ıi')), '[ \t\r\n\x0B\f]+', ' ', 'g'))"
 DETECT_SQL = {
     "email": f"SELECT doc_id, matter_id, full_text, s, e, m, 100 AS score, 'EPOSTA' AS label_type, 'EPOSTA' AS entity, {KEY_SQL} AS canonical FROM {spans_sql(BY_NAME['email'].pattern)}",
-    "ip": f"SELECT doc_id, matter_id, full_text, s, e, m, 60 AS score, 'IP' AS label_type, 'IP' AS entity, {KEY_SQL} AS canonical FROM {spans_sql(BY_NAME['ip'].pattern)} WHERE list_max(list_transform(string_split(m, '.'), lambda x: x::INT)) <= 255",
+    "ip": f"SELECT doc_id, matter_id, full_text, s, e, m, 60 AS score, 'IP' AS label_type, 'IP' AS entity, {KEY_SQL} AS canonical FROM {spans_sql('[0-9]+(?:[.][0-9]+)*')} WHERE regexp_full_match(m, '[0-9]{{1,3}}(?:[.][0-9]{{1,3}}){{3}}') AND list_max(list_transform(string_split(m, '.'), lambda x: try_cast(x AS INT))) <= 255",
     "card": f"SELECT doc_id, matter_id, full_text, s, e, m, 100 AS score, 'KART' AS label_type, 'KART' AS entity, d AS canonical FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM {spans_sql(BY_NAME['card'].pattern)}) WHERE {LUHN_SQL}",
 }
 FOUND_SQL = " UNION ALL ".join(DETECT_SQL.values())
@@ -83,12 +83,12 @@ def mask_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return masking.resolved(docs, STANDARD).select("doc_id", F.inline("suspects"))
+    return masking.resolved(docs, STANDARD, once=True).select("doc_id", F.inline("suspects"))
 
 
 def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return masking.resolved(docs, STANDARD, propagation=False).select("doc_id", F.inline("kept"))
+    return masking.resolved(docs, STANDARD, propagation=False, once=True).select("doc_id", F.inline("kept"))
 
 
 def unmask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,21 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers.expat import ExpatError
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docveil.sources.nodes import Node, of_content, of_part
+
+#: The most entries, and unpacked bytes, of an archive that is opened. Fixed values.
 ENTRIES, UNPACKED = 5000, 400 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PARTS = ("word/document.xml", "word/header", "word/footer", "word/footnotes", "word/endnotes", "word/comments")
+#: Kinds of parts with text, in the order in which their texts follow each other.
+KINDS = ("document", "header", "footer", "footnotes", "endnotes", "comments")
+IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
 
 class Unreadable(ValueError):
@@ -32,54 +37,62 @@ def _open(raw: bytes) -> zipfile.ZipFile:
     return z
 
 
-def docx_text(raw: bytes) -> tuple[str, list[str]]:
-    """A package's text (the body, then headers, footers, notes and comments) and warnings."""
-    z = _open(raw)
-    names = [n for p in PARTS for n in sorted(z.namelist()) if n.startswith(p) and n.endswith(".xml")]
-    if "word/document.xml" not in names:
+def docx_parts(z: zipfile.ZipFile) -> list[str]:
+    """The names of a package's parts with text, in order."""
+    stems = {n: re.fullmatch(r"word/([a-z]+)\d*\.xml", n) for n in z.namelist()}
+    found = sorted((KINDS.index(m[1]), len(n), n) for n, m in stems.items() if m and m[1] in KINDS)
+    if "word/document.xml" not in z.namelist():
         raise Unreadable("no document in the package")
-    out, seen = [], set()
-    for n in names:
+    return [n for *_, n in found]
+
+
+def docx_nodes(raw: bytes) -> tuple[list[tuple[str, Node]], list[str]]:
+    """(part, node) of all text in a package, places counted over the whole text, in which a line end parts the parts; and
+    warnings."""
+    z = _open(raw)
+    out, at, seen = [], 0, set()
+    for name in docx_parts(z):
         try:
-            root = ElementTree.fromstring(z.read(n))
-        except ElementTree.ParseError as e:
-            raise Unreadable(f"{n} is not XML") from e
-        for e in root.iter():
-            tag = e.tag.removeprefix(W)
-            if tag in ("t", "delText", "instrText"):
-                out.append(e.text or "")
-            elif tag == "tab":
-                out.append("\t")
-            elif tag in ("br", "cr"):
-                out.append("\n")
-            elif tag in ("ins", "del"):
-                seen.add("tracked changes")
-            elif tag == "p":
-                out.append("\n") if out else None
-    seen |= {"comments" for n in names if n.startswith("word/comments")} | {"media" for n in z.namelist() if n.startswith("word/media/")} | {"embedded objects" for n in z.namelist() if n.startswith("word/embeddings/")}
-    return "".join(out), sorted(seen)
+            found, warnings = of_part(z.read(name))
+        except (ExpatError, ValueError) as e:
+            raise Unreadable(f"{name} is not XML") from e
+        if out and found:
+            out.append((name, Node("\n", at, -1, -1)))
+            at += 1
+        out += [(name, Node(n.text, at + n.start, n.first, n.end)) for n in found]
+        at += sum(len(n.text) for n in found)
+        seen |= warnings | ({"comments"} if name.startswith("word/comments") else set())
+    folders = {"word/media/": "media", "word/embeddings/": "embedded objects"}
+    seen |= {what for folder, what in folders.items() for n in z.namelist() if n.startswith(folder)}
+    return out, sorted(seen)
+
+
+def docx_text(raw: bytes) -> tuple[str, list[str]]:
+    """A package's text (the body, then headers, footers, notes and comments; deleted runs too) and warnings."""
+    nodes, seen = docx_nodes(raw)
+    return "".join(n.text for _, n in nodes), seen
 
 
 def udf_text(raw: bytes) -> tuple[str, list[str]]:
-    """The text of a UDF package: the CDATA of its content.xml."""
+    """The text of a UDF package: all character data of its content.xml's content."""
     z = _open(raw)
     if "content.xml" not in z.namelist():
         raise Unreadable("no content.xml in the package")
-    content = z.read("content.xml").decode("utf-8-sig").replace("\r\n", "\n")
-    m = re.search(r"<content>\s*(?:<!\[CDATA\[(.*?)\]\]>|(.*?))\s*</content>", content, re.S)
-    if m is None:
-        raise Unreadable("no content in content.xml")
-    return (m[1] if m[1] is not None else ElementTree.fromstring(f"<x>{m[2]}</x>").text or ""), []
+    try:
+        return of_content(z.read("content.xml"))[0], []
+    except (ExpatError, ValueError) as e:
+        raise Unreadable("no content in content.xml") from e
 
 
 def udf_package(text: str) -> bytes:
     """A UDF package: one paragraph a line, its place and length in UTF-16 units, line end included."""
     units = lambda s: len(s.encode("utf-16-le")) // 2
     at, paragraphs = 0, []
-    for line in text.splitlines(keepends=True) or [""]:
+    text = re.sub("\r\n?", "\n", text)  # as XML reads line ends
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text) or [""]:
         paragraphs.append(f'<paragraph><content startOffset="{at}" length="{units(line)}"/></paragraph>')
         at += units(line)
-    body = text.replace("]]>", "]]]]><![CDATA[>") if "]]>" in text else text
+    body = text.replace("]]>", "]]]]><![CDATA[>")
     xml = f'<?xml version="1.0" encoding="UTF-8"?><template><content><![CDATA[{body}]]></content><elements>{"".join(paragraphs)}</elements></template>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -126,6 +139,10 @@ def documents(files: DataFrame) -> DataFrame:
             rows = []
             for path, kind, raw in zip(f["path"], f["format"], f["content"]):
                 try:
+                    if kind == "doc":
+                        raise Unreadable("the old binary format; save it as docx")
+                    if kind in IMAGES or kind == "pdf":
+                        raise Unreadable("no text layer can be read here")
                     if kind not in READERS:
                         raise Unreadable("unsupported format")
                     text, warnings = READERS[kind](bytes(raw))

@@ -1,3 +1,5 @@
+import pytest
+import random
 import io
 import re
 import zipfile
@@ -70,6 +72,58 @@ def test_udf_offsets_move():
 
 def test_docx_edits():
     raw = files.docx_package("Sayın **Ayşe** Kaya & Co")
-    back = rewrite.docx_edited(raw, {"word/document.xml": [(6, 15, "{{KISI-01}}")]})
+    back = rewrite.docx_edited(raw, [(6, 15, "{{KISI-01}}")])
     assert files.docx_text(back)[0].strip() == "Sayın {{KISI-01}} & Co"
-    assert files.docx_text(rewrite.docx_edited(raw, {}))[0] == files.docx_text(raw)[0]
+    assert files.docx_text(rewrite.docx_edited(raw, []))[0] == files.docx_text(raw)[0]
+
+
+NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+TRACKED = f"""<w:document xmlns:w="{NS}"><w:body><w:p><w:r><w:t a=">">Bora</w:t></w:r><w:r><w:tab/><w:t> Tek</w:t></w:r></w:p>
+<w:p><w:del w:author="Ali"><w:r><w:delText>Secret Ada</w:delText></w:r></w:del><w:r><w:instrText>MAILTO x</w:instrText><w:t/></w:r></w:p></w:body></w:document>"""
+
+
+def package(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name.replace("__", "/") + ".xml", xml)
+    return out.getvalue()
+
+
+def test_deleted_text_and_other_prefixes_are_edited():
+    raw = package(word__document=TRACKED, word__header1=f'<x:hdr xmlns:x="{NS}"><x:p><x:r><x:t>Head &amp; co</x:t></x:r></x:p></x:hdr>', docProps__core="<p><dc:creator>Ali</dc:creator><z>k</z></p>")
+    text, warnings = files.docx_text(raw)
+    assert text == "Bora\t Tek\nSecret Ada\nHead & co" and warnings == ["tracked changes"]
+    back = rewrite.docx_edited(raw, [(text.index("Secret"), text.index("Secret") + 10, "{{K-1}}"), (0, 9, "{{K-2}}"), (text.index("Head"), text.index("Head") + 6, "<&")])
+    assert files.docx_text(back)[0] == "{{K-2}}\t\n{{K-1}}\n<& co"
+    whole = b"".join(zipfile.ZipFile(io.BytesIO(back)).read(n) for n in zipfile.ZipFile(io.BytesIO(back)).namelist())
+    assert b"Ali" not in whole and b"Secret" not in whole and b"MAILTO" not in whole and b"<z>k</z>" in whole
+    for bad in ([(0, 3, "a"), (2, 5, "b")], [(0, 99, "a")], [(4, 5, "only a tab")]):
+        with pytest.raises(files.Unreadable):
+            rewrite.docx_edited(raw, bad)
+
+
+def test_udf_of_several_sections():
+    raw = package(content='<?xml version="1.0"?><template><content><![CDATA[ one]]> mid &amp; <![CDATA[two]]>\r\nx\ry</content><elements><c length="4" startOffset="0"/><c startOffset="4" length="3"/></elements></template>')
+    assert files.udf_text(raw)[0] == " one mid & two\nx\ny"
+    xml = zipfile.ZipFile(io.BytesIO(rewrite.udf_edited(raw, [(1, 4, "four")]))).read("content.xml").decode()
+    assert '<c length="5" startOffset="0"/><c startOffset="5" length="3"/>' in xml
+    for text in ("a]]>b", "  lead\nx", "", " \n"):
+        assert files.udf_text(files.udf_package(text))[0] == text
+    rng = random.Random(1)
+    for _ in range(300):
+        s = "".join(rng.choice("ab😀\n<&]>é ") for _ in range(rng.randint(0, 30)))
+        cuts = sorted(rng.sample(range(len(s) + 1), min(len(s) + 1, 2 * rng.randint(0, 3)) // 2 * 2))
+        edits = [(a, b, rng.choice(["", "Z", "😀]]>"])) for a, b in zip(cuts[::2], cuts[1::2])]
+        want = s
+        for a, b, r in reversed(edits):
+            want = want[:a] + r + want[b:]
+        assert files.udf_text(rewrite.udf_edited(files.udf_package(s), edits))[0] == want
+
+
+def test_packages_as_tables(spark):
+    rows = [("a.udf", bytearray(files.udf_package("Ali 1"))), ("b.docx", bytearray(package(word__document=TRACKED))), ("c.txt", bytearray(b"Ali")), ("d.docx", bytearray(b"broken")), ("e.txt", bytearray(b"as it is"))]
+    edits = [("a.udf", 0, 3, "X"), ("b.docx", 10, 20, "Y"), ("c.txt", 2, 9, "Z")]
+    out = {r.path: r for r in rewrite.packages(spark.createDataFrame(rows, "path string, content binary"), spark.createDataFrame(edits, "path string, start int, end int, replacement string")).collect()}
+    assert files.udf_text(bytes(out["a.udf"].content))[0] == "X 1" and "Secret" not in files.docx_text(bytes(out["b.docx"].content))[0]
+    assert out["c.txt"].content is None and out["c.txt"].error and out["d.docx"].content is None and bytes(out["e.txt"].content) == b"as it is"

@@ -108,6 +108,33 @@ def test_version_law(seed):
         assert "".join(a for _, a, _ in parts) == x and "".join(b for _, _, b in parts) == y
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_pairs_add_up_to_the_most(seed):
+    """Against every chain, by a table over both sides."""
+    rng = random.Random(seed)
+    for _ in range(150):
+        say = lambda: " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 4)))
+        a = [say() for _ in range(rng.randint(0, 7))]
+        b = [say() if rng.random() < 0.5 or not a else rng.choice(a) for _ in range(rng.randint(0, 7))]
+        like = [[diff.alike(diff.bag(x), diff.bag(y)) for y in b] for x in a]
+        most = {(i, j): 0.0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                own = like[i - 1][j - 1]
+                most[i, j] = max(most[i - 1, j], most[i, j - 1], most[i - 1, j - 1] + own if own >= diff.BLOCK else 0)
+        pairs = diff.paired(a, b)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+        assert abs(sum(like[i][j] for i, j in pairs) - most[len(a), len(b)]) < 1e-9
+
+
+def test_long_regions_and_tables():
+    old = [f"clause {i} says {i * 7} and {i * 13} words" for i in range(600)]
+    new = ["an inserted clause of its own", *(x + " more" for x in old)]
+    assert diff.aligned(old, new)[0] == ("added", None, 0) and all(k == "changed" and j == i + 1 for k, i, j in diff.aligned(old, new)[1:])
+    rows = diff.table_changes([["a b c", "1"], ["d e f", "2"]], [["a b c", "9", "new"], ["x y z", "7"]])
+    assert rows[0] == ("changed", 0, 0, [("changed", 1), ("added", 2)]) and {r[0] for r in rows[1:]} == {"deleted", "added"}
+
+
 def test_compare(spark):
     old = spark.createDataFrame([(1, 0, "same"), (1, 1, "the old text of it"), (2, 0, "gone")], "pair_id long, block_idx int, text string")
     new = spark.createDataFrame([(1, 0, "same"), (1, 1, "the new text of it"), (1, 2, "more")], "pair_id long, block_idx int, text string")
@@ -126,7 +153,7 @@ def test_files(spark, tmp_path):
     out = {r.path.rpartition("/")[2]: r for r in files.read(spark, str(tmp_path)).collect()}
     assert out["a.txt"].text == "plain é😀" and out["b.udf"].text == "bir\n😀 iki ]> & son"
     assert out["c.docx"].text.split("\n")[:2] == ["Head", "• item bold & more"]
-    assert out["d.docx"].text is None and out["d.docx"].error == "not an archive" and out["e.doc"].error == "unsupported format"
+    assert out["d.docx"].text is None and out["d.docx"].error == "not an archive" and out["e.doc"].error == "the old binary format; save it as docx"
     content = zipfile.ZipFile(io.BytesIO(files.udf_package("😀\nx"))).read("content.xml").decode()
     assert 'startOffset="0" length="3"' in content and 'startOffset="3" length="1"' in content
     md = "# T\n| a | b |\n|---|---|\n| c | d |\n* x **y**"
