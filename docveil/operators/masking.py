@@ -19,7 +19,10 @@ def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: l
     if entries:
         out = out.withColumn("candidates", F.concat(c, filters.dictionary(t, entries)))
     if once:
-        out = kept(out.where(F.size("candidates") > 0), "candidates")
+        # without a filter before the writing, which would scan each text twice
+        both = let(c, lambda k: F.struct(k.alias("candidates"), F.when(F.size(k) > 0, t).alias(text)))
+        others = [x for x in out.columns if x not in ("candidates", text)]
+        out = kept(out.select(*others, both.alias("__both")).select(*others, "__both.*"), "candidates").where(F.size("candidates") > 0)
     if allow:
         out = out.withColumn("__allowed", filters.allowed(t, allow)).withColumn("candidates", filters.outside(c, F.col("__allowed"), "SOZLUK"))
     people = any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)

@@ -30,6 +30,9 @@ WORD = "[\\p{L}\\p{N}_]"
 #: Words of a trade; a company's name up to one of them may stand for it. Fixed values.
 TRADES = ("enerji", "inşaat", "lojistik", "holding", "sigorta", "gıda", "tekstil", "turizm", "otomotiv", "yazılım", "teknoloji", "madencilik", "bankası", "sanayi", "makina", "elektrik", "sağlık", "ilaç")
 
+#: One pattern instead of a list of literals, which would be copied wherever it is used.
+GIVEN_NAME, TRADE = (f"^(?:{'|'.join(names)})$" for names in (GIVEN, TRADES))
+
 
 def literal_spans(text: Column, value: Column, any_case: bool = True) -> Column:
     """Places of a literal value (a column) in text, whole words with any white space between them, left to right without
@@ -45,7 +48,7 @@ def short_forms(company: Column) -> Column:
     body = F.regexp_replace(company, f"(?iu)[ ,]+{FORMS}[ ,.]*$", "")
     words = F.split(body, "[ \t\r\n]+")
     n = F.size(words)
-    ends = F.filter(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: (i < n) & tr_lower(F.get(words, i - 1)).isin(*TRADES))
+    ends = F.filter(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: (i < n) & tr_lower(F.get(words, i - 1)).rlike(TRADE))
     beginnings = F.transform(ends, lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
     whole = F.when(n >= 2, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
     return F.when(body != company, F.array_distinct(F.concat(whole, beginnings))).otherwise(F.array().cast("array<string>"))
@@ -61,14 +64,14 @@ def propagate(text: Column, kept: Column) -> Column:
     """
     capital = lambda t: t.rlike(f"(?:^|[ ])[{CAPITAL}]")
     words = lambda f: F.split(f["text"], "[ \t\r\n]+")
-    own = lambda f: (F.size(words(f)) > 1) | f["text"].isin(*GIVEN) | f["text"].rlike(f"^[{CAPITAL}]{{3,}}$")
+    own = lambda f: (F.size(words(f)) > 1) | f["text"].rlike(GIVEN_NAME) | f["text"].rlike(f"^[{CAPITAL}]{{3,}}$")
     proper = lambda f: (F.length(f["text"]) >= 3) & capital(f["text"]) & ((f["entity"] != "PERSON") | own(f))
     eligible = F.filter(kept, lambda f: (f["entity"] == "SOZLUK") | f["entity"].isin("PERSON", "TR_TUZEL_KISI") & proper(f))
     distinct = F.aggregate(
         eligible, F.array().cast(FINDINGS), lambda acc, f: F.when(F.exists(acc, lambda k: (k["canonical"] == f["canonical"]) & (k["label_type"] == f["label_type"]) & (k["text"] == f["text"])), acc).otherwise(F.concat(acc, F.array(f)))
     )
     surname = lambda f: F.when(F.element_at(words(f), -1).rlike(f"^[{CAPITAL}'’-]{{3,}}$"), F.element_at(words(f), -1)).otherwise("")
-    given = lambda f: F.when(F.element_at(words(f), 1).isin(*GIVEN), F.element_at(words(f), 1)).otherwise("")
+    given = lambda f: F.when(F.element_at(words(f), 1).rlike(GIVEN_NAME), F.element_at(words(f), 1)).otherwise("")
     score = lambda f: F.greatest(F.least(f["score"], F.lit(70)), F.lit(THRESHOLD))
 
     def elsewhere(people: Column, part) -> Column:
