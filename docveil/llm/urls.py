@@ -1,8 +1,9 @@
 """URL filter by a path-template tree, in DataFrame operations only.
 
-Below each host, path segments that are rare among their siblings become wildcards; frequent siblings whose labels and
-next segments do not differ statistically are merged; a template is rejected if the smoothed share of blocked pages among
-its labelled ones is more than half. Rules for hosts and paths label pages, and decide where they fit.
+Below each host, path segments that few pages have become wildcards; the others stay literal, and siblings whose labels and
+next segments do not differ statistically are merged. The tree goes down as long as a node has pages enough to split. A
+template is rejected if the smoothed share of blocked pages among its labelled ones is more than half. Rules for hosts and
+paths label pages, and decide where they fit.
 """
 
 from __future__ import annotations
@@ -12,16 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docveil.llm.common import staged, table
+from docveil.llm.common import discarded, staged, table
 from docveil.llm.html import host
 
-#: Levels of the tree; what lies deeper is one last wildcard.
-LEVELS = 3
-#: A segment stays literal if it has at least so many pages, and at least one in FREQUENT of its siblings' pages.
+#: Pages that a segment needs to stay literal, and a node to be split.
 LEAST = 8
-FREQUENT = 20
-#: Siblings merge if both have so many labels, a chi-squared test on one degree of freedom does not tell their shares of
-#: blocked pages apart (5 %), and the distributions of their next segments' shapes differ by at most a fifth.
+#: Labelled pages from which on a segment's share of blocked pages is tested against its siblings', and the bound of that
+#: chi-squared test (one degree of freedom, 5 %).
 LABELS = 10
 CHI2 = 3.841
 #: Weight of the corpus's share of blocked pages, in labelled pages, in a template's share.
@@ -62,59 +60,67 @@ def shape(segment: Column) -> Column:
     return F.when(segment.isNull(), 0).when(segment.rlike("^[0-9]+$"), 1).when(segment.rlike("[0-9]"), 2).otherwise(3)
 
 
-def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """pages (with host, path and the labels `blocked`: 1, 0 or null) with `template`."""
+def templates(pages: DataFrame) -> DataFrame:
+    """pages (with host, path and the labels `blocked`: 1, 0 or null) with `template`.
+
+    One round a level, for the pages of nodes that may still split; what is below a node of fewer than LEAST pages is one
+    last wildcard `**`. The rounds end with the deepest path that LEAST pages of a host share up to wildcards.
+    """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = pages.withColumn("__segments", segments).withColumn("template", F.lit(""))
-    for i in range(levels):
-        here, following = F.get("__segments", F.lit(i)), F.get("__segments", F.lit(i + 1))
-        rows = rows.withColumn("__segment", here).withColumn("__shape", shape(following))
-        below = rows.where("__segment is not null")
-        children = below.groupBy("host", "template", "__segment").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("blocked").alias("m"),
-            F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"),
-            *(F.count_if(F.col("__shape") == k).alias(f"s{k}") for k in range(4)),
-        )
-        total = below.groupBy("host", "template").agg(F.count(F.lit(1)).alias("total"))
-        literal = children.where(F.col("n") >= LEAST).join(total, ["host", "template"]).where(F.col("n") * FREQUENT >= F.col("total"))
-        literal = staged(literal.drop("total"), "literal")
-        names = merged(literal)
-        rows = rows.join(names, ["host", "template", "__segment"], "left").withColumn(
-            "template", F.when(F.col("__segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("__name", F.lit("*"))))
+    rows = staged(pages.withColumn("template", F.lit("")).withColumn("__rest", segments).withColumn("__open", F.size(segments) > 0), "pages")
+    done = [rows.where("not __open")]
+    while True:
+        here = rows.where("__open").withColumn("__segment", F.get("__rest", F.lit(0))).withColumn("__shape", shape(F.get("__rest", F.lit(1))))
+        children = staged(
+            here.groupBy("host", "template", "__segment").agg(
+                F.count(F.lit(1)).alias("n"),
+                F.count("blocked").alias("m"),
+                F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"),
+                *(F.count_if(F.col("__shape") == k).alias(f"s{k}") for k in range(4)),
+            ),
+            "children",
         )
-        rows = rows.drop("__name", "__segment", "__shape")
-    deeper = F.size("__segments") > levels
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("__segments")
-
-
-def merged(literal: DataFrame) -> DataFrame:
-    """(host, template, __segment, __name) of literal segments: the name of the sibling each is merged into, or its own.
-
-    A node has at most FREQUENT literal segments. A leader has no larger similar sibling; others join their largest
-    similar leader.
+        names = staged(named(children.where(F.col("n") >= LEAST)), "names")
+        name = F.concat("template", F.lit("/"), F.coalesce("__name", F.lit("*"))).alias("template")
+        on = children.join(names, ["host", "template", "__segment"], "left").withColumn("__further", F.col("n") - F.col("s0"))
+        nodes = on.groupBy("host", name).agg(F.sum("__further").alias("__further")).where(F.col("__further") >= LEAST)
+        nodes = staged(nodes.select("host", "template", F.lit(True).alias("__splits")), "nodes")
+        below = here.join(names, ["host", "template", "__segment"], "left").withColumn("template", name).withColumn("__rest", F.expr("slice(__rest, 2, size(__rest))"))
+        below = below.join(nodes, ["host", "template"], "left").withColumn("__open", (F.size("__rest") > 0) & F.col("__splits").isNotNull())
+        rows = staged(below.select(rows.columns), "pages")
+        done.append(rows.where("not __open"))
+        last = nodes.isEmpty()
+        discarded(children, names, nodes)
+        if last:
+            break
+    deeper = F.when(F.size("__rest") > 0, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+    return reduce(DataFrame.union, done).withColumn("template", deeper).drop("__rest", "__open")
+
+
+def named(literal: DataFrame) -> DataFrame:
+    """(host, template, __segment, __name) of literal segments: the name of the largest sibling of the same class.
+
+    A class is told from a segment and the sums over its siblings, so that no two segments have to meet. Labels: none;
+    fewer than LABELS; or whether the share of blocked pages is above, below or like that of the other siblings, and whether it
+    is more than half. Next segments: whether the distribution of their shapes is within a fifth of all siblings', else
+    the shape that is furthest above.
     """
-    a, b = literal.where(F.col("m") >= LABELS).alias("a"), literal.where(F.col("m") >= LABELS).alias("b")
     c = F.col
-    larger = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.__segment") > c("b.__segment")))
-    blocked, labelled = c("a.b") + c("b.b"), c("a.m") + c("b.m")
-    cross = (c("a.b") * c("b.m") - c("b.b") * c("a.m")).cast("double")
-    spread = (c("a.m") * c("b.m")).cast("double") * blocked * (labelled - blocked)
-    same_labels = (spread == 0) | (cross * cross * labelled <= CHI2 * spread)
-    apart = reduce(lambda x, y: x + y, (F.abs(c(f"a.s{k}") * c("b.n") - c(f"b.s{k}") * c("a.n")) for k in range(4)))
-    same_shapes = apart * 5 <= c("a.n") * c("b.n") * 2
-    keys = [c("a.host") == c("b.host"), c("a.template") == c("b.template")]
-    pairs = staged(
-        a.join(b, [*keys, larger, same_labels, same_shapes]).select(
-            c("a.host").alias("host"), c("a.template").alias("template"), c("a.__segment").alias("__segment"), c("b.__segment").alias("__into"), c("b.n").alias("n")
-        ),
-        "similar",
-    )
-    followers = pairs.select("host", "template", F.col("__segment").alias("__into")).distinct()
-    led = pairs.join(followers, ["host", "template", "__into"], "left_anti")
-    chosen = led.groupBy("host", "template", "__segment").agg(F.max("n").alias("n")).join(led, ["host", "template", "__segment", "n"])
-    chosen = chosen.groupBy("host", "template", "__segment").agg(F.min("__into").alias("__into"))
-    return literal.select("host", "template", "__segment").join(chosen, ["host", "template", "__segment"], "left").select("host", "template", "__segment", F.coalesce("__into", "__segment").alias("__name"))
+    sums = literal.groupBy("host", "template").agg(*(F.sum(k).alias(f"all_{k}") for k in ("n", "m", "b", "s0", "s1", "s2", "s3")))
+    rows = literal.join(sums, ["host", "template"])
+    rest_m, rest_b = c("all_m") - c("m"), c("all_b") - c("b")
+    cross = c("b").cast("double") * rest_m - rest_b.cast("double") * c("m")
+    spread = c("m").cast("double") * rest_m * c("all_b") * (c("all_m") - c("all_b"))
+    like = (spread == 0) | (cross * cross * c("all_m") <= CHI2 * spread)
+    tested = F.when(like, 2).when(cross > 0, 4).otherwise(6) + F.when(c("b") * 2 > c("m"), 1).otherwise(0)
+    labels = F.when(c("m") == 0, 0).when(c("m") < LABELS, 1).otherwise(tested)
+    above = [c(f"s{k}").cast("double") * c("all_n") - c(f"all_s{k}").cast("double") * c("n") for k in range(4)]
+    near = reduce(lambda x, y: x + y, map(F.abs, above)) * 5 <= c("n").cast("double") * c("all_n") * 2
+    most = reduce(lambda w, k: w.when(above[k] == F.greatest(*above), k + 1), range(1, 4), F.when(above[0] == F.greatest(*above), 1))
+    rows = rows.select("host", "template", "__segment", "n", labels.alias("__labels"), F.when(near, 0).otherwise(most).alias("__shapes"))
+    classes = ["host", "template", "__labels", "__shapes"]
+    largest = rows.groupBy(*classes).agg(F.min_by("__segment", F.struct(-c("n"), c("__segment"))).alias("__name"))
+    return rows.join(largest, classes).select("host", "template", "__segment", "__name")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -144,33 +150,32 @@ def op4(spark, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL of op4."""
     fits = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v, {i} AS i" for i, (h, p, v) in enumerate(RULES))
-    levels, last = "", "labelled"
-    for i in range(LEVELS):
-        shape_ = "CASE WHEN nxt IS NULL THEN 0 WHEN regexp_full_match(nxt, '[0-9]+') THEN 1 WHEN regexp_matches(nxt, '[0-9]') THEN 2 ELSE 3 END"
-        sums = ", ".join(f"count(*) FILTER (WHERE shp = {k}) AS s{k}" for k in range(4))
-        apart = " + ".join(f"abs(a.s{k} * b.n - b.s{k} * a.n)" for k in range(4))
-        levels += f""",
-        cut{i} AS (SELECT *, segs[{i + 1}] AS seg, segs[{i + 2}] AS nxt FROM {last}),
-        shaped{i} AS (SELECT *, {shape_} AS shp FROM cut{i}),
-        child{i} AS (SELECT host, template, seg, count(*) AS n, count(blocked) AS m, coalesce(sum(blocked), 0)::BIGINT AS b, {sums}
-                     FROM shaped{i} WHERE seg IS NOT NULL GROUP BY ALL),
-        total{i} AS (SELECT host, template, sum(n) AS total FROM child{i} GROUP BY ALL),
-        lit{i} AS (SELECT c.* FROM child{i} c JOIN total{i} t USING (host, template) WHERE n >= {LEAST} AND n * {FREQUENT} >= total),
-        pair{i} AS (SELECT a.host, a.template, a.seg, b.seg AS into_, b.n FROM lit{i} a JOIN lit{i} b USING (host, template)
-                    WHERE a.m >= {LABELS} AND b.m >= {LABELS} AND (a.n < b.n OR (a.n = b.n AND a.seg > b.seg))
-                    AND (a.m::DOUBLE * b.m * (a.b + b.b) * (a.m + b.m - a.b - b.b) = 0
-                         OR (a.b * b.m - b.b * a.m)::DOUBLE * (a.b * b.m - b.b * a.m) * (a.m + b.m) <= {CHI2}::DOUBLE * (a.m::DOUBLE * b.m * (a.b + b.b) * (a.m + b.m - a.b - b.b)))
-                    AND ({apart}) * 5 <= a.n * b.n * 2),
-        led{i} AS (SELECT p.*, row_number() OVER (PARTITION BY host, template, seg ORDER BY n DESC, into_) AS k FROM pair{i} p
-                   WHERE NOT EXISTS (SELECT 1 FROM pair{i} q WHERE q.host = p.host AND q.template = p.template AND q.seg = p.into_)),
-        name{i} AS (SELECT l.host, l.template, l.seg, coalesce(x.into_, l.seg) AS nam FROM lit{i} l
-                    LEFT JOIN (SELECT * FROM led{i} WHERE k = 1) x USING (host, template, seg)),
-        level{i} AS (SELECT c.page_id, c.host, c.path, c.rule, c.rv, c.blocked, c.segs,
-                     CASE WHEN c.seg IS NULL THEN c.template ELSE c.template || '/' || coalesce(nam, '*') END AS template
-                     FROM cut{i} c LEFT JOIN name{i} n ON n.host = c.host AND n.template = c.template AND n.seg = c.seg)"""
-        last = f"level{i}"
+    shape_ = "CASE WHEN rest[2] IS NULL THEN 0 WHEN regexp_full_match(rest[2], '[0-9]+') THEN 1 WHEN regexp_matches(rest[2], '[0-9]') THEN 2 ELSE 3 END"
+    counts = ", ".join(f"count(*) FILTER (WHERE shp = {k}) AS s{k}" for k in range(4))
+    sums = ", ".join(f"sum({k})::BIGINT AS all_{k}" for k in ("n", "m", "b", "s0", "s1", "s2", "s3"))
+    above = [f"(s{k}::DOUBLE * all_n - all_s{k}::DOUBLE * n)" for k in range(4)]
+    most = " ".join(f"WHEN {x} = greatest({', '.join(above)}) THEN {k + 1}" for k, x in enumerate(above))
+    level = f"""
+            SELECT r.depth + 1, r.page_id, r.host, r.path, r.rule, r.rv, r.blocked, r.rest[2:], r.template || '/' || coalesce(x.nam, '*'),
+                len(r.rest) > 1 AND o.host IS NOT NULL
+            FROM tree r
+            LEFT JOIN name x ON x.host = r.host AND x.template = r.template AND x.seg = r.rest[1]
+            LEFT JOIN node o ON o.host = r.host AND o.template = r.template || '/' || coalesce(x.nam, '*')
+            WHERE r.opened"""
+    children = f"""child AS (SELECT host, template, rest[1] AS seg, count(*) AS n, count(blocked) AS m, coalesce(sum(blocked), 0)::BIGINT AS b, {counts}
+                FROM (SELECT *, {shape_} AS shp FROM tree WHERE opened) GROUP BY ALL),
+            lit AS (SELECT * FROM child WHERE n >= {LEAST}),
+            total AS (SELECT host, template, {sums} FROM lit GROUP BY ALL),
+            tested AS (SELECT *, b::DOUBLE * (all_m - m) - (all_b - b)::DOUBLE * m AS crs, m::DOUBLE * (all_m - m) * all_b * (all_m - all_b) AS spread FROM lit JOIN total USING (host, template)),
+            class AS (SELECT host, template, seg, n,
+                CASE WHEN m = 0 THEN 0 WHEN m < {LABELS} THEN 1
+                    ELSE CASE WHEN spread = 0 OR crs * crs * all_m <= {CHI2}::DOUBLE * spread THEN 2 WHEN crs > 0 THEN 4 ELSE 6 END + (b * 2 > m)::INT END AS lab,
+                CASE WHEN ({" + ".join(f"abs({x})" for x in above)}) * 5 <= n::DOUBLE * all_n * 2 THEN 0 {most} END AS shps FROM tested),
+            name AS (SELECT host, template, seg, first_value(seg) OVER (PARTITION BY host, template, lab, shps ORDER BY n DESC, seg) AS nam FROM class),
+            node AS (SELECT c.host, c.template || '/' || coalesce(nam, '*') AS template FROM child c LEFT JOIN name x
+                ON x.host = c.host AND x.template = c.template AND x.seg = c.seg GROUP BY ALL HAVING sum(c.n - c.s0) >= {LEAST})"""
     return f"""
-        WITH rules AS ({fits}),
+        WITH RECURSIVE rules AS ({fits}),
         cut AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
         parts AS (SELECT rid, page_id,
             coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -178,8 +183,10 @@ def oracle() -> str:
         ruled AS (SELECT p.*, r.h || r.p AS rule, r.v AS rv, row_number() OVER (PARTITION BY rid ORDER BY length(r.h || r.p) DESC, r.h || r.p DESC) AS k
             FROM parts p LEFT JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)),
         labelled AS (SELECT page_id, host, path, rule, rv, CASE WHEN rule IS NOT NULL THEN (rv = 'block')::INT END AS blocked,
-            list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS template FROM ruled WHERE k = 1){levels},
-        done AS (SELECT page_id, host, path, rule, rv, blocked, CASE WHEN len(segs) > {LEVELS} THEN template || '/**' ELSE template END AS template FROM {last}),
+            list_filter(string_split(path, '/'), lambda s: s <> '') AS rest FROM ruled WHERE k = 1),
+        tree AS (SELECT 0 AS depth, page_id, host, path, rule, rv, blocked, rest, '' AS template, len(rest) > 0 AS opened FROM labelled
+            UNION ALL (WITH {children}{level})),
+        done AS (SELECT page_id, host, path, rule, rv, blocked, CASE WHEN len(rest) > 0 THEN template || '/**' ELSE template END AS template FROM tree WHERE NOT opened),
         overall AS (SELECT count(blocked) AS am, coalesce(sum(blocked), 0)::BIGINT AS ab FROM done),
         bad AS (SELECT host, template FROM (SELECT host, template, count(blocked) AS m, coalesce(sum(blocked), 0)::BIGINT AS b FROM done GROUP BY ALL), overall
             WHERE m > 0 AND b * (am + 2) * 2 + 2 * {PRIOR} * least(ab + 1, (am + 2) / 2) > (m + {PRIOR}) * (am + 2))

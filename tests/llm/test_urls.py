@@ -38,7 +38,27 @@ def test_tree(spark):
     assert by["http://h/spam/3"][0] == by["http://h/junk/4"][0] != by["http://h/news/5"][0]
     assert by["http://h/talk/5"] == ("/talk/*", "allow")
     assert by["http://h/shop/y26"] == ("/shop/*", "block")
-    assert by["http://h/p4/a/b/c/d"] == ("/*/a/b/**", "allow")
+    assert by["http://h/p4/a/b/c/d"] == ("/*/a/b/c/d", "allow")
+
+
+def test_many_sections(spark):
+    """Sections without labels are not judged by those with labels, however many siblings there are."""
+    rows = [f"http://x.net/{s}/{i}" for s in ["es", "fr", *(f"l{k}" for k in range(40))] for i in range(12)]
+    out = judged(spark, list(enumerate(rows)))
+    assert {rows[k].split("/")[3] for k, v in out.items() if v.verdict == "block"} == {"es", "fr"}
+
+
+def test_deep_branch(spark):
+    """A branch below many levels is judged by itself; a long path of one page alone is one wildcard."""
+    deep = "/a/b/c/d/e/f"
+    rules = [("h", f"{deep}/bad/x", "block"), ("h", f"{deep}/good/x", "allow")]
+    rows = [f"http://h{deep}/{s}/{'x' if i < 20 else 'y'}{i}" for s in ("bad", "good") for i in range(30)] + ["http://h/" + "z/" * 3000]
+    out = judged(spark, list(enumerate(rows + rows[:1])), rules)
+    by = {rows[k]: (v.template, v.verdict) for k, v in out.items() if k < len(rows)}
+    assert by[f"http://h{deep}/bad/y25"] == (f"{deep}/bad/*", "block")
+    assert by[f"http://h{deep}/good/y25"] == (f"{deep}/good/*", "allow")
+    assert by[rows[-1]] == ("/*/**", "allow")
+    assert out[len(rows)][1:] == out[0][1:]
 
 
 def test_empty(spark):
