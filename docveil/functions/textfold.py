@@ -46,7 +46,10 @@ def company_core(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(text), r"[ \t\r\n]+", " "), f"[ ,]+({forms})[ ,.]*$", ""))
 
 
+#: Types of which letters and digits alone count.
+NUMBERS = ("TCKN", "VKN", "IBAN", "TELEFON", "KART", "PLAKA", "MERSIS", "PASAPORT", "SICIL_NO")
+
+
 def canonical(label_type: Column, text: Column) -> Column:
     """What makes two findings the same value: letters and digits of numbers, the core of companies, else the key."""
-    number = label_type.isin("TCKN", "VKN", "IBAN", "TELEFON", "KART", "PLAKA", "MERSIS", "PASAPORT", "SICIL_NO")
-    return F.when(number, F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")).when(label_type == "SIRKET", company_core(text)).otherwise(key(text))
+    return F.when(label_type.isin(*NUMBERS), F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")).when(label_type == "SIRKET", company_core(text)).otherwise(key(text))

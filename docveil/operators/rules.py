@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from docveil.functions import checks, textfold
 from docveil.functions.names import AMBIGUOUS, GIVEN
-from docveil.operators.match import spans
+from docveil.operators.match import literal, spans_sql
 
 FLOOR, THRESHOLD = 30, 50
 CONTEXT, BOOST = 60, 35
 FINDINGS = "array<struct<start:int,end:int,entity:string,label_type:string,score:int,text:string,canonical:string,source:string>>"
 
+RAW = FINDINGS.replace("canonical:string,", "")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -117,45 +119,47 @@ def of_profile(profile: str, rules: list[Rule] = RULES) -> list[Rule]:
     return [r for r in rules if PROFILES[profile] or not r.strict_only]
 
 
-def found(text: Column, rule: Rule, gate: Column | None = None) -> Column:
-    """array of findings of one rule in text, with valid matches only and scores from FLOOR up. gate: whether what the rule
-    needs is in text, if that is known."""
+def found(text: str, rule: Rule, gate: str | None = None) -> Column:
+    """array of findings of one rule in the column text, but for their canonical values, with valid matches only and scores
+    from FLOOR up. gate: the column that tells whether what the rule needs is in text, if that is known.
 
-    def finding(s: Column) -> Column:
-        part, first = s["text"], s["start"]
-        place = lambda part: s["start"] + F.instr(s["text"], part) - 1
+    SQL text, as rules are many and columns take the driver long to build: only the checks of numbers are columns.
+    """
+    whole, part, first = f"`{text}`", "s.text", "s.start"
+    if rule.inner is not None:
+        part = f"regexp_extract(s.text, {literal(f'({rule.inner})')}, 1)"
         if rule.last:
-            place = lambda part: s["start"] + F.length(s["text"]) - F.instr(F.reverse(s["text"]), F.reverse(part)) - F.length(part) + 1
-        if rule.inner is not None:
-            part = F.regexp_extract(s["text"], f"({rule.inner})", 1)
-            first = s["start"] + F.length(s["text"]) - F.length(part) if rule.inner.endswith("$") and not rule.inner.endswith(":$)") else place(part)
-        score = F.lit(rule.score)
-        if rule.cues:
-            left = textfold.tr_lower(F.substring(text, F.greatest(first - CONTEXT, F.lit(0)) + 1, first - F.greatest(first - CONTEXT, F.lit(0))))
-            score = F.when(F.exists(F.array(*map(F.lit, rule.cues)), lambda c: F.contains(left, c)), score + rule.boost).otherwise(score)
-        if rule.valid is not None:
-            score = F.when(rule.valid(part), F.greatest(score, F.lit(rule.valid_score))).otherwise(score if rule.keep_invalid else 0)
-        if rule.without is not None:
-            score = F.when(part.rlike(f"^(?:{rule.without})$"), 0).otherwise(score)
-        if rule.past is not None:
-            score = F.when(F.substring(text, first + F.length(part) + 1, F.lit(40)).rlike(f"^(?:{rule.past})"), 0).otherwise(score)
-        return F.struct(
-            first.cast("int").alias("start"), (first + F.length(part)).cast("int").alias("end"), F.lit(rule.entity).alias("entity"), F.lit(rule.label_type).alias("label_type"),
-            F.least(score, F.lit(100)).alias("score"), part.alias("text"), textfold.canonical(F.lit(rule.label_type), part).alias("canonical"), F.lit(rule.name).alias("source"),
-        )
-
-    every = F.filter(F.transform(spans(text, rule.pattern), finding), lambda f: (f["score"] >= FLOOR) & (f["end"] > f["start"])).cast(FINDINGS)
-    if rule.needs is None:
-        return every
-    return F.when(text.rlike(rule.needs) if gate is None else gate, every).otherwise(F.array().cast(FINDINGS))
+            first = "s.start + length(s.text) - instr(reverse(s.text), reverse(f.part)) - length(f.part) + 1"
+        elif rule.inner.endswith("$") and not rule.inner.endswith(":$)"):
+            first = "s.start + length(s.text) - length(f.part)"
+        else:
+            first = "s.start + instr(s.text, f.part) - 1"
+    score = f"{rule.score}"
+    if rule.cues:
+        left = f"lower(translate(substring({whole}, greatest(p.first - {CONTEXT}, 0) + 1, p.first - greatest(p.first - {CONTEXT}, 0)), 'Iİ', 'ıi'))"
+        score = f"CASE WHEN {' OR '.join(f'contains({left}, {literal(c)})' for c in rule.cues)} THEN {rule.score + rule.boost} ELSE {score} END"
+    if rule.without is not None:
+        score = f"CASE WHEN p.part RLIKE {literal(f'^(?:{rule.without})$')} THEN 0 ELSE {score} END"
+    if rule.past is not None:
+        score = f"CASE WHEN substring({whole}, p.first + length(p.part) + 1, 40) RLIKE {literal(f'^(?:{rule.past})')} THEN 0 ELSE {score} END"
+    parts = f"transform({spans_sql(whole, rule.pattern)}, s -> struct(s AS s, {part} AS part))"
+    placed = f"transform({parts}, f -> struct(f.part AS part, {first.replace('s.', 'f.s.')} AS first))"
+    row = f"struct(CAST(p.first AS INT) AS start, CAST(p.first + length(p.part) AS INT) AS end, {literal(rule.entity)} AS entity, {literal(rule.label_type)} AS label_type, least({score}, 100) AS score, p.part AS text, {literal(rule.name)} AS source)"
+    # what `without` or `past` drops has the score 0, and no check brings it back
+    every = F.expr(f"filter(transform({placed}, p -> {row}), f -> f.score >= {1 if rule.valid else FLOOR} AND f.end > f.start)")
+    if rule.valid is not None:
+        checked = lambda f: F.when(rule.valid(f["text"]), F.greatest(f["score"], F.lit(rule.valid_score))).otherwise(f["score"] if rule.keep_invalid else 0)
+        every = F.filter(F.transform(every, lambda f: f.withField("score", checked(f))), lambda f: f["score"] >= FLOOR)
+    return F.when(F.col(text).rlike(rule.needs) if gate is None else F.col(gate), every).otherwise(F.array().cast(RAW)) if rule.needs else every
 
 
 def detect(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """docs with `candidates`: the findings of all rules in one scan, in order of (start, end, entity, source)."""
     gates = {needs: f"__gate{i}" for i, needs in enumerate(dict.fromkeys(r.needs for r in rules if r.needs))}
     out = docs.withColumns({name: F.col(text).rlike(needs) for needs, name in gates.items()})
-    every = F.concat(*(found(F.col(text), r, F.col(gates[r.needs]) if r.needs else None) for r in rules)) if rules else F.array().cast(FINDINGS)
-    return out.withColumn("candidates", F.sort_array(F.coalesce(every, F.array().cast(FINDINGS)))).drop(*gates.values())
+    every = F.concat(*(found(text, r, gates.get(r.needs)) for r in rules)) if rules else F.array().cast(RAW)
+    named = lambda f: F.struct(*(f[n] for n in ("start", "end", "entity", "label_type", "score", "text")), textfold.canonical(f["label_type"], f["text"]).alias("canonical"), f["source"])
+    return out.withColumn("candidates", F.sort_array(F.coalesce(F.transform(every, named).cast(FINDINGS), F.array().cast(FINDINGS)))).drop(*gates.values())
 
 
 def exploded(docs: DataFrame, column: str = "candidates", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
