@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a fresh one."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a fresh one of this machine, if the session
+    runs on this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docveil-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
