@@ -89,7 +89,8 @@ def _compiled(label_type: str, form: str) -> re.Pattern:
 def gate(outgoing: DataFrame, values: DataFrame) -> DataFrame:
     """(out_id, label_type, label, hits, cleaned): vault values (matter_id, label_type, label, value) that outgoing texts
     (out_id, matter_id, text) still show, and the text with labels instead; cleaned is null on all but a text's first row.
-    Longer values are looked for first. A last name that several labels share is looked for, too.
+    Longer values are looked for first. A form of a name that several labels of a matter share stands for none of them, and
+    single words of names count only where the text has a capital.
 
     Values and texts of a matter meet by value_key; a text is searched for the values that meet it.
     """
@@ -102,6 +103,10 @@ def gate(outgoing: DataFrame, values: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["matter_id", "key", "form", "label_type", "label"])
 
     keyed = kept.mapInPandas(forms, f"matter_id {values.schema['matter_id'].dataType.simpleString()}, key string, form string, label_type string, label string").distinct()
+    of_label = keyed.where("label_type = 'KISI'").groupBy("matter_id", "form").agg(F.count_distinct("label").alias("owners")).where("owners > 1").drop("owners")
+    whole = kept.select("matter_id", F.col("value").alias("form"), "label_type", "label").withColumn("own", F.lit(True))
+    keyed = keyed.join(of_label.withColumn("shared", F.lit(True)), ["matter_id", "form"], "left").join(whole, ["matter_id", "form", "label_type", "label"], "left")
+    keyed = keyed.where("shared is null or own is not null").drop("shared", "own")
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -123,7 +128,8 @@ def gate(outgoing: DataFrame, values: DataFrame) -> DataFrame:
                 taken, found = [], {}
                 for f, t, n in sorted(((v["form"], v["label_type"], v["label"]) for v in near), key=lambda x: (-len(x[0]), x)):
                     for m in _compiled(t, f).finditer(plain):
-                        if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
+                        word = t == "KISI" and len(f.split()) == 1
+                        if not (word and text[places[m.start()]].islower()) and all(m.end() <= a or b <= m.start() for a, b, _ in taken):
                             taken.append((m.start(), m.end(), n))
                             found[t, n] = found.get((t, n), 0) + 1
                 clean, at = [], 0

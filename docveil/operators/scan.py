@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from docveil.operators.match import line_number, spans
 from docveil.operators.vault import LABEL
 
-#: (category, cue pattern) of red lines. Cues in both languages, ASCII case only, so that any engine reads them alike.
+#: (category, cue pattern) of red lines, cues in both languages. Fixed values.
 RED_LINES = [
-    ("defence_strategy", "(?i)(savunma stratejisi|defen[cs]e strategy|attorney.client privilege|privileged and confidential)"),
-    ("settlement", "(?i)(sulh teklifi|without prejudice|settlement (offer|limit))"),
-    ("trade_secret", "(?i)(ticari s[ıi]r|trade secret|strictly confidential)"),
-    ("special_category", "(?i)(sabıka kaydı|criminal record|medical (record|history)|biometric)"),
-    ("inside_information", "(?i)(inside information|içsel bilgi|undisclosed (merger|acquisition))"),
-    ("personnel_file", "(?i)(disciplin(e|ary) (file|record)|özlük dosyası|personnel file)"),
+    ("defence_strategy", "(?i)(savunma stratejisi|avukat.müvekkil|vekalet gizliliği|defen[cs]e strategy|litigation strategy|attorney.client|legal privilege|privileged and confidential|work product)"),
+    ("settlement", "(?i)(sulh teklifi|uzlaşma teklifi|sulh sınırı|without prejudice|settlement (offer|limit|authority)|bottom line|walk.away|batna)"),
+    ("trade_secret", "(?i)(ticari s[ıi]r|gizlilik sözleşmesi|gizlidir|trade secret|strictly confidential|company confidential|non.disclosure|[(]nda[)]|source code)"),
+    ("special_category", "(?i)(sabıka kaydı|mahkumiyet|sağlık verisi|sağlık raporu|teşhis|sendika üye|dini inanç|cinsel yönelim|etnik köken|genetik veri|biyometrik|criminal (record|conviction)|medical (record|history)|health data|diagnos(is|ed)|trade union|religious belief|sexual orientation|ethnic origin|genetic data|biometric|hiv)"),
+    ("inside_information", "(?i)(içsel bilgi|içeriden öğrenen|birleşme görüşme|devralma görüşme|inside(r)? information|insider|price.sensitive|term sheet|letter of intent|undisclosed (merger|acquisition))"),
+    ("personnel_file", "(?i)(özlük dosyası|maaş bordrosu|performans değerlendirme|disiplin cezası|disciplin(e|ary) (file|record|action)|personnel file|payslip|performance review)"),
 ]
 #: (kind, pattern) of what may have been missed in a masked text.
 RESIDUALS = [
-    ("11 digits", "[0-9]{11}"),
-    ("10 digits", "[0-9]{10}"),
-    ("iban", "TR[0-9]{24}"),
+    ("11 digits", "(?<![0-9])[0-9]{11}(?![0-9])"),
+    ("10 digits", "(?<![0-9])[0-9]{10}(?![0-9])"),
+    ("iban", "(?<![A-Z0-9])TR[0-9]{24}(?![A-Z0-9])"),
     ("e-mail", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}"),
-    ("mobile", "05[0-9]{2}[ -]?[0-9]{3}"),
+    ("mobile", "(?<![0-9])05[0-9]{2}[ -]?[0-9]{3}"),
 ]
 RESIDUAL_SCORE = 45
 

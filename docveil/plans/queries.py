@@ -92,12 +92,19 @@ def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether masked documents, with their labels damaged, read as the originals again."""
+    """Masked documents, with their labels damaged, read again: each value in its longest form."""
     docs = documents(spark, sf_dir)
     masked = masking.mask_documents(docs, COMMON)
     labels = vault.number_values(found(spark, sf_dir))
-    damaged = masked.select("doc_id", "matter_id", F.col("text").alias("original"), F.regexp_replace("masked", r"\{\{([A-Z]+)-0*([0-9]+)\}\}", "{{ $1 - $2 }}").alias("text"))
-    return vault.unmask(damaged, labels).select("doc_id", (F.lower("unmasked") == F.lower("original")).alias("same"))
+    damaged = masked.select("doc_id", "matter_id", F.regexp_replace("masked", r"\{\{([A-Z]+)-0*([0-9]+)\}\}", "{{ $1 - $2 }}").alias("text"))
+    return vault.unmask(damaged, labels).select("doc_id", F.sha2("unmasked", 256).alias("unmasked_sha256"))
+
+
+UNMASK_SQL = f"""WITH f AS ({FOUND_SQL}), v AS (SELECT matter_id, label_type, canonical, first(m ORDER BY length(m) DESC, m) AS main FROM f GROUP BY ALL),
+    x AS (SELECT f.doc_id, f.full_text, f.s, f.e, main, coalesce(lag(f.e) OVER (PARTITION BY f.doc_id ORDER BY f.s), 0) AS before
+          FROM f JOIN v USING (matter_id, label_type, canonical)),
+    y AS (SELECT doc_id, string_agg(substr(full_text, before + 1, s - before) || main, '' ORDER BY s) || substr(any_value(full_text), max(e) + 1) AS unmasked FROM x GROUP BY doc_id)
+    SELECT d.doc_id, sha256(coalesce(unmasked, text)) AS unmasked_sha256 FROM documents d LEFT JOIN y USING (doc_id)"""
 
 
 def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,22 +127,34 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "entity", line_number(F.col("whole"), F.col("start")).alias("line"))
 
 
+#: What red_lines adds to documents, by doc_id.
+PHRASES = ["Our defence strategy.", "Sent without prejudice; a settlement offer", "a trade secret\nand a Trade Secret", "medical history", "price-sensitive", "payslip", "nothing of note"]
+
+
 def red_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.red_lines(documents(spark, sf_dir)).select("doc_id", "category", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "sample")
+    """Every document with one phrase more at its end, so that all categories occur."""
+    phrase = F.get(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES)).cast("int"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), phrase).alias("text"))
+    return scan.red_lines(docs).select("doc_id", "category", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "sample")
 
 
 def cues_sql(cues: list[tuple[str, str]], source: str, text: str) -> str:
     return " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, s, e, m, length(substr(full_text, 1, s)) - length(replace(substr(full_text, 1, s), chr(10), '')) + 1 AS line FROM {spans_sql(p, source, text, 'doc_id AS matter_id')}" for c, p in cues)
 
 
-RED_SQL = f"""SELECT doc_id, category, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, arg_min(m, (s, e)) AS sample FROM ({cues_sql(scan.RED_LINES, 'documents', 'text')}) GROUP BY ALL"""
+PLANTED_SQL = f"(SELECT doc_id, coalesce(text, '') || chr(10) || {PHRASES}[(doc_id % {len(PHRASES)} + 1)::INT] AS text FROM documents)".replace("\\n", "' || chr(10) || '")
+RED_SQL = f"""SELECT doc_id, category, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, arg_min(m, (s, e)) AS sample FROM ({cues_sql(scan.RED_LINES, PLANTED_SQL, 'text')}) GROUP BY ALL"""
 
 
 def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.residual(documents(spark, sf_dir), "text")
 
 
-RESIDUAL_SQL = f"SELECT doc_id, category, line::INT AS line, count(*) AS n FROM ({cues_sql(scan.RESIDUALS, 'documents', 'text')}) GROUP BY ALL"
+#: DuckDB's patterns can't look around: whole runs, of which those that fit are taken.
+RUNS_SQL = cues_sql([("11 digits", "[0-9]+"), ("10 digits", "[0-9]+"), ("iban", "[A-Z0-9]+"), ("e-mail", dict(scan.RESIDUALS)["e-mail"]), ("mobile", "05[0-9]{2}[ -]?[0-9]{3}")], "documents", "text")
+RESIDUAL_SQL = f"""SELECT doc_id, category, line::INT AS line, count(*) AS n FROM (SELECT r.*, substr(text, s, 1) AS before FROM ({RUNS_SQL}) r JOIN documents USING (doc_id))
+    WHERE CASE category WHEN '11 digits' THEN length(m) = 11 WHEN '10 digits' THEN length(m) = 10 WHEN 'iban' THEN regexp_full_match(m, 'TR[0-9]{{24}}')
+        WHEN 'mobile' THEN s = 0 OR NOT regexp_matches(before, '[0-9]') ELSE true END GROUP BY ALL"""
 
 
 def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +162,11 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.dictionary_join(documents(spark, sf_dir), entries)
 
 
-DICTIONARY_SQL = """SELECT doc_id, phrase, ((length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) // length(lower(phrase)))::BIGINT AS hits
-    FROM documents JOIN (SELECT DISTINCT text AS phrase FROM benchmark WHERE trim(text) <> '') ON contains(lower(text), lower(phrase))"""
+DICTIONARY_SQL = r"""SELECT doc_id, phrase, hits FROM (SELECT doc_id, phrase, list_sum(list_transform(range(1, len(p)), lambda i:
+        (NOT (regexp_matches(q, '^[\p{L}\p{N}_]') AND regexp_matches(CASE WHEN i > 1 AND p[i] = '' THEN q ELSE p[i] END, '[\p{L}\p{N}_]$'))
+        AND NOT (regexp_matches(q, '[\p{L}\p{N}_]$') AND regexp_matches(CASE WHEN i + 1 < len(p) AND p[i + 1] = '' THEN q ELSE p[i + 1] END, '^[\p{L}\p{N}_]')))::BIGINT))::BIGINT AS hits
+    FROM (SELECT doc_id, phrase, lower(phrase) AS q, string_split(lower(text), lower(phrase)) AS p
+        FROM documents JOIN (SELECT DISTINCT text AS phrase FROM benchmark WHERE trim(text) <> '') ON contains(lower(text), lower(phrase)))) WHERE hits > 0"""
 
 
 def fold_tr_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +263,13 @@ def turns_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.paginate(items, 400, "conv_id", "turn", "size").select("conv_id", "turn", "page")
 
 
+PAGED_SQL = """WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    r AS (SELECT conv_id, turn, k, 1 AS page, n AS filled FROM o WHERE k = 1 UNION ALL
+        SELECT o.conv_id, o.turn, o.k, CASE WHEN filled > 0 AND filled + n > 400 THEN page + 1 ELSE page END, CASE WHEN filled > 0 AND filled + n > 400 THEN n ELSE filled + n END
+        FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
+    SELECT conv_id, turn, page FROM r"""
+
+
 def gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of documents, looked for in the documents of their source as if these went out."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("out_id"), F.col("source").alias("matter_id"), "text")
@@ -326,7 +355,7 @@ QUERIES = {
     "overlap_resolve": (overlap_resolve, None),
     "suspects": (suspects, None),
     "assign_labels": (assign_labels, f"SELECT matter_id, label_type, canonical, number, {SHOWN_SQL} AS label FROM ({LABELS_SQL})"),
-    "unmask": (unmask, "SELECT doc_id, true AS same FROM documents"),
+    "unmask": (unmask, UNMASK_SQL),
     "unknown_labels": (unknown_labels, UNKNOWN_SQL),
     "report_by_type": (report_by_type, f"SELECT label_type, count(*) AS n_findings, count(DISTINCT canonical) AS n_values, count(DISTINCT doc_id) AS n_docs FROM ({FOUND_SQL}) GROUP BY ALL"),
     "line_numbers": (line_numbers, f"SELECT doc_id, s AS start, entity, (length(substr(full_text, 1, s)) - length(replace(substr(full_text, 1, s), chr(10), '')) + 1)::INT AS line FROM ({FOUND_SQL})"),
@@ -342,7 +371,7 @@ QUERIES = {
     "amount_parse": (amount_parse, AMOUNT_SQL),
     "date_parse": (date_parse, DATE_SQL),
     "protected_chunks": (chunks, None),
-    "paginate_items": (turns_paged, None),
+    "paginate_items": (turns_paged, PAGED_SQL),
     "gate_scan": (gate_scan, None),
     "gate_by_type": (gate_by_type, None),
     "block_align": (block_align, None),
