@@ -1,68 +1,60 @@
-"""Turkish case endings: taking one off and putting it on another word by vowel harmony."""
+"""Turkish endings: reading a chain of them and putting it on another word in that word's vowel harmony, as columns."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOWELS = "aıoueiöü"
-HARD = "fstkçşhp"
-#: Case by the endings it has after consonants and vowels, with A for a/e, I for ı/i/u/ü, D for d/t. Fixed values.
-CASES = {
-    "genitive": ("In", "nIn"), "dative": ("A", "yA"), "accusative": ("I", "yI"), "locative": ("DA", "DA"),
-    "ablative": ("DAn", "DAn"), "instrumental": ("lA", "ylA"), "plural": ("lAr", "lAr"), "copula": ("DIr", "DIr"),
-}
-NARROW = {"a": "ı", "ı": "ı", "o": "u", "u": "u", "e": "i", "i": "i", "ö": "ü", "ü": "ü"}
-
-
-def lower(word: str) -> str:
-    return word.replace("I", "ı").replace("İ", "i").lower()
-
-
-def last_vowel(word: str) -> str:
-    return next((c for c in reversed(lower(word)) if c in VOWELS), "e")
-
-
-def ending(word: str, case: str) -> str:
-    """The ending of a case on a word."""
-    after_vowel = lower(word)[-1:] in VOWELS
-    out, vowel, hard = "", last_vowel(word), lower(word)[-1:] in HARD
-    for c in CASES[case][after_vowel]:
-        if c == "A":
-            vowel = "a" if vowel in "aıou" else "e"
-            out += vowel
-        elif c == "I":
-            vowel = NARROW[vowel]
-            out += vowel
-        elif c == "D":
-            out += "t" if hard and not out else "d"
-        else:
-            out += c
-    return out
-
-
-def case_of(suffix: str) -> str | None:
-    """The case that an ending stands for, on some word."""
-    s = lower(suffix)
-    for case in CASES:
-        for stem in ("ab", "ıb", "ob", "ub", "eb", "ib", "öb", "üb", "at", "et", "ıt", "it", "ot", "ut", "öt", "üt", "a", "ı", "o", "u", "e", "i", "ö", "ü"):
-            if ending(stem, case) == s:
-                return case
-    return None
-
-
-def attached(word: str, suffix: str) -> str:
-    """word with suffix's case in its own harmony, after an apostrophe; a suffix that is no case stays as it is."""
-    case = case_of(suffix)
-    return f"{word}'{ending(word, case) if case else suffix}" if suffix else word
-
-
-def harmonised(word: Column, suffix: Column) -> Column:
-    """`attached` as a column, by Arrow batches."""
-
-    @F.pandas_udf("string")
-    def attach(words: pd.Series, suffixes: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else attached(w, s or "") for w, s in zip(words, suffixes)])
-
-    return attach(word, suffix)
+from docveil.functions.textfold import tr_lower
+from docveil.operators.match import let
+
+#: Letters by how endings follow them. Fixed values.
+VOWELS, BACK, ROUND, HARD = "aeıioöuüâîû", "aıouâû", "oöuü", "fstkçşhp"
+#: Endings, in the order in which they are tried: A is a or e, I is ı, i, u or ü, D is d or t; a letter in parentheses stands
+#: after vowels only. Fixed values.
+ENDINGS = ("DAki", "(n)In", "DAn", "DIr", "lAr", "(y)lA", "DA", "(y)A", "(y)I", "ki")
+CLASSES = {"A": "[ae]", "I": "[ıiuü]", "D": "[dt]", "(n)": "n?", "(y)": "y?"}
+
+
+def shape(ending: str) -> str:
+    """The pattern of an ending in any harmony."""
+    for mark, letters in CLASSES.items():
+        ending = ending.replace(mark, letters)
+    return ending
+
+
+def put_on(word: Column, ending: str) -> Column:
+    """word with one ending."""
+    vowel = F.regexp_extract(word, f"([{VOWELS}])[^{VOWELS}]*$", 1)
+    back, rounded, open_end = vowel.rlike(f"[{BACK}]"), vowel.rlike(f"[{ROUND}]"), word.rlike(f"[{VOWELS}]$")
+    letters = {
+        "A": F.when(back, "a").otherwise("e"),
+        "I": F.when(back & rounded, "u").when(back, "ı").when(rounded, "ü").otherwise("i"),
+        "D": F.when(word.rlike(f"[{HARD}]$"), "t").otherwise("d"),
+    }
+    parts = [word]
+    if ending[0] == "(":
+        parts.append(F.when(open_end, ending[1]).otherwise(""))
+        ending = ending[3:]
+    return F.concat(*parts, *(letters.get(c, F.lit(c)) for c in ending))
+
+
+def inflected(word: Column, suffix: Column) -> Column:
+    """The endings of suffix as they are on the last word of `word`. A suffix that is no chain of endings stays as it is, and
+    so does one after a word without vowels or one that does not end with a letter."""
+    stem = tr_lower(F.coalesce(F.try_element_at(F.split(F.trim(word), r"\s+"), F.lit(-1)), F.lit("")))
+    low = tr_lower(suffix)
+    parts = F.regexp_extract_all(low, F.lit("(" + "|".join(shape(e) for e in ENDINGS) + ")"), F.lit(1))
+
+    def step(grown: Column, part: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for e in reversed(ENDINGS):
+            out = F.when(part.rlike(f"^{shape(e)}$"), put_on(grown, e)).otherwise(out)
+        return out
+
+    def body(x: Column) -> Column:
+        whole = (F.size(x["parts"]) > 0) & (F.array_join(x["parts"], "") == x["low"])
+        fits = whole & x["stem"].rlike(r"\p{L}$") & x["stem"].rlike(f"[{VOWELS}]")
+        return F.when(fits, F.substring(F.aggregate(x["parts"], x["stem"], step), F.length(x["stem"]) + 1, F.lit(1 << 20)))
+
+    return F.coalesce(let(F.struct(stem.alias("stem"), low.alias("low"), parts.alias("parts")), body), suffix)

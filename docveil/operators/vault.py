@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docveil.functions.morphology import inflected
 from docveil.functions.textfold import ascii_fold
 from docveil.operators.match import splice, spans
 
 #: A label as texts come back: white space inside, up to 5 digits, a type of up to 40 characters.
 LABEL = r"\{\{[ ]*[^\s{}]{1,40}[ ]*-[ ]*[0-9]{1,5}[ ]*\}\}"
+#: An apostrophe and endings after a label.
+ENDING = "['’][a-zçğıöşü]{1,12}(?![A-Za-zÇĞİÖŞÜçğıöşüâîû0-9_])"
 
 
 def shown(label_type: Column, number: Column) -> Column:
@@ -59,9 +62,13 @@ def main_value(values: Column) -> Column:
 
 
 def unmask(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """texts with `unmasked`: labels, also damaged ones, replaced by their value's longest form. Unknown labels stay."""
-    known = labels.select("matter_id", folded(F.col("label")).alias("folded"), main_value(F.col("values")).alias("replacement"))
-    edits = labels_in(texts, text).join(known, ["matter_id", "folded"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("__edits"))
+    """texts with `unmasked`: labels, also damaged ones, replaced by their value's longest form; endings after an apostrophe
+    follow that form's harmony. Unknown labels stay."""
+    known = labels.select("matter_id", folded(F.col("label")).alias("folded"), main_value(F.col("values")).alias("value"))
+    written = texts.select("doc_id", "matter_id", F.inline(spans(F.col(text), f"{LABEL}(?:{ENDING})?"))).withColumn("__tail", F.regexp_extract("text", f"{ENDING}$", 0))
+    met = written.withColumn("folded", folded(F.regexp_extract("text", LABEL, 0))).join(known, ["matter_id", "folded"])
+    shown = F.when(F.col("__tail") == "", F.col("value")).otherwise(F.concat("value", F.substring("__tail", 1, 1), inflected(F.col("value"), F.substring("__tail", 2, 15))))
+    edits = met.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", shown.alias("replacement"))).alias("__edits"))
     return texts.join(edits, "doc_id", "left").withColumn("unmasked", F.when(F.col("__edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("__edits")))).drop("__edits")
 
 

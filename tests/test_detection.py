@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docveil.functions import checks, textfold
-from docveil.functions.morphology import attached
+from docveil.functions.morphology import inflected
 from docveil.operators import evaluate, filters, masking, resolve, rules, scan, vault
 from docveil.operators.match import line_number, spans, splice
 
@@ -136,9 +136,22 @@ def test_scans(spark):
     assert sorted((r.category, r.line) for r in scan.residual(docs, "text").where("doc_id = 2").collect()) == [("10 digits", 1), ("11 digits", 1), ("e-mail", 2)]
 
 
-@pytest.mark.parametrize("word, suffix, want", [("Ankara", "in", "Ankara'nın"), ("Mehmet", "ı", "Mehmet'i"), ("Özgür", "da", "Özgür'de"), ("Ahmet", "den", "Ahmet'ten"), ("Ayşe", "a", "Ayşe'ye"), ("Ali", "la", "Ali'yle"), ("Su", "xyz", "Su'xyz"), ("Can", "", "Can")])
-def test_suffixes(word, suffix, want):
-    assert attached(word, suffix) == want
+def test_suffixes(spark):
+    rows = [
+        ("Ankara", "in", "nın"), ("Mehmet", "ı", "i"), ("Özgür", "da", "de"), ("Ahmet", "den", "ten"), ("Ayşe", "a", "ye"), ("Ali", "la", "yle"), ("Su", "xyz", "xyz"), ("Can", "", ""),
+        ("Ayşe KARA", "in", "nın"), ("Ali VURAL", "ye", "a"), ("Ali Vural", "lerinde", "larında"), ("İstanbul", "deki", "daki"), ("Okul", "nin", "un"), ("Ayşe KARA", "ıyormuş", "ıyormuş"),
+        ("12345678950", "in", "in"), ("ABC Enerji A.Ş.", "nin", "nin"), ("", "in", "in"), ("Ali", None, None),
+    ]
+    df = spark.createDataFrame(rows, "word string, suffix string, want string").withColumn("got", inflected(F.col("word"), F.col("suffix")))
+    assert [(r.word, r.suffix, r.got) for r in df.collect()] == [(w, s, want) for w, s, want in rows]
+
+
+def test_unmask_with_endings(spark):
+    labels = spark.createDataFrame([("m", "{{KİŞİ-01}}", ["Ayşe KARA"]), ("m", "{{KİŞİ-02}}", ["Ali VURAL"])], "matter_id string, label string, values array<string>")
+    text = "{{KİŞİ-01}}'in talebi {{ KISI-2 }}'ye iletildi; {{KİŞİ-02}}’nin cevabı, {{KİŞİ-09}}'un"
+    texts = spark.createDataFrame([(1, "m", text), (2, "m", None)], "doc_id long, matter_id string, text string")
+    got = {r.doc_id: r.unmasked for r in vault.unmask(texts, labels).collect()}
+    assert got == {1: "Ayşe KARA'nın talebi Ali VURAL'a iletildi; Ali VURAL’ın cevabı, {{KİŞİ-09}}'un", 2: None}
 
 
 def test_gold_and_scores(spark):
