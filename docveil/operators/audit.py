@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.functions.textfold import ascii_lower, company_core, tr_lower
-from docveil.operators.match import spans
+from docveil.operators.match import let, spans
 from docveil.operators.rules import CAPITAL, FORMS, NAME, SMALL
 
 #: Frequent function words by language. Fixed values.
@@ -61,8 +61,13 @@ def defined_terms(rows: DataFrame) -> DataFrame:
 def unused_terms(rows: DataFrame, longest: int = 6) -> DataFrame:
     """Definitions whose term stands nowhere else in its document, also not inflected (up to 6 more letters)."""
     terms = defined_terms(rows)
-    words = F.split(F.trim(F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9]+", " ")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i + n - 1 <= F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    split = F.split(F.trim(F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9]+", " ")), " ")
+
+    def runs_of(words: Column) -> Column:
+        firsts = lambda n: F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i + n - 1 <= F.size(words))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(firsts(n), lambda i: F.array_join(F.slice(words, i, n), " "))))
+
+    runs = let(split, runs_of)
     uses = rows.select("doc_id", F.explode(runs).alias("__run")).groupBy("doc_id", "__run").agg(F.count(F.lit(1)).alias("n"))
     keyed = terms.withColumn("__key", F.trim(F.regexp_replace("term_key", "[^a-z0-9]+", " ")))
     # an inflected use has the term's first letters; both sides meet on the first four

@@ -22,6 +22,8 @@ ALIKE, LONG = 0.86, 6
 #: Furthest place of a party before its role in parentheses.
 ROLE_DISTANCE = 250
 TOP_TERMS = 12
+#: Where a run of capitalised words begins inside of a sentence: after a comma or a word of small letters.
+INSIDE = f"(?=[{CAPITAL}])(?:(?<=, )|(?<=(?<![{CAPITAL}{SMALL}'’-])[{SMALL}'’-]{{1,30}} ))"
 
 
 def definitions(text: Column) -> Column:
@@ -70,7 +72,7 @@ def undefined_terms(rows: DataFrame, most: int = TOP_TERMS) -> DataFrame:
     several words), in documents with two definitions or more; each document's `most` most frequent ones."""
     defined = defined_terms(rows).select("doc_id", "term_key").distinct()
     several = defined.groupBy("doc_id").count().where("count >= 2").select("doc_id")
-    found = rows.join(several, "doc_id", "left_semi").select("doc_id", F.inline(spans(F.col("text"), rf"(?<=[{SMALL},] ){NAME}(?: {NAME})*")))
+    found = rows.join(several, "doc_id", "left_semi").select("doc_id", F.inline(spans(F.col("text"), rf"{INSIDE}{NAME}(?: {NAME})*")))
     counted = found.select("doc_id", ascii_lower(F.col("text")).alias("term_key")).groupBy("doc_id", "term_key").agg(F.count(F.lit(1)).alias("n"))
     frequent = counted.where(F.col("n") >= F.when(F.contains("term_key", F.lit(" ")), 2).otherwise(3)).join(defined, ["doc_id", "term_key"], "left_anti")
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term_key"))
