@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from docveil.plans.queries import QUERIES
+from docveil.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
 
