@@ -19,13 +19,13 @@ RED_LINES = [
     ("inside_information", "(?i)(içsel bilgi|içeriden öğrenen|birleşme görüşme|devralma görüşme|inside(r)? information|insider|price.sensitive|term sheet|letter of intent|undisclosed (merger|acquisition))"),
     ("personnel_file", "(?i)(özlük dosyası|maaş bordrosu|performans değerlendirme|disiplin cezası|disciplin(e|ary) (file|record|action)|personnel file|payslip|performance review)"),
 ]
-#: (kind, pattern) of what may have been missed in a masked text.
+#: (kind, pattern) of what may have been missed in a masked text. A number of 11 digits counts as one of 10 as well. Fixed values.
 RESIDUALS = [
-    ("11 digits", "(?<![0-9])[0-9]{11}(?![0-9])"),
-    ("10 digits", "(?<![0-9])[0-9]{10}(?![0-9])"),
-    ("iban", "(?<![A-Z0-9])TR[0-9]{24}(?![A-Z0-9])"),
+    ("11 digits", "(?<![0-9])[1-9][0-9]{10}(?![0-9])"),
+    ("10 digits", "(?<![0-9/.,])[0-9]{10}(?![0-9/.,][0-9])"),
+    ("iban", "(?<![A-Za-z0-9_])TR ?[0-9]{2}(?: ?[0-9]{4}){2,}"),
     ("e-mail", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}"),
-    ("mobile", "(?<![0-9])05[0-9]{2}[ -]?[0-9]{3}"),
+    ("mobile", "(?:[+]90|(?<![A-Za-z0-9_])0) ?5[0-9]{2}"),
 ]
 RESIDUAL_SCORE = 45
 

@@ -150,11 +150,12 @@ def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.residual(documents(spark, sf_dir), "text")
 
 
-#: DuckDB's patterns can't look around: whole runs, of which those that fit are taken.
-RUNS_SQL = cues_sql([("11 digits", "[0-9]+"), ("10 digits", "[0-9]+"), ("iban", "[A-Z0-9]+"), ("e-mail", dict(scan.RESIDUALS)["e-mail"]), ("mobile", "05[0-9]{2}[ -]?[0-9]{3}")], "documents", "text")
-RESIDUAL_SQL = f"""SELECT doc_id, category, line::INT AS line, count(*) AS n FROM (SELECT r.*, substr(text, s, 1) AS before FROM ({RUNS_SQL}) r JOIN documents USING (doc_id))
-    WHERE CASE category WHEN '11 digits' THEN length(m) = 11 WHEN '10 digits' THEN length(m) = 10 WHEN 'iban' THEN regexp_full_match(m, 'TR[0-9]{{24}}')
-        WHEN 'mobile' THEN s = 0 OR NOT regexp_matches(before, '[0-9]') ELSE true END GROUP BY ALL"""
+#: DuckDB's patterns can't look around: wider matches, of which those that fit are taken by what stands before and after them.
+RUNS_SQL = cues_sql([("11 digits", "[0-9]+"), ("10 digits", "[0-9]+"), ("iban", "TR ?[0-9]{2}(?: ?[0-9]{4}){2,}"), ("e-mail", dict(scan.RESIDUALS)["e-mail"]), ("mobile", "(?:[+]90|0) ?5[0-9]{2}")], "documents", "text")
+RESIDUAL_SQL = f"""SELECT doc_id, category, line::INT AS line, count(*) AS n FROM (SELECT r.*, substr(text, s, 1) AS before, substr(text, e + 1, 2) AS after FROM ({RUNS_SQL}) r JOIN documents USING (doc_id))
+    WHERE CASE category WHEN '11 digits' THEN length(m) = 11 AND m[1] <> '0'
+        WHEN '10 digits' THEN (s = 0 OR NOT contains('/.,', before)) AND (length(m) = 11 OR length(m) = 10 AND NOT regexp_matches(after, '^[/.,][0-9]'))
+        WHEN 'iban' THEN s = 0 OR NOT regexp_matches(before, '[A-Za-z0-9_]') WHEN 'mobile' THEN m[1] = '+' OR s = 0 OR NOT regexp_matches(before, '[A-Za-z0-9_]') ELSE true END GROUP BY ALL"""
 
 
 def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:

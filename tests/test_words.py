@@ -18,5 +18,7 @@ def test_shared_names(spark):
 
 
 def test_residual_edges(spark):
-    docs = spark.createDataFrame([(1, "1234567890123456"), (2, "12345678901"), (3, "TR" + "1" * 24 + "9"), (4, "0532 123"), (5, "10532123")], "doc_id long, masked string")
-    assert {(r.doc_id, r.category) for r in scan.residual(docs).collect()} == {(2, "11 digits"), (4, "mobile")}
+    texts = ["1234567890123456", "12345678901", "xTR" + "1" * 24, "0532 123", "10532123", "1234567890/12", "1.1234567890", "TR12 3456 7890 1234", "+90 532", "02345678901", "1234567890."]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, masked string")
+    want = {(2, "10 digits"), (2, "11 digits"), (4, "mobile"), (8, "iban"), (9, "mobile"), (10, "10 digits"), (11, "10 digits")}
+    assert {(r.doc_id, r.category) for r in scan.residual(docs).collect()} == want
