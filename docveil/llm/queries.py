@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, digest, html, langid, ogg, packing, paritysketch, suffixdedup, urls, warc
+from docveil.llm import bpe, chat, digest, hamerly, html, langid, ogg, packing, paritysketch, suffixdedup, urls, warc
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_code_langid": langid.op8,
         "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
+        "op11_hamerly_clusters": hamerly.op11,
+        "op13_chat_template": chat.op13,
     }
 
 
@@ -38,4 +40,4 @@ JACCARD_SQL = r"""WITH RECURSIVE w AS (
 
 
 def oracle_sql():
-    return {"op4_path_templates": urls.oracle(), "op5_parity_join": JACCARD_SQL, "op9_warc_chunks": WARC_SQL}
+    return {"op4_path_templates": urls.oracle(), "op5_parity_join": JACCARD_SQL, "op9_warc_chunks": WARC_SQL, "op11_hamerly_clusters": hamerly.SQL, "op13_chat_template": chat.SQL}
