@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docveil.llm import bpe, chat, digest, hamerly, html, langid, ogg, packing, paritysketch, suffixdedup, urls, warc
+from docveil.llm import bpe, chat, collocations, digest, hamerly, html, langid, ogg, packing, paritysketch, suffixdedup, urls, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_warc_chunks": warc.op9,
         "op10_byte_bpe": bpe.op10,
         "op11_hamerly_clusters": hamerly.op11,
+        "op12_bitmap_collocations": collocations.op12,
         "op13_chat_template": chat.op13,
     }
 
@@ -40,4 +41,4 @@ JACCARD_SQL = r"""WITH RECURSIVE w AS (
 
 
 def oracle_sql():
-    return {"op4_path_templates": urls.oracle(), "op5_parity_join": JACCARD_SQL, "op9_warc_chunks": WARC_SQL, "op11_hamerly_clusters": hamerly.SQL, "op13_chat_template": chat.SQL}
+    return {"op4_path_templates": urls.oracle(), "op5_parity_join": JACCARD_SQL, "op9_warc_chunks": WARC_SQL, "op11_hamerly_clusters": hamerly.SQL, "op12_bitmap_collocations": collocations.SQL, "op13_chat_template": chat.SQL}
