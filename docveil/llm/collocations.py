@@ -7,8 +7,10 @@ bitmap of the phrase that goes on with this word; its set bits are counted. No b
 phrase beginnings go to full length one after another, depth first, so that memory does not grow with the shard. Counts are
 summed over the shards.
 
-A phrase of three words or more is extended from those of one word less, and only from those frequent in all of the corpus.
-What the tasks are told of these is a bit array of fixed size; a phrase let through by chance is counted, and found infrequent.
+What is frequent is known only of the corpus, not of a shard. So hashes of words and pairs are counted first, then those of
+longer phrases, size by size, of frequent parts only; what is frequent sets bits in an array of fixed size. At last, words and
+phrases with their bits set are counted by their text; one let through by chance is found infrequent there. Hashes go to their
+sums as sorted runs, a row for each shard and bucket, which one task after another merges bucket by bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.llm.common import discarded, mix, staged, table, utf8
+from docveil.llm.common import mix, partitions_for, staged, table, utf8
 
 #: Bytes of text of a shard; a longer piece is not cut.
 SHARD = 1 << 23
@@ -31,6 +33,8 @@ WIDTH = 16
 STARTS = 1 << 16
 #: Size of the bit array of frequent phrases.
 FILTER_BITS = 1 << 25
+#: Hashes are summed by at most so many buckets, one at a time in a task.
+BUCKETS = 1 << 18
 #: Rows that leave a task at once.
 ROWS = 1 << 16
 #: A key that many candidates share is dealt to so many tasks.
@@ -60,14 +64,15 @@ class Shard:
         lengths = np.add.reduceat(inside, begins, dtype=np.int64) if self.n else begins
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         words = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(text[inside])]).dictionary_encode()
-        self.words, ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.words, ids = words.dictionary, words.indices.to_numpy()
         piece = np.cumsum(text == BREAK)[begins] if self.n else begins
         self.at = np.arange(self.n) + np.cumsum(np.concatenate([[0], np.diff(piece) > 0])) if self.n else begins
         self.seen = np.bincount(ids, minlength=len(self.words))
         # the bitmaps of all words: containers by number, in each the words that are in it
         spread = len(self.words) + 1
-        order = np.argsort(self.at // WIDTH * spread + ids, kind="stable")
-        key = (self.at // WIDTH * spread + ids)[order]
+        key = self.at // WIDTH * spread + ids
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if self.n else order
         bit = (1 << (self.at % WIDTH)).astype(np.uint16)[order]
         self.container, self.word = key[first] // spread, key[first] % spread
@@ -96,34 +101,50 @@ class Shard:
         hit = np.flatnonzero(both)
         return container[mine[hit]], prefix[mine[hit]], self.word[other[hit]], both[hit]
 
-    def phrases(self, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of `size` words (a row of word numbers each) and how often each is here. With `seen`, only phrases are
-        extended, and returned, whose parts of one word less may be frequent."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+    def extensions(self, most: int, seen: np.ndarray | None, whole: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, phrases, counts) of 2 to `most` words, for one run of beginnings after another; a phrase is a row of word
+        numbers. With `seen`, only phrases that may be frequent go on; of those of `most` words, that is asked of their last
+        most - 1 words if `whole` is not set."""
         last = int(self.at[-1]) + 1 if self.n else 0
         for lo in range(0, last, STARTS):
             i, j = np.searchsorted(self.container, [lo // WIDTH, (lo + STARTS) // WIDTH])
             words, prefix = np.unique(self.word[i:j], return_inverse=True)
             rows, container, bits = words[:, None], self.container[i:j], self.bits[i:j]
-            for length in range(2, size + 1):
+            for size in range(2, most + 1):
                 container, prefix, word, bits = self.extended(container, prefix, bits)
                 longer, prefix = np.unique(prefix * len(self.words) + word, return_inverse=True)
                 rows = np.concatenate([rows[longer // len(self.words)], (longer % len(self.words))[:, None]], axis=1)
-                if seen is not None and len(rows):
-                    whole = length < size
-                    fine = _may_be_in(seen, self.lang, self.hashes[rows if whole else rows[:, 1:]])
-                    number = np.cumsum(fine) - 1
-                    stay = fine[prefix]
+                if seen is not None:
+                    fine = may_be_in(seen, phrase_hashes(self.lang, self.hashes[rows if whole or size < most else rows[:, 1:]]))
+                    stay, number = fine[prefix], np.cumsum(fine) - 1
                     container, prefix, bits, rows = container[stay], number[prefix[stay]], bits[stay], rows[fine]
-            if len(rows):
-                out.append((rows, np.bincount(prefix, np.bitwise_count(bits), len(rows)).astype(np.int64)))
-        if not out:
-            return np.zeros((0, size), np.int64), np.zeros(0, np.int64)
-        rows, n = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort(rows.T)
-        rows, n = rows[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-        return rows[first], np.add.reduceat(n, first)
+                if not len(rows):
+                    break
+                yield size, rows, np.bincount(prefix, np.bitwise_count(bits), len(rows)).astype(np.int64)
+
+    def phrases(self, most: int, seen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of each size and how often each is here."""
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size, rows, n in self.extensions(most, seen):
+            found.setdefault(size, []).append((rows, n))
+        for size in sorted(found):
+            rows, n = (np.concatenate(x) for x in zip(*found.pop(size)))
+            order = np.lexsort(rows.T)
+            rows, n = rows[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+            yield rows[first], np.add.reduceat(n, first)
+
+    def hashed(self, size: int, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of all phrases of `size` words, and how often each is here; size 2 has the words as well."""
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        if size == 2:
+            hashes, counts = [phrase_hashes(self.lang, self.hashes[:, None])], [self.seen]
+        for of, rows, n in self.extensions(size, seen, whole=False):
+            if of == size:
+                hashes.append(phrase_hashes(self.lang, self.hashes[rows]))
+                counts.append(n)
+        values, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        return values, np.bincount(of, np.concatenate(counts), len(values)).astype(np.int64)
 
     def told(self, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(rows), ROWS):
@@ -140,16 +161,20 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)
 
 
-def phrase_bits(lang: str, hashes: np.ndarray) -> np.ndarray:
-    """The bit of each phrase, given as a row of word hashes."""
+def phrase_hashes(lang: str, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each phrase, given as a row of word hashes, with its language."""
     h = np.full(len(hashes), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
     for column in hashes.T:
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    return h
 
 
-def _may_be_in(seen: np.ndarray, lang: str, hashes: np.ndarray) -> np.ndarray:
-    bit = phrase_bits(lang, hashes)
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def may_be_in(seen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = bits_of(hashes)
     return (seen[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
@@ -185,38 +210,66 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield out(lang)
 
 
-def counted(docs: DataFrame, size: int, seen: np.ndarray | None = None) -> DataFrame:
-    """lang, size, phrase, n, for docs of lang and text. Size 2 has the words and, as size 0, their number too."""
+def frequent_bits(docs: DataFrame, size: int, seen: np.ndarray | None, least: int) -> np.ndarray:
+    """A bit array of FILTER_BITS, however many phrases there are, in which the bits are set of all phrases of `size` words
+    that are there `least` times or more in docs (lang, text); of size 2, of all words too."""
+    buckets = min(16 * partitions_for(docs), BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(seen) if seen is not None else None
+    # what one shard counts beyond `least` makes no difference
+    count = np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            if size == 2:
-                yield _rows(shard.lang, 0, pa.array([""]), np.array([shard.n]))
-                yield from shard.told(np.arange(len(shard.words))[:, None], shard.seen)
-            yield from shard.told(*shard.phrases(size, shared.value if shared is not None else None))
-
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+            values, n = shard.hashed(size, shared.value if shared is not None else None)
+            low = (values & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(low, kind="stable")
+            low, high, n = low[order], (values[order] >> np.uint64(32)).astype(np.uint32), np.minimum(n[order], least).astype(count)
+            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+            ends = np.concatenate([first, [len(low)]])
+            blobs = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:])] for x in (high, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(low[first].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "high", "n"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, now, held = np.zeros(FILTER_BITS >> 6, np.uint64), None, []
+
+        def close() -> None:
+            high, n = (np.concatenate([np.frombuffer(x, kind) for x in part]) for part, kind in zip(zip(*held), (np.uint32, count)))
+            values, of = np.unique(high, return_inverse=True)
+            bit = bits_of(values[np.bincount(of, n, len(values)) >= least].astype(np.uint64) << np.uint64(32))
+            np.bitwise_or.at(mine, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+            held.clear()
 
-
-def filter_of(frequent: DataFrame) -> np.ndarray:
-    """The bits of phrases (lang, phrase): FILTER_BITS of them, however many phrases there are."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(FILTER_BITS >> 6, np.uint64)
         for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang, phrase in zip(langs, phrases):
-                words = np.array([[xxhash.xxh3_64_intdigest(w) for w in phrase.encode().split(b" ")]], np.uint64)
-                bit = int(phrase_bits(lang, words)[0])
-                mine[bit >> 6] |= np.uint64(1 << (bit & 63))
+            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and bucket != now:
+                    close()
+                now = bucket
+                held.append(blobs)
+        if held:
+            close()
         some = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(mine[some].view(np.int64))], names=["block", "bits"])
 
-    got = frequent.select("lang", "phrase").mapInArrow(bits, "block int, bits bigint").groupBy("block").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    dealt = docs.mapInArrow(run, "bucket int, high binary, n binary").repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket")
+    got = dealt.mapInArrow(merged, "block int, bits bigint").groupBy("block").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.uint64)
     out[got["block"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+    return out if seen is None else out | seen
+
+
+def counted(docs: DataFrame, most: int, seen: np.ndarray) -> DataFrame:
+    """lang, size, phrase, n of docs (lang, text): all words and phrases that may be frequent; as size 0, the number of words."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches):
+            yield _rows(shard.lang, 0, pa.array([""]), np.array([shard.n]))
+            some = np.flatnonzero(may_be_in(shared.value, phrase_hashes(shard.lang, shard.hashes[:, None])))
+            yield from shard.told(some[:, None], shard.seen[some])
+            for rows, n in shard.phrases(most, shared.value):
+                yield from shard.told(rows, n)
+
+    return docs.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _parts(words: Column, begin: Column, length: Column) -> Column:
@@ -260,17 +313,18 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_wo
     if not 2 <= max_words <= WIDTH:
         raise ValueError(f"max_words must be 2 to {WIDTH}")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    frequent = staged(counted(rows, 2).where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-    for size in range(3, max_words + 1):
-        more = staged(counted(rows, size, filter_of(frequent.where("size > 1"))).where(F.col("n") >= least), "phrases")
-        both = staged(frequent.unionByName(more), "phrases")
-        discarded(frequent, more)
-        frequent = both
+    seen = None
+    for size in range(2, max_words + 1):
+        seen = frequent_bits(rows, size, seen, least)
+    counts = counted(rows, max_words, seen)
+    frequent = staged(counts.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
     best = scored(not_within_longer(frequent.where("size > 1"), within), frequent)
     order = (F.col("score").desc(), F.col("a").desc(), "phrase")
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(16))
-    first = best.withColumn("i", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("i") <= top).drop("i")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    # the first ones of parts of a language, then of parts of these, so that a task sees a few times `top` rows at most
+    for parts in (16, 4):
+        salt = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+        best = best.withColumn("i", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("i") <= top).drop("i")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     sums = frequent.where("size = 0").select("lang", "n")
     return ranked.join(sums, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

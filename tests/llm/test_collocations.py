@@ -92,17 +92,19 @@ def test_shards_are_cut_between_pieces(monkeypatch):
         for s in co.shards(iter(batches)):
             names = [w.decode() for w in s.words.to_pylist()]
             assert s.n == s.seen.sum() == np.bitwise_count(s.bits).sum()
-            for size in (1, 2, 3):
-                for row, n in zip(*s.phrases(size, None)):
+            for rows, counts in ((np.arange(len(names))[:, None], s.seen), *s.phrases(3)):
+                for row, n in zip(rows, counts):
                     got[s.lang][tuple(names[w] for w in row)] += int(n)
+            assert s.hashed(2, None)[1].sum() == s.n + sum(n for rows, n in s.phrases(2) for n in n)
         assert got == want
 
 
 def test_a_full_filter_changes_nothing(monkeypatch):
     s = co.Shard("en", np.frombuffer(b"a b c\na b c\nb c d", np.uint8))
     everything, nothing = np.full(co.FILTER_BITS >> 6, ~np.uint64(0)), np.zeros(co.FILTER_BITS >> 6, np.uint64)
-    assert [x.tolist() for x in s.phrases(3, everything)] == [x.tolist() for x in s.phrases(3, None)]
-    assert len(s.phrases(3, nothing)[0]) == 0
+    told = lambda seen: [(r.tolist(), n.tolist()) for r, n in s.phrases(3, seen)]
+    assert told(everything) == told(None) and [len(r) for r, _ in told(None)] == [3, 2]
+    assert told(nothing) == []
 
 
 def test_scores_beyond_64_bits(spark):
