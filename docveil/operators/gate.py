@@ -1,147 +1,136 @@
-"""The egress gate: no known value leaves, however it is written."""
+"""The egress gate: known values do not leave, in any of the spellings that docveil.operators.egress knows."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of fewer letters or digits are not looked for.
-LETTERS, DIGITS = 3, 6
-FOLD = str.maketrans("ıİIəƏ", "iiiee")
-NUMBERS = ("TCKN", "VKN", "IBAN", "TELEFON", "KART", "MERSIS", "PASAPORT", "SICIL_NO")
-
-
-def normalised(text: str) -> tuple[str, list[int]]:
-    """text without invisible characters, marks and case, words broken over lines joined, with each character's place."""
-    out, places = [], []
-    for i, c in enumerate(text):
-        if unicodedata.category(c) in ("Cf", "Mn", "Me"):
-            continue
-        for d in unicodedata.normalize("NFKD", c.translate(FOLD)):
-            if unicodedata.category(d) not in ("Mn", "Me", "Cf"):
-                for e in d.lower():
-                    out.append(e)
-                    places.append(i)
-    joined = "".join(out)
-    gone = {k for m in re.finditer(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)", joined) for k in range(*m.span())}
-    if gone:
-        joined = "".join(c for k, c in enumerate(joined) if k not in gone)
-        places = [p for k, p in enumerate(places) if k not in gone]
-    return joined, places
-
-
-def value_pattern(label_type: str, value: str) -> str | None:
-    """A pattern of a value over normalised text: digits with any separators between, words with any white space."""
-    plain, _ = normalised(value)
-    if label_type in NUMBERS:
-        digits = re.sub(r"[^0-9a-z]", "", plain)
-        if label_type == "TELEFON":
-            digits = re.sub("^(0090|90|0)(?=[2-5][0-9]{9}$)", "", digits)
-        if len(digits) < DIGITS:
-            return None
-        head = r"(?:\+?(?:0090|90|0)[ ()./-]*)?" if label_type == "TELEFON" else ""
-        return r"(?<![0-9a-z])" + head + r"[ ()./-]*".join(map(re.escape, digits)) + r"(?![0-9a-z])"
-    words = re.findall(r"\w+", plain)
-    if sum(map(len, words)) < LETTERS:
-        return None
-    return r"(?<!\w)" + r"[\W_]+".join(map(re.escape, words)) + r"(?!\w)"
+from docveil.operators.egress import Normalised, Scanner, cleaned, forms_of, keys_of, pieces
+from docveil.operators.staging import kept
+
+#: Values of up to so many forms are sent to all tasks, each scanning a text for all of its matter's at once.
+SENT = 100_000
+#: Of more, a text meets those that share a piece with it; pieces that no value has are known by bits in an array of this size.
+BITS = 1 << 25
 
 
 def name_forms(label_type: str, value: str) -> list[str]:
-    """A person's value, first with last name, the last name, and the first initial with the last name."""
+    """A person's value, first with last name, the last name, and initials with the last name."""
     words = value.split()
     if label_type != "KISI" or len(words) < 2:
         return [value]
-    return list(dict.fromkeys([value, f"{words[0]} {words[-1]}", f"{words[0][0]}. {words[-1]}", words[-1]]))
+    initials = " ".join(f"{w[0]}." for w in words[:-1])
+    return list(dict.fromkeys([value, f"{words[0]} {words[-1]}", f"{words[0][0]}. {words[-1]}", f"{initials} {words[-1]}", words[-1]]))
+
+
+def value_forms(values: DataFrame) -> DataFrame:
+    """(matter_id, form, label_type, label) of values (matter_id, label_type, label, value): each value and, of names, their
+    parts; a part that several labels of a matter share, or that is another value, stands for none of them."""
+    matter = values.schema["matter_id"].dataType.simpleString()
+    rows = values.where("matter_id is not null and value is not null").select("matter_id", "label_type", "label", "value").distinct()
 
+    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(m, f, t, n, f == v) for m, t, n, v in frame.itertuples(index=False) for f in name_forms(t, v) if forms_of(t, f)]
+            yield pd.DataFrame(found, columns=["matter_id", "form", "label_type", "label", "own"])
 
-def value_key(label_type: str, value: str) -> str:
-    """A key that text_keys gives of each text in which a value's pattern is: a number's first digits, else the longest word."""
-    plain, _ = normalised(value)
-    if label_type in NUMBERS:
-        digits = re.sub(r"[^0-9a-z]", "", plain)
-        if label_type == "TELEFON":
-            digits = re.sub("^(0090|90|0)(?=[2-5][0-9]{9}$)", "", digits)
-        return "#" + digits[:DIGITS]
-    return max(re.findall(r"[^\W_]+", plain), key=len, default="")
+    every = rows.mapInPandas(forms, f"matter_id {matter}, form string, label_type string, label string, own boolean")
+    every = every.groupBy("matter_id", "form", "label_type", "label").agg(F.max("own").alias("own"))
+    shared = every.where("label_type = 'KISI'").groupBy("matter_id", "form").agg(F.count_distinct("label").alias("owners")).where("owners > 1").select("matter_id", "form", F.lit(True).alias("shared"))
+    return every.join(shared, ["matter_id", "form"], "left").where("shared is null or own").drop("shared", "own")
 
 
-def text_keys(text: str) -> set[str]:
-    plain, _ = normalised(text)
-    keys = {"", *re.findall(r"[^\W_]+", plain)}
-    for m in re.finditer(r"(?<![0-9a-z])(?=([0-9a-z](?:[ ()./-]*[0-9a-z]){5,9}))", plain):
-        digits = re.sub(r"[^0-9a-z]", "", m[1])
-        keys |= {"#" + digits[len(head) : len(head) + DIGITS] for head in ("", "0090", "90", "0") if digits.startswith(head)}
-    return keys
+def _rows(out_id: object, text: str, found: list[tuple[int, int, str, str]]) -> list[tuple]:
+    hits: dict[tuple[str, str], int] = {}
+    for _, _, label_type, label in found:
+        hits[label_type, label] = hits.get((label_type, label), 0) + 1
+    return [(out_id, t, n, k, cleaned(text, found) if i == 0 else None) for i, ((t, n), k) in enumerate(sorted(hits.items()))]
 
 
-@lru_cache(100_000)
-def _compiled(label_type: str, form: str) -> re.Pattern:
-    return re.compile(value_pattern(label_type, form))
+OUT = ["out_id", "label_type", "label", "hits", "cleaned"]
 
 
-def gate(outgoing: DataFrame, values: DataFrame) -> DataFrame:
+def gate(outgoing: DataFrame, values: DataFrame, sent: int = SENT) -> DataFrame:
     """(out_id, label_type, label, hits, cleaned): vault values (matter_id, label_type, label, value) that outgoing texts
     (out_id, matter_id, text) still show, and the text with labels instead; cleaned is null on all but a text's first row.
-    Longer values are looked for first. A form of a name that several labels of a matter share stands for none of them, and
-    single words of names count only where the text has a capital.
+    Longer values are looked for first, single words only where the text has a capital, and nothing within labels.
 
-    Values and texts of a matter meet by value_key; a text is searched for the values that meet it.
+    Up to `sent` forms of values go to all tasks. More of them meet texts by pieces (see near_values), with the same result.
     """
-    matter = outgoing.schema["matter_id"].dataType.simpleString()
-    kept = values.where("matter_id is not null and value is not null").select("matter_id", "label_type", "label", "value").distinct()
+    forms = kept(value_forms(values), "forms")
+    rows = outgoing.where("matter_id is not null and text is not null").select("out_id", "matter_id", "text")
+    schema = f"out_id {outgoing.schema['out_id'].dataType.simpleString()}, label_type string, label string, hits bigint, cleaned string"
+    if forms.count() <= sent:
+        by_matter: dict[object, list[tuple[str, str, str]]] = {}
+        for r in forms.collect():
+            by_matter.setdefault(r["matter_id"], []).append((r["form"], r["label_type"], r["label"]))
+        shared = outgoing.sparkSession.sparkContext.broadcast(by_matter)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scanners: dict[object, Scanner] = {}
+            for frame in frames:
+                out = []
+                for out_id, matter, text in zip(frame["out_id"], frame["matter_id"], frame["text"]):
+                    if matter in shared.value:
+                        if matter not in scanners:
+                            scanners[matter] = Scanner(shared.value[matter])
+                        out += _rows(out_id, text, scanners[matter].scan(text))
+                yield pd.DataFrame(out, columns=OUT)
+
+        return rows.mapInPandas(run, schema)
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+
+    def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [x for i, text, near in zip(frame["out_id"], frame["text"], frame["near"]) for x in _rows(i, text, Scanner((v["form"], v["label_type"], v["label"]) for v in near).scan(text))]
+            yield pd.DataFrame(out, columns=OUT)
 
-    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return rows.join(near_values(rows, forms), ["matter_id", "digest"]).select("out_id", "text", "near").mapInPandas(few, schema)
+
+
+def _bits(matters: Iterable, keys: Iterable) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(f"{m}\0{k}".encode("utf-8", "surrogatepass")) % BITS for m, k in zip(matters, keys)], np.int64)
+
+
+def near_values(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """(matter_id, digest, near): for each text (matter_id, digest, text), the forms whose first letters and digits it has."""
+    matter = rows.schema["matter_id"].dataType.simpleString()
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(m, value_key(t, f), f, t, n) for m, t, n, v in frame.itertuples(index=False) for f in name_forms(t, v) if value_pattern(t, f)]
-            yield pd.DataFrame(rows, columns=["matter_id", "key", "form", "label_type", "label"])
+            found = [(m, k, f, t, n) for m, f, t, n in frame.itertuples(index=False) for k in keys_of(t, f)]
+            yield pd.DataFrame(found, columns=["matter_id", "key", "form", "label_type", "label"])
 
-    keyed = kept.mapInPandas(forms, f"matter_id {values.schema['matter_id'].dataType.simpleString()}, key string, form string, label_type string, label string").distinct()
-    of_label = keyed.where("label_type = 'KISI'").groupBy("matter_id", "form").agg(F.count_distinct("label").alias("owners")).where("owners > 1").drop("owners")
-    whole = kept.select("matter_id", F.col("value").alias("form"), "label_type", "label").withColumn("own", F.lit(True))
-    keyed = keyed.join(of_label.withColumn("shared", F.lit(True)), ["matter_id", "form"], "left").join(whole, ["matter_id", "form", "label_type", "label"], "left")
-    keyed = keyed.where("shared is null or own is not null").drop("shared", "own")
+    keys = kept(forms.select("matter_id", "form", "label_type", "label").mapInPandas(keyed, f"matter_id {matter}, key string, form string, label_type string, label string"), "keys")
 
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for lo in range(0, len(frame), 200):
-                part = frame[lo : lo + 200]
-                rows = [(m, d, k) for m, t, d in part.itertuples(index=False) for k in text_keys(t)]
-                yield pd.DataFrame(rows, columns=["matter_id", "digest", "key"])
+            yield pd.DataFrame({"bit": _bits(frame["matter_id"], frame["key"])})
 
-    rows = outgoing.where("matter_id is not null and text is not null").select("out_id", "matter_id", "text", F.sha2("text", 256).alias("digest"))
-    met = rows.select("matter_id", "text", "digest").mapInPandas(keys, f"matter_id {matter}, digest string, key string").join(keyed, ["matter_id", "key"])
-    near = met.groupBy("matter_id", "digest").agg(F.collect_set(F.struct("form", "label_type", "label")).alias("near"))
-    rows = rows.join(near, ["matter_id", "digest"]).select("out_id", "text", "near")
+    # a bit array of fixed size, however many values there are
+    bits = keys.select("matter_id", "key").mapInPandas(marked, "bit bigint").selectExpr("cast(bit >> 6 as int) as block", "1L << cast(bit & 63 as int) as bits")
+    got = bits.groupBy("block").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    seen = np.zeros(BITS >> 6, np.uint64)
+    seen[got["block"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(seen)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for out_id, text, near in zip(frame["out_id"], frame["text"], frame["near"]):
-                plain, places = normalised(text)
-                taken, found = [], {}
-                for f, t, n in sorted(((v["form"], v["label_type"], v["label"]) for v in near), key=lambda x: (-len(x[0]), x)):
-                    for m in _compiled(t, f).finditer(plain):
-                        word = t == "KISI" and len(f.split()) == 1
-                        if not (word and text[places[m.start()]].islower()) and all(m.end() <= a or b <= m.start() for a, b, _ in taken):
-                            taken.append((m.start(), m.end(), n))
-                            found[t, n] = found.get((t, n), 0) + 1
-                clean, at = [], 0
-                for a, b, n in sorted(taken):
-                    clean += [text[at : places[a]], n]
-                    at = places[b - 1] + 1
-                clean.append(text[at:])
-                out += [(out_id, t, n, k, "".join(clean) if i == 0 else None) for i, ((t, n), k) in enumerate(sorted(found.items()))]
-            yield pd.DataFrame(out, columns=["out_id", "label_type", "label", "hits", "cleaned"])
-
-    kind = outgoing.schema["out_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"out_id {kind}, label_type string, label string, hits bigint, cleaned string")
+            for m, digest, text in frame.itertuples(index=False):
+                found = sorted(pieces(text))
+                bit = _bits([m] * len(found), found)
+                some = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                out += [(m, digest, k) for k, s in zip(found, some) if s]
+            yield pd.DataFrame(out, columns=["matter_id", "digest", "key"])
+
+    texts = rows.select("matter_id", "digest", "text").mapInPandas(met, f"matter_id {matter}, digest string, key string")
+    return texts.join(keys, ["matter_id", "key"]).groupBy("matter_id", "digest").agg(F.collect_set(F.struct("form", "label_type", "label")).alias("near"))
 
 
 def leak_audit(log: DataFrame, values: DataFrame) -> DataFrame:
