@@ -38,7 +38,8 @@ TEXT, SKELETON, PLACE = 0, 1, 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object|math)\b(?:[^\"'>]++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title)\b(?:[^\"'>]++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<own>svg|iframe|object)\b(?:[^\"'>/]++|/(?!>)|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</(?P=own)\s*>|\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<[!?][^>]*>",
@@ -66,6 +67,13 @@ MARKS = frozenset(
 WEAK = frozenset("alert share sharing social related recommended recommendations login search toolbar skip".split())
 #: Words that mark even an <article> as a reader's.
 READERS = frozenset("comment comments reply replies".split())
+#: Words that say where or what kind of box a marked element is; a name of other words besides (`with-sidebar`) marks nothing.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons col column container content fixed float global group holder icons inner item items left link links list main outer "
+    "panel post posts primary right row secondary section side site slot sticky text top unit wrap wrapper".split()
+)
+#: A declared element that holds more than this share of the page's unlinked text is the page, unless it is readers'.
+MOST = 0.75
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 TOP = 1 << 63
@@ -87,6 +95,7 @@ class Node:
     bones: list[bytes] = field(default_factory=list)
     size: int = 0
     linked: int = 0
+    begin: int = -1  # where the element begins, or the dropped one that it is in
 
 
 @dataclass
@@ -130,14 +139,18 @@ def marked(tag: str, attrs: list[tuple[str, str]], inside: bool) -> str:
     found = ""
     for name, value in attrs:
         if name in ("class", "id"):
-            words = WORDS.findall(value)
-            if tag in ("article", "main"):
-                if not READERS.isdisjoint(words):
+            for one in value.split():
+                words = WORDS.findall(one)
+                marks = [w for w in words if w not in BESIDE]
+                if tag in ("article", "main"):
+                    if marks and READERS.issuperset(marks):
+                        return "yes"
+                elif not marks:
+                    continue
+                elif MARKS.issuperset(marks) or not inside and MARKS.union(("header",)).issuperset(marks):
                     return "yes"
-            elif not MARKS.isdisjoint(words) or "header" in words and not inside:
-                return "yes"
-            elif not WEAK.isdisjoint(words):
-                found = "weak" if inside else "yes"
+                elif MARKS.union(WEAK).issuperset(marks):
+                    found = "weak" if inside else "yes"
         elif tag not in ("article", "main"):
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
                 return "yes"
@@ -146,9 +159,31 @@ def marked(tag: str, attrs: list[tuple[str, str]], inside: bool) -> str:
     return found
 
 
+def kept_out(attrs: list[tuple[str, str]]) -> bool:
+    """Readers' comments and what is not shown go, however much of a page they are."""
+    for name, value in attrs:
+        if name in ("class", "id") and not READERS.isdisjoint(WORDS.findall(value)) or name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and "display:none" in value.replace(" ", ""):
+            return True
+    return False
+
+
 def parse(html: str, declared: bool = True) -> Page:
-    """A page's blocks and subtrees outside of dropped elements. Unclosed elements end with those around them."""
-    page, text, links, plain = Page(), [], 0, 0
+    """A page's blocks and subtrees outside of dropped elements. Unclosed elements end with those around them. An element that
+    is to be dropped but holds MOST of the page's unlinked text is not."""
+    spared: set[int] = set()
+    while True:
+        page, dropped = _parse(html, declared, spared)
+        whole = sum(page.plain) + sum(dropped.values())
+        if not (more := {i for i, n in dropped.items() if n > MOST * whole}):
+            return page
+        spared |= more
+
+
+def _parse(html: str, declared: bool, spared: set[int]) -> tuple[Page, dict[int, int]]:
+    """The page, and of elements that could be spared (by where they begin) how much unlinked text they hold."""
+    page, text, links, plain, dropped = Page(), [], 0, 0, {}
     stack = [Node("", False, False, False, 0, 0)]
     open_: dict[str, int] = {}
 
@@ -197,7 +232,10 @@ def parse(html: str, declared: bool = True) -> Page:
     def say(raw: str) -> None:
         nonlocal plain
         top = stack[-1]
-        if raw and not top.dropped:
+        if raw and top.dropped:
+            if top.begin in dropped and not links:
+                dropped[top.begin] += len(SPACE.sub(" ", raw).strip())
+        elif raw:
             text.append(raw)
             shown = SPACE.sub(" ", raw).strip()
             if shown:
@@ -236,16 +274,20 @@ def parse(html: str, declared: bool = True) -> Page:
         top = stack[-1]
         attrs = attributes(raw) if raw and raw.strip(" /") else []
         article = top.article or tag in ("article", "main")
-        mark = marked(tag, attrs, article) if declared else ""
+        mark = marked(tag, attrs, article) if declared and not top.dropped else ""
         if mark == "weak" and tag not in BLOCK:
             mark = ""
-        node = Node(tag, top.dropped or tag in NEVER or mark == "yes", mark == "weak", article, len(page.blocks), top.block, place=top.place, depth=top.depth, inside=top.article)
+        drop = (tag in NEVER or mark == "yes") and m.start() not in spared
+        node = Node(tag, top.dropped or drop, mark == "weak", article, len(page.blocks), top.block, place=top.place, depth=top.depth, inside=top.article)
         if tag in BLOCK:
             node.block = len(stack)
             if not node.dropped:
                 classes = sorted({w for name, value in attrs if name == "class" for w in WORDS.findall(value)})
                 node.label = ".".join([tag, *classes])
                 node.place, node.depth = _hash(top.place.to_bytes(8, "little", signed=True) + node.label.encode("utf-8", "surrogatepass")), top.depth + 1
+        node.begin = top.begin if top.dropped else m.start()
+        if drop and not top.dropped and tag != "head" and not kept_out(attrs):
+            dropped[node.begin] = 0
         stack.append(node)
         open_[tag] = open_.get(tag, 0) + 1
         if tag == "a":
@@ -255,7 +297,7 @@ def parse(html: str, declared: bool = True) -> Page:
     while len(stack) > 1:
         close()
     page.size = stack[0].size
-    return page
+    return page, dropped
 
 
 def main_text(page: Page, texts: set[int] = frozenset(), skeletons: set[int] = frozenset(), content: int | None = None, articles: bool = True) -> str:

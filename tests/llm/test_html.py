@@ -27,6 +27,32 @@ def test_odd_markup():
     assert text("<b>" * 3000 + "deep") == "deep"
 
 
+def test_names_that_only_speak_of_marks():
+    story = "<p>A long story that goes on and on.</p><p>More of it, and a <a href='/'>link</a>.</p>"
+    want = "A long story that goes on and on.\n\nMore of it, and a link."
+    for name in ("content with-sidebar", "layout has-menu", "post comments-open", "promo-free", "share-page", "no-ads", "research-related"):
+        for attr in ("class", "id"):
+            assert text(f'<body><div {attr}="{name}">{story}</div><div class="sidebar">Side</div></body>') == want, name
+    for name in ("sidebar", "left-sidebar", "site-footer", "ad-slot", "x cookie-notice", "newsletter_box", "comments-area", "social-links"):
+        assert text(f'<body><div class="x">{story}</div><div class="{name}">Besides</div></body>') == want, name
+
+
+def test_what_holds_most_of_a_page_is_the_page():
+    story = "<p>A long story that goes on and on.</p><p>More of it, at some length.</p>"
+    want = "A long story that goes on and on.\n\nMore of it, at some length."
+    for around in ('<div class="sidebar">', '<form action="x">', '<div role="search"><aside>', '<div class="modal"><div class="popup"><nav>'):
+        assert text(f"<body>{around}{story}<nav><a>Next</a></nav></body>") == want, around
+    for gone in ('<div class="comments">', "<div hidden>", '<div style="display: none">'):
+        assert text(f"<body><p>Short.</p>{gone}{story}{story}</div></body>") == "Short.", gone
+
+
+def test_self_closed_elements():
+    assert text('<p>a</p><svg class="i"/><p>b</p>') == "a\n\nb" and text("<p>Let <math><mi>x</mi> = 1</math> be<math/> so</p><p>b</p>") == "Let x = 1 be so\n\nb"
+    assert text('<svg class="a/b"><text>t</text></svg>c') == "c" and text("<script src=/a/b.js>v<p>no</p></script>yes") == "yes"
+    assert text("<p>a</p><iframe src='/x'/><p>b</p><object/>c") == "a\n\nb\n\nc"
+    assert text('<script src="x"/>var t;</script><p>k</p>') == "k", "a script is not closed by its own tag"
+
+
 def rows_of(n):
     for i in range(n):
         yield (i, f"http://A.example/{i}", f"<body><div>Site menu of all</div><div><p>Story {i} tells</p><p>{'even' if i % 2 else 'odd'} more {i // 2}</p></div></body>", "t")
