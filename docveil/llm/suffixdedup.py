@@ -352,17 +352,32 @@ def removed(docs: DataFrame, spans: DataFrame, key: str, text: str, characters:
     return both.select("key", "id", "own", "first", "end", "text").mapInArrow(run, out)
 
 
+def by_row(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with a key that tells rows of different texts apart, in the order of the key, and its name: the key itself, unless
+    some rows repeat it with other texts."""
+    hashed = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    if hashed.groupBy("id").agg((F.min("h") != F.max("h")).alias("differ")).where("differ").isEmpty():
+        return docs, key
+    # numbers ascend with the order of the rows; written once, so that all stages see the same
+    rows = staged(hashed.distinct().orderBy(F.asc_nulls_first("id"), "h").withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    met = docs.join(rows.withColumnsRenamed({"id": "__id", "h": "__h", "row": "__row"}), F.col(key).eqNullSafe(F.col("__id")) & (own == F.col("__h")))
+    return staged(met.drop("__id", "__h"), "docs"), "__row"
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters: bool = False, carry: str | None = None) -> DataFrame:
     """(carry, n_bytes, n_removed, n_spans, kept binary) of every document: its UTF-8 without each byte that is covered by a
     string of SPAN bytes which also starts earlier, in a document of smaller key or before in the same one.
 
-    Null texts count as empty. Rows that repeat a key are one document, judged once and returned for each; if their texts
-    differ, what is found in any of them is removed from all. A null key is the smallest. With `characters`, characters
-    that would be left in part are left out of `kept`, which then is UTF-8. `carry` names the column that comes back with each
-    row, the key if it is not given. Keys are whole numbers.
+    Null texts count as empty. Rows that repeat a key and its text are one document, judged once and returned for each; with
+    other texts they are other documents, in the order of their texts' hashes. A null key is the smallest. With `characters`,
+    characters that would be left in part are left out of `kept`, which then is UTF-8. `carry` names the column that comes
+    back with each row, the key if it is not given. Keys are whole numbers.
     """
     if not isinstance(docs.schema[key].dataType, IntegralType):
         raise TypeError(f"{key} holds no whole numbers")
+    carry = carry or key
+    docs, key = by_row(docs, key, text)
     found = staged(compared(gathered(docs, key, text)), "anchors")
     released(docs.sparkSession)
     whole = found.where("gram is null").select("key", F.shiftright("packed", 16).alias("first"), (F.shiftright("packed", 16) + F.shiftright("packed", 8).bitwiseAND(255) + SPAN - 1).alias("end"))
@@ -374,7 +389,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", characters:
         released(docs.sparkSession)
     partly = staged(sorted_copies(surroundings(docs, different, key, text)), "copies")
     released(docs.sparkSession)
-    return removed(docs, reduce(DataFrame.union, [partly, *split], whole), key, text, characters, carry or key)
+    return removed(docs, reduce(DataFrame.union, [partly, *split], whole), key, text, characters, carry)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,25 @@ def test_edge_rows(spark):
     assert suffixdedup.dedup(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_repeated_ids_of_different_texts(spark):
+    """Each text of an id is a document of its own: nothing is cut from one for what another one repeats."""
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = say(400), say(3000)
+    rows = [(1, passage + say(50)), (2, say(30) + passage[:250] + say(20)), (2, other), (2, other), (None, say(200) + passage[:120]), (None, say(150)), (3, other[1000:1300] + passage), (4, None), (4, "x" * 300)]
+    df = spark.createDataFrame([(*r, i, "y") for i, r in enumerate(rows)], "doc_id long, text string, n int, kept string")
+    hashes = {r.n: r.h for r in df.selectExpr("n", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashes[i]))
+    at = {}
+    for i in order:
+        at.setdefault((rows[i][0], hashes[i]), len(at))
+    one = {at[rows[i][0], hashes[i]]: rows[i][1] for i in order}
+    want = {k: r for k, *r in slow(list(one.items()))}
+    got = suffixdedup.dedup(df, carry="n").collect()
+    assert sorted((r.n, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted((i, *want[at[rows[i][0], hashes[i]]]) for i in range(len(rows)))
+    assert sum(r.n_removed for r in got) > 1000 and {r.n_removed for r in got if r.n in (2, 3)} == {0}
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, suffixdedup.op3(spark, sf_dir).collect())) == slow(rows)
