@@ -10,7 +10,7 @@ summed over the shards.
 What is frequent is known only of the corpus, not of a shard. So hashes of words and pairs are counted first, then those of
 longer phrases, size by size, of frequent parts only; what is frequent sets bits in an array of fixed size. At last, words and
 phrases with their bits set are counted by their text; one let through by chance is found infrequent there. Hashes go to their
-sums as sorted runs, a row for each shard and bucket, which one task after another merges bucket by bucket.
+sums as sorted runs, a row for each bucket of a task, which other tasks merge bucket by bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ STARTS = 1 << 16
 FILTER_BITS = 1 << 25
 #: Hashes are summed by at most so many buckets, one at a time in a task.
 BUCKETS = 1 << 18
+#: Hashes a task sums before it sends them on.
+HELD = 1 << 21
 #: Rows that leave a task at once.
 ROWS = 1 << 16
 #: A key that many candidates share is dealt to so many tasks.
@@ -213,21 +215,31 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
 def frequent_bits(docs: DataFrame, size: int, seen: np.ndarray | None, least: int) -> np.ndarray:
     """A bit array of FILTER_BITS, however many phrases there are, in which the bits are set of all phrases of `size` words
     that are there `least` times or more in docs (lang, text); of size 2, of all words too."""
-    buckets = min(16 * partitions_for(docs), BUCKETS)
+    buckets = min(4 * partitions_for(docs), BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(seen) if seen is not None else None
-    # what one shard counts beyond `least` makes no difference
+    # what one task counts beyond `least` makes no difference
     count = np.min_scalar_type(least)
 
+    def runs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        values, of = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        n = np.minimum(np.bincount(of, np.concatenate([n for _, n in held]), len(values)), least).astype(count)
+        low = (values & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(low, kind="stable")
+        low, high, n = low[order], (values[order] >> np.uint64(32)).astype(np.uint32), n[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        ends = np.concatenate([first, [len(low)]])
+        blobs = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:])] for x in (high, n)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(low[first].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "high", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for shard in shards(batches):
-            values, n = shard.hashed(size, shared.value if shared is not None else None)
-            low = (values & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(low, kind="stable")
-            low, high, n = low[order], (values[order] >> np.uint64(32)).astype(np.uint32), np.minimum(n[order], least).astype(count)
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-            ends = np.concatenate([first, [len(low)]])
-            blobs = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:])] for x in (high, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(low[first].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "high", "n"])
+            held.append(shard.hashed(size, shared.value if shared is not None else None))
+            if sum(len(v) for v, _ in held) > HELD:
+                yield runs(held)
+        if held:
+            yield runs(held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, now, held = np.zeros(FILTER_BITS >> 6, np.uint64), None, []
