@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that have been before; those of which nothing is left go. Rows that share a doc_id are one
-    document to the operator: what any of them repeats goes from all."""
+    """Documents without passages that have been before; those of which nothing is left go. Rows that share a doc_id but not
+    the text are documents of their own."""
     others = F.struct(*(F.col(c) for c in docs.columns if c not in ("text", "n_chars")))
     kept = suffixdedup.dedup(docs.select(others.alias("row"), "doc_id", "text"), characters=True, carry="row")
     rest = kept.select("row.*", F.col("kept").cast("string").alias("text")).where("text <> ''")
