@@ -24,13 +24,21 @@ AHEAD = 1.5
 def language(text: Column, languages: tuple[str, ...] = ("en", "fr", "de", "es")) -> Column:
     """The language most of whose function words stand in text: at least SHARE of its words, and AHEAD times the next;
     null for fewer than 3 words or without such a language."""
-    words = F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "")
+    parts = F.split(F.lower(text), "[ \t\r\n]+")
+    every = sorted({w for x in languages for w in STOP_WORDS[x]})
 
+    # all words are looked at once, those of some language once more for each
+    def judged(x: Column) -> Column:
+        return _language(x["some"], x["total"], languages)
+
+    return let(F.struct(F.filter(parts, lambda w: w.isin(every)).alias("some"), F.size(F.array_remove(parts, "")).alias("total")), judged)
+
+
+def _language(some: Column, total: Column, languages: tuple[str, ...]) -> Column:
     def among(stop_words: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(stop_words)))
+        return F.size(F.filter(some, lambda w: w.isin(stop_words)))
 
     counts = {x: among(STOP_WORDS[x]) for x in languages}
-    total = F.size(words)
     best = F.greatest(*counts.values())
     pick = F.lit(None).cast("string")
     for x in sorted(languages, reverse=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def cue_pattern(cues: str) -> str:
     return "(?i)(" + "|".join("".join("[ \t-]+" if x == " " else CASES.get(x, x) for x in c) for c in ordered) + ")"
 
 
+def told_by(cues: str) -> list[str]:
+    """The longest word of each cue, as `plain` writes it: a text without any of them has none of the cues."""
+    return sorted({max(c.replace("ı", "i").split(), key=len) for c in cues.split(",")})
+
+
+def plain(text: Column) -> Column:
+    return F.lower(F.translate(text, "İIı", "iii"))
+
+
 RED_LINES = [(category, cue_pattern(", ".join(both))) for category, both in CUES.items()]
 
 
@@ -72,22 +82,30 @@ RESIDUALS = [
 RESIDUAL_SCORE = 45
 
 
-def hits(docs: DataFrame, cues: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """(doc_id, category, start, end, line, sample): every match of every cue, in one scan."""
+def hits(docs: DataFrame, cues: list[tuple[str, str]], text: str = "text", words: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, category, start, end, line, sample): every match of every cue, in one scan. Places are worked out only where
+    there is a cue; with `words` of a category, only of texts that have one of them."""
+    none = F.array().cast(f"array<{SPAN}>")
 
     def of(category: str) -> Callable[[Column], Column]:
         return lambda s: F.struct(F.lit(category).alias("category"), s["start"], s["end"], s["text"].alias("sample"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    # places are worked out only where there is a cue
-    found = F.concat(*(F.transform(F.when(F.col(text).rlike(p), spans(F.col(text), p)).otherwise(none), of(c)) for c, p in cues))
-    rows = docs.select("doc_id", F.col(text).alias("__text"), F.inline(found))
-    return rows.withColumn("line", line_number(F.col("__text"), F.col("start"))).drop("__text")
+    def may(category: str, pattern: str) -> Column:
+        if words is None:
+            return F.col("__text").rlike(pattern)
+        return reduce(Column.__or__, (F.contains("__plain", F.lit(w)) for w in words[category]))
+
+    rows = docs.select("doc_id", F.col(text).alias("__text"))
+    if words is not None:
+        rows = rows.withColumn("__plain", plain(F.col("__text")))
+    found = F.concat(*(F.transform(F.when(may(c, p), spans(F.col("__text"), p)).otherwise(none), of(c)) for c, p in cues))
+    return rows.select("doc_id", "__text", F.inline(found)).withColumn("line", line_number(F.col("__text"), F.col("start"))).drop("__text")
 
 
 def red_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, category, lines, sample): the lines of each category's cues, and its first cue."""
-    return hits(docs, RED_LINES, text).groupBy("doc_id", "category").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.min_by("sample", F.struct("start", "end", "sample")).alias("sample"))
+    words = {category: told_by(", ".join(both)) for category, both in CUES.items()}
+    return hits(docs, RED_LINES, text, words).groupBy("doc_id", "category").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.min_by("sample", F.struct("start", "end", "sample")).alias("sample"))
 
 
 def residual(docs: DataFrame, text: str = "masked") -> DataFrame:
