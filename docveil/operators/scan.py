@@ -48,7 +48,13 @@ CASES = {c: "[" + "".join(dict.fromkeys(c + d)) + "]" for c, d in {"ç": "Ç", "
 def cue_pattern(cues: str) -> str:
     """A pattern of cues in any case, the longest first."""
     ordered = sorted((c.strip() for c in cues.split(",")), key=lambda c: (-len(c), c))
-    return "(?i)(" + "|".join("".join("[ \t-]+" if x == " " else CASES.get(x, x) for x in c) for c in ordered) + ")"
+    write = lambda c: "".join("[ \\t-]+" if x == " " else CASES.get(x, x) for x in c)
+    # by first letters, so that most places of a text are passed by with one look at each letter
+    by_first: dict[str, list[str]] = {}
+    for c in ordered:
+        by_first.setdefault(c[0].replace("ı", "i"), []).append(c)
+    groups = [f"{CASES.get(first, first)}(?:{'|'.join(write(c[1:]) for c in of)})" for first, of in sorted(by_first.items())]
+    return "(?i)(" + "|".join(groups) + ")"
 
 
 def told_by(cues: str) -> list[str]:
