@@ -27,7 +27,9 @@ POPULAR = 16
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 HASHES = 5
-#: Share of the way from chance to full overlap that still counts as no likeness.
+#: Overlap within so many standard deviations of what unrelated filters of the same fullness have is no likeness; but at most
+#: this share of the way from chance to full overlap.
+SIGMAS = 4
 CUT = 0.3
 BLOCK = 1 << 18
 STRIP = 1 << 16
@@ -187,7 +189,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         both = np.bitwise_count(b & row).sum(axis=1, dtype=np.int64)
         full = np.minimum(mine, ones)
         chance = mine * ones / FILTER_BITS
-        floor = chance + CUT * (full - chance)
+        spread = np.sqrt(chance * (1 - ones / FILTER_BITS) * (1 - mine / FILTER_BITS))
+        floor = chance + np.minimum(SIGMAS * spread, CUT * (full - chance))
         total += float(np.clip((both - floor) / np.maximum(full - floor, 1e-9), 0, 1).max())
     return total / len(a)
 
@@ -223,14 +226,15 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     tails = rows.join(F.broadcast(heads), same).select(F.col("__before").alias("__bucket"), F.lit(1).alias("__tail"), rows["__key"], "__text")
     every = rows.select("__bucket", F.lit(0).alias("__tail"), "__key", "__text").unionByName(tails)
     order = ["__bucket", "__tail", F.col("__key").desc_nulls_last(), F.xxhash64("__text"), F.length("__text")]
-    return every.repartition(n, "__bucket").sortWithinPartitions(*order)
+    return every.repartitionById(n, F.col("__bucket")).sortWithinPartitions(*order)
 
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     The next document is that of the next lower key (of equal keys, that of the next text hash); after the last comes the
-    first, and a lone document follows itself. Null texts count as empty.
+    first, and a lone document follows itself. Null texts count as empty. Keys are numbers (others are in one range, which is
+    one task). Texts of any length are read whole, a strip at a time; one text's windows are held at once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 

@@ -92,3 +92,61 @@ def test_query(spark, sf_dir):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(digest.edited(t, following[k][1]).encode()).hexdigest()
     long = [out[k] for k, t in docs if len(t) > 1000]
     assert np.mean([r.near_edited for r in long]) > 3 * np.mean([r.near_next for r in long]) and np.mean([r.near_edited for r in long]) > 0.3
+
+
+def slow_chain(text, ranks):
+    """Filters as sets of bits, feature by feature."""
+    data = np.frombuffer(text, np.uint8)
+    if not text:
+        return []
+    windows = [data[i : i + 64] for i in slow_selected(data, ranks)] if len(text) >= 64 else [np.frombuffer(text.ljust(64, b"\0"), np.uint8)]
+    features = list(dict.fromkeys(int(digest.hashes(w.copy(), np.array([0]))[0]) for w in windows))
+    return [{(v >> (11 * k)) % 2048 for v in features[i : i + 160] for k in range(5)} for i in range(0, len(features), 160)]
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    best = []
+    for x in a:
+        scores = []
+        for y in b:
+            full, chance = min(len(x), len(y)), len(x) * len(y) / 2048
+            spread = (chance * (1 - len(x) / 2048) * (1 - len(y) / 2048)) ** 0.5
+            floor = chance + min(4 * spread, 0.3 * (full - chance))
+            scores.append(min(1.0, max(0.0, (len(x & y) - floor) / max(full - floor, 1e-9))))
+        best.append(max(scores))
+    return sum(best) / len(best)
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 30, 200])))) for i in range(12)]
+    rows += [(100, rows[11][1]), (99, rows[11][1] + " more"), (50, " ".join(rng.choice(words) for _ in range(3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = digest.rarity(df)
+    following = expected_order(rows)
+    for r in digest.fingerprints(df, ranks).collect():
+        mine, after, half = (slow_chain(t.encode(), ranks) for t in (r.text, following[r.doc_id][1], digest.edited(r.text, following[r.doc_id][1])))
+        packed = b"".join(np.packbits(np.isin(np.arange(2048), list(x))).tobytes() for x in mine)
+        assert r.fingerprint == digest.shown(np.frombuffer(packed, np.uint8).reshape(len(mine), 256))
+        assert r.near_next == pytest.approx(slow_likeness(mine, after)) and r.near_edited == pytest.approx(slow_likeness(mine, half))
+
+
+def test_ranges_do_not_share_tasks(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "'some words' AS text")
+    sizes = [r["count"] for r in digest.in_order(df, "doc_id", "text").groupBy(digest.F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1400
+
+
+def test_very_long_and_half_edited(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("etaoin shrdlu.,ABC") for _ in range(n))
+    rows = [(i, text(1000)) for i in range(40)] + [(40, text(2_000_000)), (41, text(2_000_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = digest.fingerprints(df, digest.rarity(df)).collect()
+    assert min(r.near_edited for r in out) > 0.2 and max(r.near_next for r in out) < 0.1
