@@ -100,6 +100,20 @@ def udf_package(text: str) -> bytes:
     return out.getvalue()
 
 
+def package_of(body: str) -> bytes:
+    """A DOCX package of a body's XML."""
+    ns = W[1:-1]
+    document = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>'
+    types = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+    rels = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", types)
+        z.writestr("_rels/.rels", rels)
+        z.writestr("word/document.xml", document)
+    return out.getvalue()
+
+
 def docx_package(markdown: str) -> bytes:
     """A DOCX package of simple Markdown: headings, bullets, bold, page breaks and paragraphs."""
 
@@ -115,16 +129,7 @@ def docx_package(markdown: str) -> bytes:
         style = f'<w:pPr><w:pStyle w:val="Heading{len(m[1])}"/></w:pPr>' if m else ""
         line = line[m.end() :] if m else re.sub(r"^[-*] +", "• ", line)
         body.append(f"<w:p>{style}{''.join(run(t, i % 2 == 1) for i, t in enumerate(line.split('**')))}</w:p>")
-    ns = W[1:-1]
-    document = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{ns}"><w:body>{"".join(body)}</w:body></w:document>'
-    types = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-    rels = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", types)
-        z.writestr("_rels/.rels", rels)
-        z.writestr("word/document.xml", document)
-    return out.getvalue()
+    return package_of("".join(body))
 
 
 READERS = {"docx": docx_text, "udf": udf_text, "txt": lambda raw: (raw.decode("utf-8-sig"), []), "md": lambda raw: (raw.decode("utf-8-sig"), [])}
