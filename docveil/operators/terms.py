@@ -79,20 +79,52 @@ def undefined_terms(rows: DataFrame, most: int = TOP_TERMS) -> DataFrame:
     return frequent.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
 
-def party_spellings(rows: DataFrame) -> DataFrame:
-    """(doc_id, a, b): companies of a document whose names differ by a slip. Names meet on their first two letters or on
-    their last three, so a slip in one place does not keep them apart."""
-    found = rows.select("doc_id", F.inline(spans(F.col("text"), rf"(?:{NAME} ){{1,7}}{FORMS}"))).select("doc_id", company_core(F.col("text")).alias("name")).distinct().where(F.length("name") >= LONG)
-    ends = found.select("doc_id", "name", F.explode(F.array(F.concat(F.lit("<"), F.substring("name", 1, 2)), F.concat(F.lit(">"), F.expr("right(name, 3)")))).alias("end"))
-    pairs = ends.withColumnRenamed("name", "a").join(ends.withColumnRenamed("name", "b"), ["doc_id", "end"]).where("a < b and not startswith(b, a)").select("doc_id", "a", "b").distinct()
+def _grams(name: Column) -> Column:
+    """The pairs of neighbouring letters of a name and its two edges, each with the number of times that it came before."""
+    padded = F.concat(F.lit("<"), name, F.lit(">"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substr(padded, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+
+def spellings(names: DataFrame, least: float = ALIKE) -> DataFrame:
+    """(doc_id, a, b): distinct names (doc_id, name) of a document that are at least so much alike, but not the same and not the
+    other's beginning; a is the smaller one. Every such pair is found.
+
+    Likeness is 2m / (|a| + |b|) for m letters in common, in order. Turning a into b takes |a| - m letters out, each of which ends
+    two of a's |a| + 1 pairs of neighbours, and puts |b| - m in, which end one each. So at least 1 + (1.5 least - 1)(|a| + |b|) pairs
+    are left in both, and |b| is at least |a| least / (2 - least). Of a's pairs, in order of how rare they are in the document, one
+    of the first ones is thus among the first ones of b. Below a likeness of 2/3 this says nothing, and is refused.
+    """
+    if not 2 / 3 < least <= 1:
+        raise ValueError("least is above 2/3 and at most 1")
+    share = 1.5 * least - 1
+    rows = names.select("doc_id", "name").where("name <> ''").distinct().withColumn("grams", _grams(F.col("name")))
+    each = rows.select("doc_id", "name", F.explode("grams").alias("gram"))
+    rare = each.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # pairs that only one name has lead nowhere, but take their places among the first ones
+    ranked = each.join(rare, ["doc_id", "gram"], "left").groupBy("doc_id", "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "gram"))).alias("order"))
+    fewest = F.ceil(1 + share * (1 + least / (2 - least)) * F.length("name") - 1e-9)
+    first = F.slice("order", F.lit(1), F.greatest(F.size("order") - fewest + 1, F.lit(0)).cast("int"))
+    keys = ranked.select("doc_id", "name", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x")).select("doc_id", "name", F.col("x.gram").alias("gram"), F.length("name").alias("size"))
+    a, b = (keys.select("doc_id", "gram", F.col("name").alias(side), F.col("size").alias(f"size_{side}")) for side in "ab")
+    near = (2 * F.least("size_a", "size_b") >= least * (F.col("size_a") + F.col("size_b")) - 1e-9) & F.expr("a < b and not startswith(b, a)")
+    met = a.join(b, ["doc_id", "gram"]).where(near).select("doc_id", "a", "b").distinct()
+    common = F.size(F.array_intersect(_grams(F.col("a")), _grams(F.col("b"))))
+    pairs = met.where(common >= 1 + share * (F.length("a") + F.length("b")) - 1e-9)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[[ALIKE <= SequenceMatcher(None, a, b, autojunk=False).ratio() < 1 for a, b in zip(f["a"], f["b"])]]
+            yield f[[least <= SequenceMatcher(None, a, b, autojunk=False).ratio() < 1 for a, b in zip(f["a"], f["b"])]]
 
     return pairs.mapInPandas(run, pairs.schema)
 
 
+def party_spellings(rows: DataFrame) -> DataFrame:
+    """(doc_id, a, b): companies of a document whose names differ by a slip, wherever it is."""
+    found = rows.select("doc_id", F.inline(spans(F.col("text"), rf"(?:{NAME} ){{1,7}}{FORMS}"))).select("doc_id", company_core(F.col("text")).alias("name"))
+    return spellings(found.where(F.length("name") >= LONG))
+
+
 def role_conflicts(rows: DataFrame) -> DataFrame:
     """(doc_id, role, parties): roles in parentheses and quotes that a document gives to several companies. A role belongs to
     the last company that ends at most ROLE_DISTANCE characters before it, with no `)` between."""
