@@ -62,7 +62,11 @@ def gate(outgoing: DataFrame, values: DataFrame, sent: int = SENT) -> DataFrame:
 
     Up to `sent` forms of values go to all tasks. More of them meet texts by pieces (see near_values), with the same result.
     """
-    forms = kept(value_forms(values), "forms")
+    return gate_by_forms(outgoing, kept(value_forms(values), "forms"), sent)
+
+
+def gate_by_forms(outgoing: DataFrame, forms: DataFrame, sent: int = SENT) -> DataFrame:
+    """gate for forms that value_forms gave, read from a table."""
     rows = outgoing.where("matter_id is not null and text is not null").select("out_id", "matter_id", "text")
     schema = f"out_id {outgoing.schema['out_id'].dataType.simpleString()}, label_type string, label string, hits bigint, cleaned string"
     if forms.count() <= sent:
