@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docveil.llm.common import discarded, staged, table
@@ -18,10 +18,11 @@ from docveil.llm.html import host
 
 #: Pages that a segment needs to stay literal, and a node to be split.
 LEAST = 8
-#: Labelled pages from which on a segment's share of blocked pages is tested against its siblings', and the bound of that
-#: chi-squared test (one degree of freedom, 5 %).
+#: Labelled pages from which on a segment's share of blocked pages is held against its siblings', the bound of that chi-squared
+#: test (one degree of freedom, 5 %), and into how many steps shares are sorted, so that a node has few of them to compare.
 LABELS = 10
 CHI2 = 3.841
+STEPS = 64
 #: Weight of the corpus's share of blocked pages, in labelled pages, in a template's share.
 PRIOR = 10
 
@@ -100,24 +101,29 @@ def templates(pages: DataFrame) -> DataFrame:
 def named(literal: DataFrame) -> DataFrame:
     """(host, template, __segment, __name) of literal segments: the name of the largest sibling of the same class.
 
-    A class is told from a segment and the sums over its siblings, so that no two segments have to meet. Labels: none;
-    fewer than LABELS; or whether the share of blocked pages is above, below or like that of the other siblings, and whether it
-    is more than half. Next segments: whether the distribution of their shapes is within a fifth of all siblings', else
-    the shape that is furthest above.
+    Next segments: whether the distribution of their shapes is within a fifth of all siblings', else the shape that is furthest
+    above. Labels, among siblings alike in that: none; fewer than LABELS; else siblings are sorted by their share of blocked
+    pages, in STEPS steps, and neighbouring steps are one class if their sums don't differ by a chi-squared test; half is always
+    an edge. However many siblings there are, a node compares the sums of its steps only.
     """
     c = F.col
     sums = literal.groupBy("host", "template").agg(*(F.sum(k).alias(f"all_{k}") for k in ("n", "m", "b", "s0", "s1", "s2", "s3")))
     rows = literal.join(sums, ["host", "template"])
-    rest_m, rest_b = c("all_m") - c("m"), c("all_b") - c("b")
-    cross = c("b").cast("double") * rest_m - rest_b.cast("double") * c("m")
-    spread = c("m").cast("double") * rest_m * c("all_b") * (c("all_m") - c("all_b"))
-    like = (spread == 0) | (cross * cross * c("all_m") <= CHI2 * spread)
-    tested = F.when(like, 2).when(cross > 0, 4).otherwise(6) + F.when(c("b") * 2 > c("m"), 1).otherwise(0)
-    labels = F.when(c("m") == 0, 0).when(c("m") < LABELS, 1).otherwise(tested)
     above = [c(f"s{k}").cast("double") * c("all_n") - c(f"all_s{k}").cast("double") * c("n") for k in range(4)]
     near = reduce(lambda x, y: x + y, map(F.abs, above)) * 5 <= c("n").cast("double") * c("all_n") * 2
     most = reduce(lambda w, k: w.when(above[k] == F.greatest(*above), k + 1), range(1, 4), F.when(above[0] == F.greatest(*above), 1))
-    rows = rows.select("host", "template", "__segment", "n", labels.alias("__labels"), F.when(near, 0).otherwise(most).alias("__shapes"))
+    step = F.when(c("m") >= LABELS, F.expr(f"b * {STEPS} div m") + F.when(c("b") * 2 > c("m"), 1).otherwise(0))
+    rows = rows.select("host", "template", "__segment", "n", "m", "b", step.alias("__step"), F.when(near, 0).otherwise(most).alias("__shapes"))
+    alike = ["host", "template", "__shapes"]
+    in_order = Window.partitionBy(*alike).orderBy("__step")
+    steps = rows.where("__step is not null").groupBy(*alike, "__step").agg(F.sum("m").alias("m2"), F.sum("b").alias("b2"))
+    steps = steps.withColumn("m1", F.lag("m2").over(in_order)).withColumn("b1", F.lag("b2").over(in_order)).withColumn("__before", F.lag("__step").over(in_order))
+    cross = c("b2").cast("double") * c("m1") - c("b1").cast("double") * c("m2")
+    spread = c("m1").cast("double") * c("m2") * (c("b1") + c("b2")) * (c("m1") + c("m2") - c("b1") - c("b2"))
+    half = (c("__before") <= STEPS // 2) & (c("__step") > STEPS // 2)
+    edge = F.when(half | (cross * cross * (c("m1") + c("m2")) > CHI2 * spread), 1).otherwise(0)
+    runs = steps.withColumn("__edge", edge).select(*alike, "__step", F.sum("__edge").over(in_order).alias("__run"))
+    rows = rows.join(runs, [*alike, "__step"], "left").withColumn("__labels", F.when(c("m") == 0, -2).when(c("m") < LABELS, -1).otherwise(c("__run")))
     classes = ["host", "template", "__labels", "__shapes"]
     largest = rows.groupBy(*classes).agg(F.min_by("__segment", F.struct(-c("n"), c("__segment"))).alias("__name"))
     return rows.join(largest, classes).select("host", "template", "__segment", "__name")
@@ -166,11 +172,15 @@ def oracle() -> str:
                 FROM (SELECT *, {shape_} AS shp FROM tree WHERE opened) GROUP BY ALL),
             lit AS (SELECT * FROM child WHERE n >= {LEAST}),
             total AS (SELECT host, template, {sums} FROM lit GROUP BY ALL),
-            tested AS (SELECT *, b::DOUBLE * (all_m - m) - (all_b - b)::DOUBLE * m AS crs, m::DOUBLE * (all_m - m) * all_b * (all_m - all_b) AS spread FROM lit JOIN total USING (host, template)),
-            class AS (SELECT host, template, seg, n,
-                CASE WHEN m = 0 THEN 0 WHEN m < {LABELS} THEN 1
-                    ELSE CASE WHEN spread = 0 OR crs * crs * all_m <= {CHI2}::DOUBLE * spread THEN 2 WHEN crs > 0 THEN 4 ELSE 6 END + (b * 2 > m)::INT END AS lab,
-                CASE WHEN ({" + ".join(f"abs({x})" for x in above)}) * 5 <= n::DOUBLE * all_n * 2 THEN 0 {most} END AS shps FROM tested),
+            tested AS (SELECT *, CASE WHEN m >= {LABELS} THEN b * {STEPS} // m + (b * 2 > m)::INT END AS step,
+                CASE WHEN ({" + ".join(f"abs({x})" for x in above)}) * 5 <= n::DOUBLE * all_n * 2 THEN 0 {most} END AS shps FROM lit JOIN total USING (host, template)),
+            stepped AS (SELECT host, template, shps, step, sum(m)::BIGINT AS m2, sum(b)::BIGINT AS b2 FROM tested WHERE step IS NOT NULL GROUP BY ALL),
+            beside AS (SELECT *, lag(m2) OVER w AS m1, lag(b2) OVER w AS b1, lag(step) OVER w AS st1 FROM stepped WINDOW w AS (PARTITION BY host, template, shps ORDER BY step)),
+            crossed AS (SELECT *, b2::DOUBLE * m1 - b1::DOUBLE * m2 AS crs, m1::DOUBLE * m2 * (b1 + b2) * (m1 + m2 - b1 - b2) AS spread FROM beside),
+            edged AS (SELECT *, CASE WHEN st1 <= {STEPS // 2} AND step > {STEPS // 2} OR crs * crs * (m1 + m2) > {CHI2}::DOUBLE * spread THEN 1 ELSE 0 END AS edge FROM crossed),
+            run AS (SELECT host, template, shps, step, sum(edge) OVER (PARTITION BY host, template, shps ORDER BY step) AS run FROM edged),
+            class AS (SELECT t.host, t.template, t.seg, t.n, t.shps, CASE WHEN t.m = 0 THEN -2 WHEN t.m < {LABELS} THEN -1 ELSE r.run END AS lab FROM tested t
+                LEFT JOIN run r ON r.host = t.host AND r.template = t.template AND r.shps = t.shps AND r.step = t.step),
             name AS (SELECT host, template, seg, first_value(seg) OVER (PARTITION BY host, template, lab, shps ORDER BY n DESC, seg) AS nam FROM class),
             node AS (SELECT c.host, c.template || '/' || coalesce(nam, '*') AS template FROM child c LEFT JOIN name x
                 ON x.host = c.host AND x.template = c.template AND x.seg = c.seg GROUP BY ALL HAVING sum(c.n - c.s0) >= {LEAST})"""

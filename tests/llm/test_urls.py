@@ -61,6 +61,20 @@ def test_deep_branch(spark):
     assert out[len(rows)][1:] == out[0][1:]
 
 
+def test_siblings_merge_by_evidence(spark):
+    """Sections whose shares of blocked pages differ are templates of their own, however alike all others are; those that do not
+    differ are one."""
+    rules = [("h", f"/{s}/b", "block") for s in "abcdef"] + [("h", f"/{s}/g", "allow") for s in "abcdef"]
+    blocked = {"a": 400, "b": 240, "c": 236, "d": 150, "e": 2, "f": 0}
+    rows = [f"http://h/{s}/{'b' if i < n else 'g'}{i}" for s, n in blocked.items() for i in range(400)]
+    rows += [f"http://h/{s}/{'b' if i < 4 else 'g'}{i}" for s in ("g", "i") for i in range(9)] + [None, "http://h/" + "y" * 200000]
+    df = spark.createDataFrame([(k if k else None, u) for k, u in enumerate(rows)], "page_id long, url string")
+    out = {(r.path.split("/")[1], r.template) for r in urls.judge(df, rules).collect() if r.path and len(r.path) < 100}
+    of = {s: t for s, t in out if s in "abcdef"}
+    assert len(out) == 8 and of["b"] == of["c"] and of["e"] == of["f"] and len(set(of.values())) == 4
+    assert urls.judge(df, rules).count() == len(rows)
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
