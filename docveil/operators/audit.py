@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docveil.functions.textfold import ascii_lower, company_core, tr_lower
+from docveil.functions.textfold import MARKED, PLAIN, ascii_lower, company_core
 from docveil.operators.match import let, spans
 from docveil.operators.rules import CAPITAL, FORMS, NAME, SMALL
 
@@ -16,37 +16,49 @@ STOP_WORDS = {
     "de": "der die das und ist in den von zu mit sich des auf für im dem nicht ein eine als auch es an".split(),
     "es": "el la los las de y que en un una es por con para del se no al lo como su más o".split(),
     "tr": "ve bir bu ile için da de olarak olan ise veya her gibi daha kadar".split(),
+    "az": "və bir bu ilə üçün da də olaraq olan isə həm hər kimi daha qədər".split(),
 }
+#: Words with ə that tell Azerbaijani from Turkish: one in so many.
+MARKED_WORDS = 20
 SHARE = 0.04
 AHEAD = 1.5
 
 
-def language(text: Column, languages: tuple[str, ...] = ("en", "fr", "de", "es")) -> Column:
-    """The language most of whose function words stand in text: at least SHARE of its words, and AHEAD times the next;
-    null for fewer than 3 words or without such a language."""
+def language_counts(text: Column, languages: tuple[str, ...]) -> Column:
+    """struct<total, marked, a number for each language>: words, those with ə, and function words. Counts of texts add up."""
     parts = F.split(F.lower(text), "[ \t\r\n]+")
     every = sorted({w for x in languages for w in STOP_WORDS[x]})
 
     # all words are looked at once, those of some language once more for each
-    def judged(x: Column) -> Column:
-        return _language(x["some"], x["total"], languages)
-
-    return let(F.struct(F.filter(parts, lambda w: w.isin(every)).alias("some"), F.size(F.array_remove(parts, "")).alias("total")), judged)
-
-
-def _language(some: Column, total: Column, languages: tuple[str, ...]) -> Column:
-    def among(stop_words: list[str]) -> Column:
-        return F.size(F.filter(some, lambda w: w.isin(stop_words)))
-
-    counts = {x: among(STOP_WORDS[x]) for x in languages}
-    best = F.greatest(*counts.values())
+    def counted(x: Column) -> Column:
+        among = lambda stop_words: F.size(F.filter(x["some"], lambda w: w.isin(stop_words)))
+        return F.struct(x["total"].alias("total"), x["marked"].alias("marked"), *(among(STOP_WORDS[n]).alias(n) for n in languages))
+
+    marked = F.size(F.filter(parts, lambda w: F.contains(w, F.lit("ə")))) if "az" in languages else F.lit(0)
+    return let(F.struct(F.filter(parts, lambda w: w.isin(every)).alias("some"), F.size(F.array_remove(parts, "")).alias("total"), marked.alias("marked")), counted)
+
+
+def language_of(counts: Column, languages: tuple[str, ...]) -> Column:
+    """The language that language_counts, or their sums, tell. With az among the languages, one word with ə in MARKED_WORDS decides
+    between it and Turkish."""
+    total, by = counts["total"], {x: counts[x] for x in languages}
+    if "az" in languages:
+        azerbaijani = counts["marked"] * MARKED_WORDS >= total
+        by |= {x: F.when(azerbaijani == (x == "az"), by[x]).otherwise(0) for x in ("az", "tr") if x in by}
+    best = F.greatest(*by.values())
     pick = F.lit(None).cast("string")
     for x in sorted(languages, reverse=True):
-        next_best = F.greatest(*(c for y, c in counts.items() if y != x), F.lit(0))
-        pick = F.when((counts[x] == best) & (counts[x] * 2 >= next_best * 3), x).otherwise(pick)
+        next_best = F.greatest(*(c for y, c in by.items() if y != x), F.lit(0))
+        pick = F.when((by[x] == best) & (by[x] * 2 >= next_best * 3), x).otherwise(pick)
     return F.when((total >= 3) & (best * 25 >= total), pick)
 
 
+def language(text: Column, languages: tuple[str, ...] = ("en", "fr", "de", "es")) -> Column:
+    """The language most of whose function words stand in text: at least SHARE of its words, and AHEAD times the next;
+    null for fewer than 3 words or without such a language."""
+    return let(language_counts(text, languages), lambda counts: language_of(counts, languages))
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, p_idx, start, text): a document's lines that are not blank, with their places."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -127,19 +139,24 @@ MONTHS = {
     1: "january ocak yanvar", 2: "february şubat fevral", 3: "march mart", 4: "april nisan aprel", 5: "may mayıs", 6: "june haziran iyun",
     7: "july temmuz iyul", 8: "august ağustos avqust", 9: "september eylül sentyabr", 10: "october ekim oktyabr", 11: "november kasım noyabr", 12: "december aralık dekabr",
 }
+_FOLDED = {n.translate(str.maketrans(MARKED, PLAIN)): k for k, names in MONTHS.items() for n in names.split()}
+_SHORT = {n[:3]: {k for m, k in _FOLDED.items() if m[:3] == n[:3]} for n in _FOLDED}
+#: Months' names, folded, and their first three letters where these tell one month.
+MONTH_NAMES = {n: min(k) for n, k in _SHORT.items() if len(k) == 1} | {"sept": 9} | _FOLDED
 
 
 def date(text: Column) -> Column:
-    """yyyy-mm-dd, dd.mm.yyyy (also / and -), `d Month yyyy` and `Month d, yyyy` in three languages, as a date; else null.
+    """yyyy-mm-dd, dd.mm.yyyy (also / and -), `d Month yyyy` and `Month d, yyyy` in three languages, as a date; else null. Months
+    may be short (`Sept.`, `Oca`).
     An English day and month change places only if that is the only way to read them."""
-    t = tr_lower(F.trim(text))
+    t = ascii_lower(F.trim(text))
     iso = F.try_to_date(F.regexp_extract(t, "^([0-9]{4}-[0-9]{2}-[0-9]{2})$", 1), "yyyy-MM-dd")
     part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
     numeric = "^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})$"
     d, m, y = part(numeric, 1), part(numeric, 2), part(numeric, 3)
     day, month = F.when(m > 12, m).otherwise(d), F.when(m > 12, d).otherwise(m)
-    names = F.create_map(*(F.lit(v) for k, ns in MONTHS.items() for n in ns.split() for v in (n, k)))
-    first, second = r"^([0-9]{1,2})[.]? ([\p{L}]+),? ([0-9]{4})$", r"^([\p{L}]+) ([0-9]{1,2}),? ([0-9]{4})$"
+    names = F.create_map(*(F.lit(v) for pair in MONTH_NAMES.items() for v in pair))
+    first, second = r"^([0-9]{1,2})[.]? ([\p{L}]+)[.]?,? ([0-9]{4})$", r"^([\p{L}]+)[.]? ([0-9]{1,2}),? ([0-9]{4})$"
     make = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", yy.cast("string"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
     whole = lambda c, p: F.when(t.rlike(p), c)
     return F.coalesce(
