@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from docveil.functions.textfold import ascii_lower
 from docveil.operators import audit, structure
-from docveil.operators.match import let, spans
+from docveil.operators.match import let, spans_once
+from docveil.operators.staging import kept
 
 #: Words and signs of currencies, folded, by their code. Fixed values. Longer words also stand with an ending.
 CURRENCIES = {
@@ -88,11 +89,11 @@ def figures(text: Column, language: Column) -> Column:
             return F.concat(own, turn(_blanked(held, found), k + 1)) if k + 1 < len(turns) else own
 
         # each turn's text is made once, as both its pattern and the next turn read it
-        return let(left, lambda held: let(spans(held, pattern), lambda found: taken(held, found)))
+        return let(left, lambda held: let(spans_once(held, pattern), lambda found: taken(held, found)))
 
     def whole(t: Column) -> Column:
-        unlabelled = let(ascii_lower(t), lambda x: _blanked(x, spans(t, LABEL)))
-        return turn(let(unlabelled, lambda x: _blanked(x, spans(t, structure.REFERENCE))), 0)
+        unlabelled = let(ascii_lower(t), lambda x: _blanked(x, spans_once(t, LABEL)))
+        return turn(let(unlabelled, lambda x: _blanked(x, spans_once(t, structure.REFERENCE))), 0)
 
     none = F.array().cast("array<struct<kind:string,value:string,start:int,end:int>>")
     return F.when(text.rlike("[0-9]"), F.filter(let(text, whole), lambda x: x["value"].isNotNull())).when(text.isNotNull(), none)
@@ -137,11 +138,11 @@ def bilingual_findings(cells: DataFrame) -> DataFrame:
     as often as it stands there, in order: kinds are those of SEVERITY. Labels differ only where both sides have one, and plain
     numbers only where both sides have one that the other lacks, as one side may spell a number out."""
     rows = table_rows(cells)
-    own = rows.where(F.size("columns") == 2).join(bilingual_tables(rows), ["doc_id", "table_id"])
+    own = kept(rows.where(F.size("columns") == 2).join(bilingual_tables(rows), ["doc_id", "table_id"]), "bilingual")
     side = lambda s: F.transform(s, lambda p: F.struct(F.lit(s).alias("side"), F.col(f"{s}_language").alias("language"), p["p_idx"].alias("p_idx"), p["text"].alias("text")))
     place = ["doc_id", "table_id", "row"]
     each = own.select(*place, F.inline(F.concat(side("left"), side("right"))))
-    found = each.select(*place, "side", F.inline(figures(F.col("text"), F.col("language")))).select(*place, "side", "kind", "value")
+    found = each.select(*place, "side", F.inline_outer(figures(F.col("text"), F.col("language")))).where("kind is not null").select(*place, "side", "kind", "value")
     # references are read for each paragraph as those of one document
     asked = structure.references(each.select(F.struct(*place, "side").alias("doc_id"), "p_idx", "text")).select("doc_id.*", F.lit("reference").alias("kind"), F.concat("part", "below").alias("value"))
     get = lambda s: F.try_element_at(F.filter(F.transform(s, lambda p: _label(p["text"])), lambda v: v.isNotNull()), F.lit(1))

@@ -14,13 +14,9 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once for a row, also where body uses it for each of many things."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def spans(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, text>> of all matches, left to right, in code points. The pattern matches no empty text."""
+def _placed(text: Column, pattern: str | Column, found: Column) -> Column:
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -29,13 +25,18 @@ def spans(text: Column, pattern: str | Column) -> Column:
         span = F.struct(first.alias("start"), last.alias("end"), x["m"].alias("text"))
         return F.struct(last.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    # matches are looked for once, and a text without one is not split
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
-        return F.when(F.size(found) > 0, F.aggregate(both, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    folded = F.aggregate(both, empty, step, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)), placed)
+
+def spans(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, end, text>> of all matches, left to right, in code points. The pattern matches no empty text."""
+    return _placed(text, pattern, F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)))
+
+
+def spans_once(text: Column, pattern: str) -> Column:
+    """`spans`, looking for the matches once: for patterns that take long."""
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _placed(text, pattern, found))
 
 
 def literal(text: str) -> str:
@@ -53,6 +54,11 @@ def spans_sql(text: str, pattern: str) -> str:
     return f"aggregate({both}, struct(0 AS at, CAST(array() AS array<{SPAN}>) AS out), {step}, acc -> acc.out)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, also where body uses it for each of many things."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def line_number(text: Column, start: Column) -> Column:
     """The line, from 1, on which a place lies."""
     return F.size(F.split(F.substring(text, F.lit(1), start), "\n"))
