@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docveil.operators import diff
 from docveil.plans.queries import documents, table
-from docveil.sources import tracked
+from docveil.sources import markdown, tracked
 
 
 def _lines(text: str) -> F.Column:
@@ -77,7 +77,22 @@ REVISIONS_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, substr(coa
         WHEN contains(o, chr(9)) THEN 'tracked or no plain text' ELSE 'applied' END AS status FROM d)
     SELECT doc_id, status, sha256(CASE status WHEN 'applied' THEN replace(t, o, n) ELSE t END) AS accepted_sha256, sha256(t) AS rejected_sha256 FROM s"""
 
+
+def markdown_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as Markdown with a heading, a bullet and a table of its lines, in a package, and read as Markdown again."""
+    line = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), "l_suppkey", F.lit(" | part\\|"), "l_returnflag", F.lit("<br>"), "l_linestatus", F.lit(" |"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("r"))
+    text = F.concat(F.lit("## Order "), "l_orderkey", F.lit("\n\nIt has **"), F.size("r"), F.lit("** lines & more:\n| part | supplier | <flag> |\n|---|---|---|\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n- end"))
+    read = markdown.views(markdown.packages(rows.select(F.col("l_orderkey").alias("path"), text.alias("markdown"))))
+    return read.select(F.col("path").alias("l_orderkey"), "markdown")
+
+
+MARKDOWN_SQL = """SELECT l_orderkey, '## Order ' || l_orderkey || chr(10) || chr(10) || 'It has ' || count(*) || ' lines & more:' || chr(10) || chr(10) || '| part | supplier | <flag> |' || chr(10) || '|---|---|---|' || chr(10)
+    || string_agg('| ' || l_partkey || ' | ' || l_suppkey || ' | part\\|' || l_returnflag || '<br>' || l_linestatus || ' |', chr(10) ORDER BY l_linenumber, l_partkey::VARCHAR || ' | ' || l_suppkey || ' | part' || l_returnflag || l_linestatus)
+    || chr(10) || chr(10) || '• end' AS markdown FROM lineitem GROUP BY l_orderkey"""
+
 QUERIES = {
+    "markdown_views": (markdown_views, MARKDOWN_SQL),
     "tracked_versions": (tracked_versions, TRACKED_SQL),
     "tracked_tables": (tracked_tables, TABLES_SQL),
     "table_rows": (table_rows, None),

@@ -115,13 +115,28 @@ def package_of(body: str) -> bytes:
 
 
 def docx_package(markdown: str) -> bytes:
-    """A DOCX package of simple Markdown: headings, bullets, bold, page breaks and paragraphs."""
+    """A DOCX package of simple Markdown: headings, bullets, bold, page breaks, tables and paragraphs. Lines that begin
+    and end with | are a table's rows; a rule below the first row is none."""
 
     def run(text: str, bold: bool) -> str:
         return f'<w:r>{"<w:rPr><w:b/></w:rPr>" if bold else ""}<w:t xml:space="preserve">{escape(text)}</w:t></w:r>' if text else ""
 
-    body = []
-    for line in markdown.split("\n"):
+    def rows(lines: list[str]) -> str:
+        split = [[c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)[|]", x.strip()[1:-1])] for x in lines]
+        kept = [r for k, r in enumerate(split) if k != 1 or not all(re.fullmatch(":?-+:?", c) for c in r)]
+        cell = lambda c: "<w:tc>" + "".join(f"<w:p>{run(t, False)}</w:p>" for t in c.split("<br>")) + "</w:tc>"
+        return "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in kept) + "</w:tbl>"
+
+    body, table = [], []
+    for line in [*markdown.split("\n"), None]:
+        if line is not None and re.fullmatch(r"\s*[|].*[|]\s*", line):
+            table.append(line)
+            continue
+        if table:
+            body.append(rows(table))
+            table = []
+        if line is None:
+            break
         if line == "\f":
             body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
             continue
