@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, terms
+from docveil.operators import audit, figures, terms
 
 #: Characters on both sides of a finding that its excerpt shows.
 AROUND = 80
@@ -53,9 +53,10 @@ def masked_view(text: Column, start: Column, end: Column, edits: Column) -> Colu
     return F.aggregate(inside, begin, step, rest)
 
 
-def audit_findings(docs: DataFrame) -> DataFrame:
+def audit_findings(docs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """(doc_id, no, rule, severity, p_idx, value): what the audit rules find in docs (doc_id, text), the gravest first, then in
-    order of place, rule and value. What is found about a whole document has no p_idx and comes after what has one."""
+    order of place, rule and value. What is found about a whole document has no p_idx and comes after what has one. With the cells
+    of its tables (as `figures.table_rows` takes them), so does what bilingual rows have on one side only."""
     rows = audit.paragraphs(docs)
     none = F.lit(None).cast("int")
 
@@ -70,6 +71,10 @@ def audit_findings(docs: DataFrame) -> DataFrame:
         of("unused_term", audit.unused_terms(rows), F.col("term")),
         of("undefined_term", terms.undefined_terms(rows), F.col("term_key")),
     ]
+    if cells is not None:
+        place = F.concat(F.lit("table "), "table_id", F.lit(", row "), "row", F.lit(": "), F.array_join("only_left", ", "), F.lit(" | "), F.array_join("only_right", ", "))
+        found = figures.bilingual_findings(cells)
+        every.append(found.select("doc_id", F.concat(F.lit("bilingual_"), "kind").alias("rule"), "severity", none.alias("p_idx"), none.alias("__start"), place.alias("value")))
     weight = reduce(lambda w, s: w.when(F.col("severity") == s, ORDER[s]), list(ORDER)[1:], F.when(F.col("severity") == "high", 0))
     order = Window.partitionBy("doc_id").orderBy(weight, F.asc_nulls_last("p_idx"), F.asc_nulls_last("__start"), "rule", "value")
     return reduce(DataFrame.unionByName, every).withColumn("no", F.row_number().over(order)).select("doc_id", "no", "rule", "severity", "p_idx", "value")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, figures
+from docveil.operators import audit, figures, reports
 
 TEXTS = [
     ("en", "Article 5 The price of USD 1,250.50 and 2,000 EUR is due on May 5th, 2024, at 12.5% or 3 percent, for 1,500 units, see Article 7.", "date:2024-05-05 amount:1250.5 USD amount:2000 EUR percent:12.5 percent:3 number:1500"),
@@ -60,3 +60,10 @@ def test_bilingual_edges(spark):
     assert figures.bilingual_findings(cells(spark, [])).count() == 0
     df = cells(spark, [[[None, "x"], ["", None]], [[TR[0], EN[0], EN[1]], [TR[1], EN[1], ""]]])
     assert figures.bilingual_findings(df).count() == 0
+
+
+def test_bilingual_rows_in_the_audit(spark):
+    table = [[TR[0], EN[0]], [TR[1], EN[1].replace("5%", "6%")]]
+    docs = spark.createDataFrame([(1, "nothing of note"), (2, "1. One\nsee Section 4")], "doc_id long, text string")
+    found = reports.audit_findings(docs, cells(spark, [table])).collect()
+    assert sorted((r.doc_id, r.no, r.rule, r.severity, r.p_idx, r.value) for r in found) == [(1, 1, "bilingual_percent", "high", None, "table 0, row 1: 5 | 6"), (2, 1, "missing_reference", "high", 1, "4")]
