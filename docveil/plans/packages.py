@@ -22,7 +22,7 @@ def tracked_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents as two versions: what accepting and rejecting all changes of their package gives."""
     docs = documents(spark, sf_dir).select(F.expr("doc_id div 2").alias("pair_id"), (F.col("doc_id") % 2).alias("side"), _lines("text").alias("blocks"))
     pairs = docs.groupBy("pair_id").agg(F.first(F.when(F.col("side") == 0, F.col("blocks")), True).alias("old"), F.first(F.when(F.col("side") == 1, F.col("blocks")), True).alias("new"))
-    read = tracked.versions(tracked.tracked(pairs), ["pair_id", "changes"])
+    read = tracked.versions(tracked.tracked(pairs), ["pair_id", "changes"], ("accepted", "rejected"))
     return read.select("pair_id", (F.col("changes") > 0).alias("changed"), F.sha2(_text("accepted"), 256).alias("accepted_sha256"), F.sha2(_text("rejected"), 256).alias("rejected_sha256"))
 
 
@@ -45,7 +45,7 @@ def tracked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that a package of both versions' tables has with all changes accepted, and with all rejected."""
     block = lambda c: F.array(F.struct(F.lit(None).cast("string").alias("text"), F.col(c).alias("rows")))
     pairs = order_tables(spark, sf_dir).select("pair_id", block("old").alias("old"), block("new").alias("new"))
-    read = tracked.versions(tracked.tracked(pairs), ["pair_id"])
+    read = tracked.versions(tracked.tracked(pairs), ["pair_id"], ("accepted", "rejected"))
     flat = lambda c: F.array_join(F.transform(F.flatten(F.transform(c, lambda b: b["rows"])), lambda r: F.array_join(r, "|")), "\n")
     return read.select("pair_id", flat("accepted").alias("accepted"), flat("rejected").alias("rejected"))
 
@@ -67,7 +67,7 @@ def tracked_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tracked.tracked(docs.select(F.col("path").alias("pair_id"), _lines("text").alias("old"), _lines("text").alias("new"))).select(F.col("pair_id").alias("path"), "content")
     asked = docs.select("path", F.lit(1).alias("position"), F.expr("substring(text, length(text) div 2 + 1, 12)").alias("old"), F.concat(F.lit("No. "), "path").alias("new"), (F.col("path") % 2 == 0).alias("every"))
     done = tracked.revised(pages, asked).select(F.col("path").alias("doc_id"), F.col("results")[0]["status"].alias("status"), "content")
-    read = tracked.versions(done, ["doc_id", "status"])
+    read = tracked.versions(done, ["doc_id", "status"], ("accepted", "rejected"))
     return read.select("doc_id", "status", F.sha2(_text("accepted"), 256).alias("accepted_sha256"), F.sha2(_text("rejected"), 256).alias("rejected_sha256"))
 
 
