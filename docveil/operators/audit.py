@@ -149,21 +149,27 @@ def date(text: Column) -> Column:
     """yyyy-mm-dd, dd.mm.yyyy (also / and -), `d Month yyyy` and `Month d, yyyy` in three languages, as a date; else null. Months
     may be short (`Sept.`, `Oca`).
     An English day and month change places only if that is the only way to read them."""
-    t = ascii_lower(F.trim(text))
-    iso = F.try_to_date(F.regexp_extract(t, "^([0-9]{4}-[0-9]{2}-[0-9]{2})$", 1), "yyyy-MM-dd")
-    part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
+    make = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", yy.cast("string"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
     numeric = "^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})$"
-    d, m, y = part(numeric, 1), part(numeric, 2), part(numeric, 3)
-    day, month = F.when(m > 12, m).otherwise(d), F.when(m > 12, d).otherwise(m)
     names = F.create_map(*(F.lit(v) for pair in MONTH_NAMES.items() for v in pair))
     first, second = r"^([0-9]{1,2})[.]? ([\p{L}]+)[.]?,? ([0-9]{4})$", r"^([\p{L}]+)[.]? ([0-9]{1,2}),? ([0-9]{4})$"
-    make = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", yy.cast("string"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
-    whole = lambda c, p: F.when(t.rlike(p), c)
-    return F.coalesce(
-        iso, whole(make(y, month, day), numeric),
-        whole(make(part(first, 3), F.try_element_at(names, F.regexp_extract(t, first, 2)), part(first, 1)), first),
-        whole(make(part(second, 3), F.try_element_at(names, F.regexp_extract(t, second, 1)), part(second, 2)), second),
-    )
+
+    def numbered(x: Column) -> Column:
+        swapped = x["m"] > 12
+        return make(x["y"], F.when(swapped, x["d"]).otherwise(x["m"]), F.when(swapped, x["m"]).otherwise(x["d"]))
+
+    # the folded text, and the parts of a date, are made once for a row
+    def read(t: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
+        parts = F.struct(part(numeric, 1).alias("d"), part(numeric, 2).alias("m"), part(numeric, 3).alias("y"))
+        return (
+            F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+            .when(t.rlike(numeric), let(parts, numbered))
+            .when(t.rlike(first), make(part(first, 3), F.try_element_at(names, F.regexp_extract(t, first, 2)), part(first, 1)))
+            .when(t.rlike(second), make(part(second, 3), F.try_element_at(names, F.regexp_extract(t, second, 1)), part(second, 2)))
+        )
+
+    return let(ascii_lower(F.trim(text)), read)
 
 
 def bilingual_differences(cells: DataFrame) -> DataFrame:

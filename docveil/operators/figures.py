@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions.textfold import ascii_lower
 from docveil.operators import audit, structure
-from docveil.operators.match import let, spans_once
+from docveil.operators.match import let, spans
 from docveil.operators.staging import kept
 
 #: Words and signs of currencies, folded, by their code. Fixed values. Longer words also stand with an ending.
@@ -24,18 +24,29 @@ CURRENCIES = {
 _WORDS = {w: code for code, words in CURRENCIES.items() for w in words}
 _LONGEST = sorted(_WORDS, key=lambda w: (-len(w), w))
 _ESCAPED = {w: w.replace("$", "[$]") for w in _LONGEST}
-CURRENCY = "(?:" + "|".join(_ESCAPED[w] + ("[a-z]{0,4}" if len(w) > 3 else "") for w in _LONGEST) + ")"
+
+
+def _by_first(patterns: dict[str, str]) -> str:
+    """Patterns of words, tried in order, where those of other first characters are passed over at once."""
+    first = dict.fromkeys(w[0] for w in patterns)
+    return "(?:" + "|".join(f"(?=[{c}])(?:{'|'.join(p for w, p in patterns.items() if w[0] == c)})" for c in first) + ")"
+
+
+CURRENCY = _by_first({w: _ESCAPED[w] + ("[a-z]{0,4}" if len(w) > 3 else "") for w in _LONGEST})
+#: The first characters of what a pattern may match, looked at before anything else.
+_BEGINS = "".join(sorted({w[0] for w in _LONGEST}))
 #: Digits in groups of three (by points, commas or spaces that do not break), or not; then a fraction.
 NUMBER = "(?:[0-9]{1,3}(?:[.,\u00a0\u202f][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+(?:[.,][0-9]+)?)"
 _BEFORE, _AFTER = r"(?<![\p{L}0-9_.,])", r"(?![\p{L}0-9_])"
-_MONTH = "(?:" + "|".join(sorted(audit.MONTH_NAMES, key=lambda n: (-len(n), n))) + ")"
+_MONTH = _by_first({n: n for n in sorted(audit.MONTH_NAMES, key=lambda n: (-len(n), n))})
+_MONTHS_BEGIN = "".join(sorted({n[0] for n in audit.MONTH_NAMES}))
 DATE = (
-    r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9])"
-    rf"|(?<![0-9.])[0-9]{{1,2}}(?:st|nd|rd|th|[.])? {_MONTH}[.]?,? [0-9]{{4}}(?![0-9])|(?<!\p{{L}}){_MONTH}[.]? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"
+    r"(?=[0-9])(?<![0-9.])(?:(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9])"
+    rf"|[0-9]{{1,2}}(?:st|nd|rd|th|[.])? {_MONTH}[.]?,? [0-9]{{4}}(?![0-9]))|(?=[{_MONTHS_BEGIN}])(?<!\p{{L}}){_MONTH}[.]? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"
 )
-AMOUNT = rf"{_BEFORE}(?:{CURRENCY} ?{NUMBER}(?![0-9])|{NUMBER} ?{CURRENCY}){_AFTER}"
-PERCENT = rf"% ?{NUMBER}(?![0-9])|{_BEFORE}{NUMBER} ?%|(?<!\p{{L}})yuzde {NUMBER}(?![0-9])|{_BEFORE}{NUMBER} (?:percent|per cent){_AFTER}"
-PLAIN = rf"(?<![\p{{L}}0-9_.,/{{-]){NUMBER}(?![.,/-]?[0-9])(?![\p{{L}}_}}])"
+AMOUNT = rf"(?=[0-9{_BEGINS}]){_BEFORE}(?:{CURRENCY} ?{NUMBER}(?![0-9])|{NUMBER} ?{CURRENCY}){_AFTER}"
+PERCENT = rf"(?=[%y0-9])(?:% ?{NUMBER}(?![0-9])|(?=[0-9]){_BEFORE}(?:{NUMBER} ?%|{NUMBER} (?:percent|per cent){_AFTER})|(?<!\p{{L}})yuzde {NUMBER}(?![0-9]))"
+PLAIN = rf"(?=[0-9])(?<![\p{{L}}0-9_.,/{{-]){NUMBER}(?![.,/-]?[0-9])(?![\p{{L}}_}}])"
 LABEL = rf"{structure.HEADED}|{structure.NUMBERED}|{structure.BARE}"
 LANGUAGES = ("en", "tr", "az")
 #: Two-cell rows that a bilingual table has at least, and their share of all rows. Fixed values.
@@ -89,11 +100,11 @@ def figures(text: Column, language: Column) -> Column:
             return F.concat(own, turn(_blanked(held, found), k + 1)) if k + 1 < len(turns) else own
 
         # each turn's text is made once, as both its pattern and the next turn read it
-        return let(left, lambda held: let(spans_once(held, pattern), lambda found: taken(held, found)))
+        return let(left, lambda held: let(spans(held, pattern), lambda found: taken(held, found)))
 
     def whole(t: Column) -> Column:
-        unlabelled = let(ascii_lower(t), lambda x: _blanked(x, spans_once(t, LABEL)))
-        return turn(let(unlabelled, lambda x: _blanked(x, spans_once(t, structure.REFERENCE))), 0)
+        unlabelled = let(ascii_lower(t), lambda x: _blanked(x, spans(t, LABEL)))
+        return turn(let(unlabelled, lambda x: _blanked(x, spans(t, structure.REFERENCE))), 0)
 
     none = F.array().cast("array<struct<kind:string,value:string,start:int,end:int>>")
     return F.when(text.rlike("[0-9]"), F.filter(let(text, whole), lambda x: x["value"].isNotNull())).when(text.isNotNull(), none)

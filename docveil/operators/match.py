@@ -29,14 +29,27 @@ def _placed(text: Column, pattern: str | Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+#: Stands on both sides of a match while its place is found. A text that has it is searched and split instead.
+MARK = "\ue000"
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, text>> of all matches, left to right, in code points. The pattern matches no empty text."""
-    return _placed(text, pattern, F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)))
+    """array<struct<start, end, text>> of all matches, left to right, in code points. The pattern matches no empty text.
 
+    Matches are marked in one pass and the text is split at the marks: a split at a pattern would compile it for every text.
+    """
+    if not isinstance(pattern, str):
+        return _placed(text, pattern, F.regexp_extract_all(text, pattern, F.lit(0)))
+    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["at"] + F.length(x)
+        span = F.struct(acc["at"].alias("start"), last.alias("end"), x.alias("text"))
+        return F.struct(last.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-def spans_once(text: Column, pattern: str) -> Column:
-    """`spans`, looking for the matches once: for patterns that take long."""
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _placed(text, pattern, found))
+    marked = F.aggregate(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), empty, step, lambda acc: acc["out"])
+    split = _placed(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.when(F.contains(text, F.lit(MARK)), split).otherwise(F.coalesce(marked, F.array().cast(f"array<{SPAN}>")))
 
 
 def literal(text: str) -> str:
@@ -46,12 +59,16 @@ def literal(text: str) -> str:
 
 def spans_sql(text: str, pattern: str) -> str:
     """`spans` of a column and a pattern as SQL text. What has many patterns is built much faster of text than of columns."""
-    p = literal(pattern)
+    p, none = literal(pattern), f"CAST(array() AS array<{SPAN}>)"
     found = f"regexp_extract_all({text}, {p}, 0)"
     both = f"zip_with({found}, slice(split({text}, {p}, -1), 1, size({found})), (m, g) -> struct(m AS m, length(g) AS gap))"
     span = "struct(acc.at + x.gap AS start, acc.at + x.gap + length(x.m) AS end, x.m AS text)"
     step = f"(acc, x) -> struct(acc.at + x.gap + length(x.m) AS at, concat(acc.out, array({span})) AS out)"
-    return f"aggregate({both}, struct(0 AS at, CAST(array() AS array<{SPAN}>) AS out), {step}, acc -> acc.out)"
+    split = f"aggregate({both}, struct(0 AS at, {none} AS out), {step}, acc -> acc.out)"
+    span = "struct(acc.at AS start, acc.at + length(x) AS end, x AS text)"
+    step = f"(acc, x) -> struct(acc.at + length(x) AS at, NOT acc.match AS match, CASE WHEN acc.match THEN concat(acc.out, array({span})) ELSE acc.out END AS out)"
+    marked = f"aggregate(split(regexp_replace({text}, {p}, '{MARK}$0{MARK}'), '{MARK}', -1), struct(0 AS at, false AS match, {none} AS out), {step}, acc -> acc.out)"
+    return f"CASE WHEN contains({text}, '{MARK}') THEN {split} ELSE {marked} END"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

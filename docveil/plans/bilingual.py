@@ -10,9 +10,9 @@ from docveil.plans.contracts import PLACE
 from docveil.plans.queries import table
 
 
-def bilingual_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bilingual_cells(spark: SparkSession, sf_dir: str, sides: int = 2) -> DataFrame:
     """Every order's lines as a table of two columns, the right one with a fault by l_partkey % 11. Of every fifth order both columns
-    are English; every seventh order lacks the right cells of its odd parts."""
+    are English; every seventh order lacks the right cells of its odd parts. sides: 1 for the left columns alone."""
     q, n, m = F.col("l_partkey") % 11, F.col("l_linenumber"), F.col("l_suppkey") % 9 + 1
     price, percent, day, pieces = F.col("l_extendedprice").cast("decimal(12,2)"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")
     off = lambda k: (q == k).cast("int")
@@ -25,10 +25,10 @@ def bilingual_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.when(F.col("l_orderkey") % 5 == 0, english(n, price, percent, day, pieces, m)).otherwise(turkish)
     right = english(n + off(1), price + off(2), percent + off(3), F.date_add(day, off(4)), F.when(q == 6, "some").otherwise((pieces + off(5)).cast("string")), m + off(7))
     right = F.when((F.col("l_orderkey") % 7 != 0) | (F.col("l_partkey") % 2 == 0), right)
-    sides = F.array(F.struct(F.lit(0).alias("col"), left.alias("text")), F.struct(F.lit(1).alias("col"), right.alias("text")))
+    cells = F.array(*[F.struct(F.lit(0).alias("col"), left.alias("text")), F.struct(F.lit(1).alias("col"), right.alias("text"))][:sides])
     # rows are numbered before their cells are rows of their own
     placed = table(spark, sf_dir, "lineitem").withColumn("row", F.expr(PLACE))
-    return placed.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("table_id"), "row", F.lit(0).alias("p_idx"), F.inline(sides))
+    return placed.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("table_id"), "row", F.lit(0).alias("p_idx"), F.inline(cells))
 
 
 def bilingual_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ BILINGUAL_SQL = f"""SELECT doc_id, row, kind, CASE kind WHEN 'number' THEN 'medi
 
 def cell_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, amounts, percentages and numbers of the left cells, read in the language of their table."""
-    cells = bilingual_cells(spark, sf_dir).where("col = 0")
+    cells = bilingual_cells(spark, sf_dir, sides=1)
     read = cells.select("doc_id", "row", F.inline_outer(figures.figures(F.col("text"), F.when(F.col("doc_id") % 5 == 0, "en").otherwise("tr"))))
     # an outer inline, as Catalyst would look at an inner one's array once more to filter by its size
     return read.where("kind is not null").select("doc_id", "row", "kind", "value")
