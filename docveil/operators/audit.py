@@ -80,22 +80,23 @@ def defined_terms(rows: DataFrame) -> DataFrame:
 
 def unused_terms(rows: DataFrame, longest: int = 6) -> DataFrame:
     """Definitions whose term stands nowhere else in its document, also not inflected (up to 6 more letters)."""
-    terms = defined_terms(rows)
-    split = F.split(F.trim(F.regexp_replace(ascii_lower(F.col("text")), "[^a-z0-9]+", " ")), " ")
-
-    def runs_of(words: Column) -> Column:
-        firsts = lambda n: F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i + n - 1 <= F.size(words))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(firsts(n), lambda i: F.array_join(F.slice(words, i, n), " "))))
-
-    runs = let(split, runs_of)
-    uses = rows.select("doc_id", F.explode(runs).alias("__run")).groupBy("doc_id", "__run").agg(F.count(F.lit(1)).alias("n"))
-    keyed = terms.withColumn("__key", F.trim(F.regexp_replace("term_key", "[^a-z0-9]+", " ")))
-    # an inflected use has the term's first letters; both sides meet on the first four
-    left, right = keyed.withColumn("__head", F.substring("__key", 1, 4)), uses.withColumn("__head", F.substring("__run", 1, 4))
-    hits = left.join(right, ["doc_id", "__head"]).where(F.startswith("__run", F.col("__key")) & F.substring("__run", F.length("__key") + 1, F.length("__run")).rlike("^[a-z0-9]{0,6}$"))
-    counts = hits.groupBy("doc_id", "term_key").agg(F.sum("n").alias("uses"))
-    defined = terms.groupBy("doc_id", "term_key").agg(F.count(F.lit(1)).alias("times"), F.min("term").alias("term"))
-    return defined.join(counts, ["doc_id", "term_key"], "left").where(F.coalesce("uses", F.lit(0)) <= F.col("times")).select("doc_id", "term", "term_key")
+    words = lambda t: F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
+    term = lambda s: F.regexp_replace(s["text"], '["“”]', "")
+    terms = F.transform(spans(F.col("text"), DEFINITION), lambda s: F.struct(term(s).alias("term"), ascii_lower(term(s)).alias("term_key")))
+    # a document's paragraphs meet in one row, as they came; a run of words does not go over a line
+    own = rows.select("doc_id", terms.alias("__terms"), words(ascii_lower(F.col("text"))).alias("__words"))
+    own = own.groupBy("doc_id").agg(F.flatten(F.collect_list("__terms")).alias("__terms"), F.array_join(F.collect_list("__words"), "\n").alias("__words"))
+
+    def once(t: Column) -> Column:
+        def uses(key: Column) -> Column:
+            # terms of fewer than four letters are not inflected; places overlap, so they are looked at ahead
+            more = F.when(F.length(key) < 4, "").otherwise("[a-z0-9]{0,6}")
+            return F.regexp_count("__words", F.concat(F.lit("(?<![a-z0-9])(?="), key, more, F.lit("(?![a-z0-9]))")))
+
+        return let(words(t["term_key"]), lambda key: (F.size(F.split(key, " ")) > longest) | (uses(key) <= 1))
+
+    unused = own.select("doc_id", F.inline(F.filter("__terms", once)))
+    return unused.groupBy("doc_id", "term_key").agg(F.min("term").alias("term")).select("doc_id", "term", "term_key")
 
 
 REFERENCE = r"(?i:section|article|clause|madde) [0-9]+(?:[.][0-9]+)*"

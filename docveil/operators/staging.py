@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """df dealt by a key, about so many rows a task: where little is read of a row but much is done with it, the size of the files
+    says too little of the tasks that it takes. What is grouped or joined by the key later stays where it is."""
+    return df.repartition(-(-df.count() // rows) or 1, key)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet and read again: computed once, however often it is used, and safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -72,9 +72,10 @@ def undefined_terms(rows: DataFrame, most: int = TOP_TERMS) -> DataFrame:
     several words), in documents with two definitions or more; each document's `most` most frequent ones."""
     defined = defined_terms(rows).select("doc_id", "term_key").distinct()
     several = defined.groupBy("doc_id").count().where("count >= 2").select("doc_id")
-    found = rows.join(several, "doc_id", "left_semi").select("doc_id", F.inline(spans(F.col("text"), rf"{INSIDE}{NAME}(?: {NAME})*")))
+    # what is found is small, so it meets the documents' definitions after it is counted; texts are not shuffled
+    found = rows.select("doc_id", F.inline(spans(F.col("text"), rf"{INSIDE}{NAME}(?: {NAME})*")))
     counted = found.select("doc_id", ascii_lower(F.col("text")).alias("term_key")).groupBy("doc_id", "term_key").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counted.where(F.col("n") >= F.when(F.contains("term_key", F.lit(" ")), 2).otherwise(3)).join(defined, ["doc_id", "term_key"], "left_anti")
+    frequent = counted.where(F.col("n") >= F.when(F.contains("term_key", F.lit(" ")), 2).otherwise(3)).join(several, "doc_id", "left_semi").join(defined, ["doc_id", "term_key"], "left_anti")
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term_key"))
     return frequent.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
@@ -98,7 +99,9 @@ def spellings(names: DataFrame, least: float = ALIKE) -> DataFrame:
     if not 2 / 3 < least <= 1:
         raise ValueError("least is above 2/3 and at most 1")
     share = 1.5 * least - 1
-    rows = names.select("doc_id", "name").where("name <> ''").distinct().withColumn("grams", _grams(F.col("name")))
+    # a document with one name has no pair
+    sets = names.select("doc_id", "name").where("name <> ''").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    rows = sets.where(F.size("names") > 1).select("doc_id", F.explode("names").alias("name")).withColumn("grams", _grams(F.col("name")))
     each = rows.select("doc_id", "name", F.explode("grams").alias("gram"))
     rare = each.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # pairs that only one name has lead nowhere, but take their places among the first ones

@@ -9,6 +9,7 @@ from docveil.functions import numerals
 from docveil.functions.morphology import VOWELS, inflected
 from docveil.functions.textfold import tr_lower
 from docveil.operators import audit, filters, masking, numbering, reports, resolve, review, rules, vault
+from docveil.operators.staging import spread
 from docveil.plans.queries import BY_NAME, COMMON, FOUND_SQL, LABELS_SQL, PARAGRAPHS_SQL, SHOWN_SQL, documents, found, table
 
 #: What suffix_harmony puts on words, by their length.
@@ -132,7 +133,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("See Section "), (k % 3 + 1).cast("string")),
         F.when(k % 5 == 0, "Mavi Deniz A.Ş. and Mavi Deniz Ltd. came").otherwise("none came"),
     ]
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
