@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.operators.egress import Normalised, Scanner, cleaned, forms_of, keys_of, pieces
+from docveil.operators.batches import mapped
+from docveil.operators.egress import Scanner, beginnings, cleaned, forms_of, keys_of, met
 from docveil.operators.staging import kept
 
 #: Values of up to so many forms are sent to all tasks, each scanning a text for all of its matter's at once.
 SENT = 100_000
-#: Of more, a text meets those that share a piece with it; pieces that no value has are known by bits in an array of this size.
+#: Of more, a text meets those whose letters and digits it has; what no value begins with, or is, is known by bits in an array of
+#: this size.
 BITS = 1 << 25
 
 
@@ -52,15 +54,13 @@ def _rows(out_id: object, text: str, found: list[tuple[int, int, str, str]]) ->
     return [(out_id, t, n, k, cleaned(text, found) if i == 0 else None) for i, ((t, n), k) in enumerate(sorted(hits.items()))]
 
 
-OUT = ["out_id", "label_type", "label", "hits", "cleaned"]
-
-
 def gate(outgoing: DataFrame, values: DataFrame, sent: int = SENT) -> DataFrame:
     """(out_id, label_type, label, hits, cleaned): vault values (matter_id, label_type, label, value) that outgoing texts
     (out_id, matter_id, text) still show, and the text with labels instead; cleaned is null on all but a text's first row.
     Longer values are looked for first, single words only where the text has a capital, and nothing within labels.
 
-    Up to `sent` forms of values go to all tasks. More of them meet texts by pieces (see near_values), with the same result.
+    Up to `sent` forms of values go to all tasks. More of them meet texts by their letters and digits (see near_values), with the
+    same result.
     """
     return gate_by_forms(outgoing, kept(value_forms(values), "forms"), sent)
 
@@ -75,34 +75,43 @@ def gate_by_forms(outgoing: DataFrame, forms: DataFrame, sent: int = SENT) -> Da
             by_matter.setdefault(r["matter_id"], []).append((r["form"], r["label_type"], r["label"]))
         shared = outgoing.sparkSession.sparkContext.broadcast(by_matter)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scanners: dict[object, Scanner] = {}
-            for frame in frames:
-                out = []
-                for out_id, matter, text in zip(frame["out_id"], frame["matter_id"], frame["text"]):
-                    if matter in shared.value:
-                        if matter not in scanners:
-                            scanners[matter] = Scanner(shared.value[matter])
-                        out += _rows(out_id, text, scanners[matter].scan(text))
-                yield pd.DataFrame(out, columns=OUT)
-
-        return rows.mapInPandas(run, schema)
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-
-    def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [x for i, text, near in zip(frame["out_id"], frame["text"], frame["near"]) for x in _rows(i, text, Scanner((v["form"], v["label_type"], v["label"]) for v in near).scan(text))]
-            yield pd.DataFrame(out, columns=OUT)
+        # a task's own, from one batch to the next
+        scanners: dict[object, Scanner] = {}
+
+        def run(ids: list, matters: list, texts: list) -> Iterator[tuple]:
+            for out_id, matter, text in zip(ids, matters, texts):
+                if matter in shared.value:
+                    if matter not in scanners:
+                        scanners[matter] = Scanner(shared.value[matter])
+                    yield from _rows(out_id, text, scanners[matter].scan(text))
+
+        return mapped(rows, run, schema)
+    # short texts lie in few files, and much is done with each
+    rows = rows.repartition(_tasks(rows), "out_id").withColumn("digest", F.sha2("text", 256))
+
+    def few(ids: list, texts: list, values: list) -> Iterator[tuple]:
+        for out_id, text, near in zip(ids, texts, values):
+            yield from _rows(out_id, text, Scanner((v["form"], v["label_type"], v["label"]) for v in near).scan(text))
+
+    return mapped(rows.join(near_values(rows, forms), ["matter_id", "digest"]).select("out_id", "text", "near"), few, schema)
 
-    return rows.join(near_values(rows, forms), ["matter_id", "digest"]).select("out_id", "text", "near").mapInPandas(few, schema)
 
+def _tasks(rows: DataFrame, each: int = 50_000) -> int:
+    return -(-rows.count() // each) or 1
 
-def _bits(matters: Iterable, keys: Iterable) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(f"{m}\0{k}".encode("utf-8", "surrogatepass")) % BITS for m, k in zip(matters, keys)], np.int64)
+
+def _bits(matter: object, keys: Iterable[str], kind: str) -> np.ndarray:
+    head = f"{matter}{kind}"
+    return np.array([xxhash.xxh3_64_intdigest((head + k).encode("utf-8", "surrogatepass")) % BITS for k in keys], np.int64)
+
+
+#: What a bit stands for: a whole key, or one of its beginnings.
+WHOLE, BEGUN = "\0", "\1"
 
 
 def near_values(rows: DataFrame, forms: DataFrame) -> DataFrame:
-    """(matter_id, digest, near): for each text (matter_id, digest, text), the forms whose first letters and digits it has."""
+    """(matter_id, digest, near): for each text (matter_id, digest, text), the forms whose letters and digits it has one after
+    another, whatever stands between. Values that only begin alike are not sent to a text."""
     matter = rows.schema["matter_id"].dataType.simpleString()
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +123,7 @@ def near_values(rows: DataFrame, forms: DataFrame) -> DataFrame:
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"bit": _bits(frame["matter_id"], frame["key"])})
+            yield pd.DataFrame({"bit": np.concatenate([np.zeros(0, np.int64), *(b for m, k in zip(frame["matter_id"], frame["key"]) for b in (_bits(m, [k], WHOLE), _bits(m, beginnings(k), BEGUN)))])})
 
     # a bit array of fixed size, however many values there are
     bits = keys.select("matter_id", "key").mapInPandas(marked, "bit bigint").selectExpr("cast(bit >> 6 as int) as block", "1L << cast(bit & 63 as int) as bits")
@@ -122,18 +131,18 @@ def near_values(rows: DataFrame, forms: DataFrame) -> DataFrame:
     seen = np.zeros(BITS >> 6, np.uint64)
     seen[got["block"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast(seen)
+    lengths = sorted(r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect())
 
-    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for m, digest, text in frame.itertuples(index=False):
-                found = sorted(pieces(text))
-                bit = _bits([m] * len(found), found)
-                some = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                out += [(m, digest, k) for k, s in zip(found, some) if s]
-            yield pd.DataFrame(out, columns=["matter_id", "digest", "key"])
-
-    texts = rows.select("matter_id", "digest", "text").mapInPandas(met, f"matter_id {matter}, digest string, key string")
+    def told(matter: object, kind: str, keys: list[str]) -> np.ndarray:
+        bit = _bits(matter, keys, kind)
+        return (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def meet(matters: list, digests: list, texts: list) -> Iterator[tuple]:
+        for m, digest, text in zip(matters, digests, texts):
+            for k in met(text, lengths, lambda x: told(m, BEGUN, x), lambda x: told(m, WHOLE, x)):
+                yield m, digest, k
+
+    texts = mapped(rows.select("matter_id", "digest", "text"), meet, f"matter_id {matter}, digest string, key string")
     return texts.join(keys, ["matter_id", "key"]).groupBy("matter_id", "digest").agg(F.collect_set(F.struct("form", "label_type", "label")).alias("near"))
 
 

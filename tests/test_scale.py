@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, batches, match
+from docveil.operators import audit, batches, egress, gate, match, reports, staging
 
 
 def _plan(df):
@@ -31,3 +31,34 @@ def test_python_holds_few_rows(spark):
     rows = seen.toPandas()
     assert rows["i"].tolist() == [i for i in range(1000) if i % 3] and rows["n"].max() == batches.ROWS
     assert batches.mapped(df, lambda ids: [], "i bigint").count() == 0
+
+
+def test_audit_shuffles_no_texts(spark):
+    docs = staging.spread(spark.range(100).withColumnRenamed("id", "doc_id"), "doc_id").withColumn("text", F.lit("“Alpha Works” and “Ox” are. An Ox and oxen.\nAlpha Worksites there, Alpha Works"))
+    rows = audit.paragraphs(docs)
+    assert audit.unused_terms(rows).count() == 0
+    assert [r.term for r in audit.unused_terms(rows.withColumn("text", F.expr("replace(text, 'An Ox')"))).select("term").distinct().collect()] == ["Ox"]
+    found = audit.unused_terms(rows)
+    found.collect()
+    assert "__run" not in _plan(found) and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert reports.audit_findings(docs).count() == 0
+
+
+def test_values_that_begin_alike_do_not_meet_a_text(spark):
+    values = spark.createDataFrame([(1, "IBAN", f"{{{{IBAN-{i}}}}}", f"TR33 0006 1005 1978 {i:07}") for i in range(300)], "matter_id long, label_type string, label string, value string")
+    texts = spark.createDataFrame([(i, 1, f"to 33000610051978{i:07}.") for i in range(20)] + [(99, 1, "3300061005197")], "out_id long, matter_id long, text string")
+    rows = texts.withColumn("digest", F.sha2("text", 256))
+    near = gate.near_values(rows, gate.value_forms(values)).collect()
+    assert len(near) == 20 and all(len(r.near) == 1 for r in near)
+    shown = lambda sent: sorted(map(tuple, gate.gate(texts, values, sent).collect()))
+    assert shown(0) == shown(1000) and len(shown(0)) == 20
+
+
+def test_keys_of_all_lengths_are_met():
+    keys = ["abc", "abcd", "abcdef", "x" * 12, "y" * 13, "z" * 40, "ab"]
+    begun = {b for k in keys for b in egress.beginnings(k)}
+    told = lambda known: lambda found: [k in known for k in found]
+    for k in keys:
+        got = egress.met(f"1 {k[0]}-{k[1:]}.", sorted(set(map(len, keys))), told(begun), told(set(keys)))
+        assert k in got and set(got) <= set(keys)
+    assert egress.met("abx zz", [2, 3, 40], told(begun), told(set(keys))) == ["ab"]
