@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docveil.operators.match import let
+
 GOLD = r"\{\{[A-Z_]+\|[^{}]*\}\}"
 
 
@@ -31,8 +33,13 @@ def scores(rows: DataFrame) -> DataFrame:
     """(label_type, gold, leaked, found, right) over rows with `spans` (gold) and `kept` (findings): leaked gold spans are
     overlapped by nothing kept; right findings overlap gold of their type."""
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    g = rows.select(F.explode(F.transform("spans", lambda s: F.struct(s["label_type"].alias("label_type"), F.exists("kept", lambda k: meets(s, k)).alias("hit")))).alias("x"))
-    p = rows.select(F.explode(F.transform("kept", lambda k: F.struct(k["label_type"].alias("label_type"), F.exists("spans", lambda s: meets(s, k) & (s["label_type"] == k["label_type"])).alias("hit")))).alias("x"))
-    wanted = g.groupBy("x.label_type").agg(F.count(F.lit(1)).alias("gold"), F.count_if(~F.col("x.hit")).alias("leaked"))
-    got = p.groupBy("x.label_type").agg(F.count(F.lit(1)).alias("found"), F.count_if("x.hit").alias("right"))
-    return wanted.join(got, "label_type", "full").fillna(0)
+    side = lambda x, gold, hit: F.struct(x["label_type"].alias("label_type"), F.lit(gold).alias("gold"), hit.alias("hit"))
+    both = F.struct(F.coalesce("spans", F.array()).alias("spans"), F.coalesce("kept", F.array()).alias("kept"))
+    judged = lambda b: F.concat(
+        F.transform(b["spans"], lambda s: side(s, True, F.exists(b["kept"], lambda k: meets(s, k)))),
+        F.transform(b["kept"], lambda k: side(k, False, F.exists(b["spans"], lambda s: meets(s, k) & (s["label_type"] == k["label_type"])))),
+    )
+    # both sides in one pass, and outer: an inner one asks for the size of the array first, which computes it twice
+    each = rows.select(F.explode_outer(let(both, judged)).alias("x")).select("x.*").where("gold is not null")
+    counts = {"gold": "gold", "leaked": "gold and not hit", "found": "not gold", "right": "not gold and hit"}
+    return each.groupBy("label_type").agg(*(F.count_if(F.expr(e)).alias(n) for n, e in counts.items()))

@@ -12,17 +12,14 @@ from docveil.operators.staging import kept
 
 
 def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True, once: bool = False) -> DataFrame:
-    """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`. With `once`, candidates are written
-    before they are filtered, and only documents that have some come back."""
+    """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`. docs that have `candidates` of the chosen
+    rules are not scanned. With `once`, candidates are written before they are filtered, and only documents that have some come back."""
     t, c = F.col(text), F.col("candidates")
-    out = rules.detect(docs, chosen, text)
+    out = docs if "candidates" in docs.columns else rules.detect(docs, chosen, text)
     if entries:
         out = out.withColumn("candidates", F.concat(c, filters.dictionary(t, entries)))
     if once:
-        # without a filter before the writing, which would scan each text twice
-        both = let(c, lambda k: F.struct(k.alias("candidates"), F.when(F.size(k) > 0, t).alias(text)))
-        others = [x for x in out.columns if x not in ("candidates", text)]
-        out = kept(out.select(*others, both.alias("__both")).select(*others, "__both.*"), "candidates").where(F.size("candidates") > 0)
+        out = written(out, text)
     if allow:
         out = out.withColumn("__allowed", filters.allowed(t, allow)).withColumn("candidates", filters.outside(c, F.col("__allowed"), "SOZLUK"))
     people = any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)
@@ -41,6 +38,14 @@ def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: l
     return out.withColumn("suspects", let(both, lambda b: resolve.resolve(filters.suspects(b["candidates"], b["kept"], threshold)))).drop("__allowed")
 
 
+def written(detected: DataFrame, text: str = "text") -> DataFrame:
+    """Documents with `candidates`, written once: only those that have some come back."""
+    # without a filter before the writing, which would scan each text twice
+    both = let(F.col("candidates"), lambda k: F.struct(k.alias("candidates"), F.when(F.size(k) > 0, F.col(text)).alias(text)))
+    others = [x for x in detected.columns if x not in ("candidates", text)]
+    return kept(detected.select(*others, both.alias("__both")).select(*others, "__both.*"), "candidates").where(F.size("candidates") > 0)
+
+
 def mask_documents(docs: DataFrame, chosen: list[Rule], matter: str = "source", known: DataFrame | None = None, **options) -> DataFrame:
     """docs (doc_id, text, matter) with `masked`, `n_findings` and `n_suspects`. Texts are scanned once: what was found is
     written without the texts, and labels, edits and counts come from there."""

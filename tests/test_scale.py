@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, batches, egress, gate, match, reports, staging
+from docveil.operators import audit, batches, egress, evaluate, gate, match, reports, staging
 
 
 def _plan(df):
@@ -62,3 +62,10 @@ def test_keys_of_all_lengths_are_met():
         got = egress.met(f"1 {k[0]}-{k[1:]}.", sorted(set(map(len, keys))), told(begun), told(set(keys)))
         assert k in got and set(got) <= set(keys)
     assert egress.met("abx zz", [2, 3, 40], told(begun), told(set(keys))) == ["ab"]
+
+
+def test_scores_read_their_rows_once(spark):
+    df = spark.createDataFrame([(1, [(0, 4, "KISI"), (9, 12, "KISI")], [(2, 5, "EPOSTA")]), (2, [], [(1, 2, "IP")]), (3, None, None)], "id int, spans array<struct<start: int, end: int, label_type: string>>, kept array<struct<start: int, end: int, label_type: string>>")
+    got = evaluate.scores(df)
+    assert {tuple(r) for r in got.collect()} == {("KISI", 2, 1, 0, 0), ("EPOSTA", 0, 0, 1, 0), ("IP", 0, 0, 1, 0)}
+    assert _plan(got).count("LogicalRDD") + _plan(got).count("LocalRelation") == 1
