@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, batches, egress, evaluate, gate, match, reports, staging
+from docveil.operators import audit, batches, egress, evaluate, gate, match, reports, rules, staging
 
 
 def _plan(df):
@@ -69,3 +69,19 @@ def test_scores_read_their_rows_once(spark):
     got = evaluate.scores(df)
     assert {tuple(r) for r in got.collect()} == {("KISI", 2, 1, 0, 0), ("EPOSTA", 0, 0, 1, 0), ("IP", 0, 0, 1, 0)}
     assert _plan(got).count("LogicalRDD") + _plan(got).count("LocalRelation") == 1
+
+
+def test_texts_are_searched_only_if_they_may_match(spark):
+    """Every gate of a rule has a hint or is one itself, and lets pass what the rule needs."""
+    assert {r.needs for r in rules.RULES if r.needs} - set(rules.HINTS) == {rules.GIVEN_GATE}
+    made = ["Av. A. Kara", "12 Long Street", "rue de Lyon 4", "34 ABC 12", "TR33 0006 1005 1978 6457 8413 26", "Davalı: Ali Kara", "DAVACI Ali Kara", "WITNESS: John Smith", "Date of Birth: 1.2.1990", "1990 doğumlu", "Doğum yılı: 1990", "Ali ve Ayşe OĞLU",
+        "Ali ve Ayşe Kızı", "ADRES: Uzun yol 5", "Sayı: 12ab-3", "Ankara 3. Asliye Hukuk Mahkemesi", "~Ali:", "] Ali:", "ABCD", "J. R. Roe", "J.R.", "j@x.example", "10.0.0.1", "Mavi A.Ş.", "Mavi AŞ", "Mavi LTD. ŞTİ.", "Uzun Mah. No: 4", "Mrs. Roe", "KIŞ", "İ. Ö.", "", "none", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "id int, text string").repartition(1)
+    alone = F.concat(*(rules.found("text", r) for r in rules.RULES))
+    want = {r.id: sorted((f.start, f.end, f.source) for f in r.f or []) for r in df.select("id", alone.alias("f")).collect()}
+    got = {r.id: sorted((f.start, f.end, f.source) for f in r.candidates) for r in rules.detect(df, rules.RULES).collect()}
+    assert got == want and sum(map(len, got.values())) > 20
+    low = lambda n: n in rules.ANY_CASE
+    hit = lambda n: " or ".join(f"text rlike {match.literal(h)}" if h in rules.SHARED else f"contains({'lower(text)' if low(n) else 'text'}, {match.literal(h)})" for h in rules.HINTS[n])
+    for n in rules.HINTS:
+        assert df.where(F.col("text").rlike(n) & ~F.expr(hit(n))).count() == 0, n
