@@ -285,7 +285,7 @@ def gate_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents as two versions, block by block."""
     rows = audit.paragraphs(documents(spark, sf_dir)).select("doc_id", F.expr("doc_id div 2").alias("pair_id"), F.col("p_idx").alias("block_idx"), "text")
-    return diff.compare(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).select("pair_id", "position", "kind", "old_block", "new_block")
+    return diff.compare(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), marked=False).select("pair_id", "position", "kind", "old_block", "new_block")
 
 
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

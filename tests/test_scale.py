@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docveil.operators import audit, batches, egress, evaluate, gate, match, reports, rules, staging
+from docveil.operators import audit, batches, diff, egress, evaluate, gate, match, reports, rules, staging
 
 
 def _plan(df):
@@ -85,3 +85,12 @@ def test_texts_are_searched_only_if_they_may_match(spark):
     hit = lambda n: " or ".join(f"text rlike {match.literal(h)}" if h in rules.SHARED else f"contains({'lower(text)' if low(n) else 'text'}, {match.literal(h)})" for h in rules.HINTS[n])
     for n in rules.HINTS:
         assert df.where(F.col("text").rlike(n) & ~F.expr(hit(n))).count() == 0, n
+
+
+def test_unmarked_comparison_compares_no_words(spark, monkeypatch):
+    rows = lambda *b: spark.createDataFrame([(k, i, t) for k, i, t in b], "pair_id long, block_idx int, text string")
+    old, new = rows((1, 5, "one two three"), (1, 2, "a  b"), (2, 0, "gone"), (4, 1, None)), rows((1, 0, "a b"), (1, 9, "one two four"), (3, 7, "new {{K-1}}  x"), (4, 1, ""))
+    marked = diff.compare(old, new)
+    assert sorted(map(tuple, marked.drop("markup").collect())) == sorted(map(tuple, diff.compare(old, new, marked=False).collect()))
+    assert {(r.pair_id, r.position, r.kind, r.old_block, r.new_block) for r in marked.collect()} == {(1, 0, "equal", 2, 0), (1, 1, "changed", 5, 9), (2, 0, "deleted", 0, None), (3, 0, "added", None, 7), (4, 0, "equal", 1, 1)}
+    assert diff.plain(" a \n{{X  Y}}\t b ") == "a {{X  Y}} b" and diff.plain(" a  b") == "a b"
