@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docveil.functions import jsons
 from docveil.operators import audit, batches, diff, egress, evaluate, gate, match, reports, rules, staging
 
 
@@ -94,3 +95,10 @@ def test_unmarked_comparison_compares_no_words(spark, monkeypatch):
     assert sorted(map(tuple, marked.drop("markup").collect())) == sorted(map(tuple, diff.compare(old, new, marked=False).collect()))
     assert {(r.pair_id, r.position, r.kind, r.old_block, r.new_block) for r in marked.collect()} == {(1, 0, "equal", 2, 0), (1, 1, "changed", 5, 9), (2, 0, "deleted", 0, None), (3, 0, "added", None, 7), (4, 0, "equal", 1, 1)}
     assert diff.plain(" a \n{{X  Y}}\t b ") == "a {{X  Y}} b" and diff.plain(" a  b") == "a b"
+
+
+def test_strings_of_json_are_parted_once(spark):
+    df = spark.createDataFrame([('{"a": ["x\\"y", "z"], "b\\u0041": ""}',), ('["plain", 1, "é\\n"]',)], "j string").repartition(1)
+    got = df.select(jsons.mapped(F.col("j"), lambda x: F.concat(x, F.lit("!"))).alias("m"))
+    assert [r.m for r in got.collect()] == ['{"a!": ["x\\"y!", "z!"], "bA!": "!"}', '["plain!", 1, "é\\n!"]']
+    assert _plan(got).count("split(regexp_replace(") == 1
