@@ -19,10 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def tasks(df: DataFrame, rows: int = 50_000) -> int:
+    """How many tasks df takes of about so many rows."""
+    return -(-df.count() // rows) or 1
+
+
 def spread(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
     """df dealt by a key, about so many rows a task: where little is read of a row but much is done with it, the size of the files
     says too little of the tasks that it takes. What is grouped or joined by the key later stays where it is."""
-    return df.repartition(-(-df.count() // rows) or 1, key)
+    return df.repartition(tasks(df, rows), key)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -115,9 +115,11 @@ def references(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "p_idx", "start", F.regexp_extract("r", f"^({NUMBER})", 1).alias("part"), F.lower(F.regexp_replace(F.regexp_replace("r", f"^{NUMBER}", ""), " ", "")).alias("below"), "paragraph")
 
 
-def dangling(rows: DataFrame) -> DataFrame:
+def dangling(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc_id, p_idx, start, part, below, paragraph, rule): references to what their document does not have, by the coarsest
-    grain that is missing: `article`, else `part` (also a clause or a paragraph). A document without articles is left alone."""
+    grain that is missing: `article`, else `part` (also a clause or a paragraph). A document without articles is left alone. What
+    meets is dealt to so many tasks, if that is given: else by its size as it is compressed, which says little of its rows."""
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     there = places(placed(rows)).withColumn("__has", F.lit(True))
     asked = references(rows).join(there.where("grain = 'article'").select("doc_id").distinct(), "doc_id", "left_semi")
     article = F.substring_index("part", ".", 1)
@@ -132,8 +134,9 @@ def dangling(rows: DataFrame) -> DataFrame:
         )
     )
     ref = ["doc_id", "p_idx", "start", "part", "below", "paragraph"]
-    met = asked.select(*ref, F.inline(names)).join(there, ["doc_id", "grain", "name"], "left")
+    place = ["doc_id", "grain", "name"]
+    met = dealt(asked.select(*ref, F.inline(names)), *place).join(dealt(there, *place), place, "left")
     # of each need, one of its names is enough
-    needs = met.groupBy(*ref, "need").agg(F.max(F.coalesce("__has", F.lit(False))).alias("ok")).where("not ok")
+    needs = dealt(met, "doc_id").groupBy(*ref, "need").agg(F.max(F.coalesce("__has", F.lit(False))).alias("ok")).where("not ok")
     rule = F.when(F.max(F.col("need") == "article"), "article").otherwise("part")
     return needs.groupBy(*ref).agg(rule.alias("rule"))

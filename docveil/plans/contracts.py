@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docveil.operators import structure
+from docveil.operators.staging import spread, tasks
 from docveil.plans.queries import table
 
 #: A paragraph's text by l_partkey % 6, and its stream by l_suppkey % 5. Both engines read this SQL.
@@ -17,7 +18,8 @@ PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_par
 
 
 def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"{PLACE} AS p_idx", f"{STREAM} AS stream", f"{TEXT} AS text")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return spread(lines, "l_orderkey").selectExpr("l_orderkey AS doc_id", f"{PLACE} AS p_idx", f"{STREAM} AS stream", f"{TEXT} AS text")
 
 
 def structure_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ PLACES_SQL = f"""WITH RECURSIVE {_PLACED} SELECT o AS doc_id, p AS p_idx, k AS k
 
 
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.dangling(contract_rows(spark, sf_dir)).select("doc_id", "p_idx", "part", "rule")
+    return structure.dangling(contract_rows(spark, sf_dir), tasks(table(spark, sf_dir, "lineitem"))).select("doc_id", "p_idx", "part", "rule")
 
 
 #: The two references of every paragraph of text, against the articles and parts that the document has.

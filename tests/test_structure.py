@@ -1,4 +1,5 @@
-from docveil.operators import structure
+from docveil.operators import staging, structure
+from docveil.plans import contracts
 
 CONTRACT = [
     ("", "Sale of goods"), ("", "Article 1 Scope"), ("", "This is the first paragraph, see Article 2.1(b) and Article 9."), ("", "(a) one clause"), ("", "(b) another, as in Clause 1(a), 2 and 7.4"),
@@ -36,3 +37,11 @@ def test_edge_rows(spark):
     df = rows(spark, [("", None), ("", ""), ("c", "Article 4")])
     assert [r.place for r in structure.placed(df).orderBy("p_idx").collect()] == [None, None, "4"]
     assert structure.dangling(rows(spark, [("", "see Article 4")])).count() == 0
+
+
+def test_tasks_follow_the_rows(spark, sf_dir):
+    assert staging.tasks(spark.range(101), 50) == 3 and staging.tasks(spark.range(0)) == 1
+    df = rows(spark, CONTRACT).unionByName(rows(spark, CONTRACT, 2))
+    assert sorted(map(str, structure.dangling(df, 3).collect())) == sorted(map(str, structure.dangling(df).collect()))
+    # dealt by key and number, which no later step puts together again
+    assert "RepartitionByExpression [l_orderkey" in contracts.contract_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
