@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docveil.operators import diff
+from docveil.operators.staging import spread
 from docveil.plans.queries import documents, table
 from docveil.sources import markdown, tracked
 
@@ -81,7 +82,8 @@ REVISIONS_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, substr(coa
 def markdown_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as Markdown with a heading, a bullet and a table of its lines, in a package, and read as Markdown again."""
     line = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), "l_suppkey", F.lit(" | part\\|"), "l_returnflag", F.lit("<br>"), "l_linestatus", F.lit(" |"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("r"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", 100_000)
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("r"))
     text = F.concat(F.lit("## Order "), "l_orderkey", F.lit("\n\nIt has **"), F.size("r"), F.lit("** lines & more:\n| part | supplier | <flag> |\n|---|---|---|\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n- end"))
     read = markdown.views(markdown.packages(rows.select(F.col("l_orderkey").alias("path"), text.alias("markdown"))))
     return read.select(F.col("path").alias("l_orderkey"), "markdown")

@@ -1,7 +1,9 @@
 import io
 import zipfile
 
-from docveil.sources import markdown
+import pytest
+
+from docveil.sources import files, markdown
 from docveil.sources.files import W, docx_package
 
 NS = f'xmlns:w="{W[1:-1]}"'
@@ -54,3 +56,31 @@ def test_counts_as_columns_do(spark):
 def test_unreadable_packages(spark):
     df = spark.createDataFrame([("a", b"no"), ("b", None), ("c", package(p("x"), styles="<a"))], "path string, content binary")
     assert sorted((r.path, r.markdown, r.error) for r in markdown.views(df).collect()) == [("a", None, "not an archive"), ("b", None, "not an archive"), ("c", None, "word/styles.xml is not XML")]
+
+
+def test_plain_packages_take_one_pass(monkeypatch):
+    text = "## A\n\nb **c** & d\n\n| e | f |\n|---|---|\n| g\\|h | i<br>j |"
+    made = docx_package(text)
+    z = zipfile.ZipFile(io.BytesIO(made))
+    assert z.testzip() is None and z.namelist() == ["[Content_Types].xml", "_rels/.rels", "word/document.xml"]
+    monkeypatch.setattr(files.zipfile, "ZipFile", None)  # archives are neither opened to be added to nor to be read
+    monkeypatch.setattr(markdown.Lists, "chain", None)  # and styles are asked for headings alone
+    assert docx_package(text) == made and markdown.view(docx_package(text.split("\n\n", 1)[1])) == text.split("\n\n", 1)[1].replace("**", "")
+
+
+@pytest.mark.parametrize("odd", ["comment", "junk before", "stored", "other names"])
+def test_odd_archives(odd):
+    out = io.BytesIO(b"junk" if odd == "junk before" else b"")
+    out.seek(0, 2)
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_STORED if odd == "stored" else zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"note" if odd == "comment" else b""
+        z.writestr("word/médiå.xml" if odd == "other names" else "x", "x")
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{p('one')}</w:body></w:document>")
+    assert markdown.view(out.getvalue()) == "one"
+
+
+def test_damaged_parts():
+    raw = package(p("one"))
+    at = raw.index(b"document.xml") + 20
+    with pytest.raises(files.Unreadable):
+        markdown.view(raw[:at] + bytes([raw[at] ^ 255]) + raw[at + 1 :])
