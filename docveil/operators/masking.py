@@ -14,12 +14,19 @@ from docveil.operators.staging import kept
 def resolved(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True, once: bool = False) -> DataFrame:
     """docs with `candidates`, `kept` (disjoint findings in order of place) and `suspects`. docs that have `candidates` of the chosen
     rules are not scanned. With `once`, candidates are written before they are filtered, and only documents that have some come back."""
-    t, c = F.col(text), F.col("candidates")
+    out = scanned(docs, chosen, text, entries)
+    return filtered(written(out, text) if once else out, chosen, text, entries, allow, threshold, citations, definitions, propagation)
+
+
+def scanned(docs: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = ()) -> DataFrame:
+    """docs with `candidates`: what the rules and a dictionary find."""
     out = docs if "candidates" in docs.columns else rules.detect(docs, chosen, text)
-    if entries:
-        out = out.withColumn("candidates", F.concat(c, filters.dictionary(t, entries)))
-    if once:
-        out = written(out, text)
+    return out.withColumn("candidates", F.concat("candidates", filters.dictionary(F.col(text), entries))) if entries else out
+
+
+def filtered(out: DataFrame, chosen: list[Rule], text: str = "text", entries: list[tuple[str, str]] = (), allow: list[str] = (), threshold: int = rules.THRESHOLD, citations: bool = True, definitions: bool = True, propagation: bool = True) -> DataFrame:
+    """`resolved` of docs that were scanned."""
+    t, c = F.col(text), F.col("candidates")
     if allow:
         out = out.withColumn("__allowed", filters.allowed(t, allow)).withColumn("candidates", filters.outside(c, F.col("__allowed"), "SOZLUK"))
     people = any(r.entity in ("PERSON", "TR_TUZEL_KISI") for r in chosen)
@@ -47,13 +54,15 @@ def written(detected: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mask_documents(docs: DataFrame, chosen: list[Rule], matter: str = "source", known: DataFrame | None = None, **options) -> DataFrame:
-    """docs (doc_id, text, matter) with `masked`, `n_findings` and `n_suspects`. Texts are scanned once: what was found is
-    written without the texts, and labels, edits and counts come from there."""
+    """docs (doc_id, text, matter) with `masked`, `n_findings` and `n_suspects`. Texts are scanned once and written with what was
+    found; those without candidates are given back from there, and only the others meet their labels."""
     rows = docs.select("doc_id", F.col(matter).alias("matter_id"), "text")
-    found = kept(resolved(rows, chosen, once=True, **options).select("doc_id", "matter_id", "kept", F.size("suspects").alias("n_suspects")), "findings")
+    every = kept(scanned(rows, chosen, entries=options.get("entries", ())), "scanned")
+    some = F.coalesce(F.size("candidates") > 0, F.lit(False))
+    counts = [F.size("kept").alias("n_findings"), F.size("suspects").alias("n_suspects")]
+    found = kept(filtered(every.where(some), chosen, **options).select(*rows.columns, "kept", *counts), "findings")
     findings = found.select("doc_id", "matter_id", F.inline("kept"))
     labels = vault.number_values(findings.select("matter_id", "doc_id", "start", "label_type", "canonical", "text"), known)
-    masked = vault.mask(rows, findings.drop("text"), labels)
-    counts = found.select("doc_id", F.size("kept").alias("n_findings"), "n_suspects")
-    zero = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_findings", "n_suspects")]
-    return masked.join(counts, "doc_id", "left").select(*masked.columns, *zero)
+    masked = vault.mask(found.drop("kept"), findings.drop("text"), labels)
+    others = every.where(~some).select(*rows.columns, F.col("text").alias("masked"), F.lit(0).alias("n_findings"), F.lit(0).alias("n_suspects"))
+    return others.unionByName(masked)

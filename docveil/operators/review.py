@@ -50,12 +50,7 @@ def revised(texts: DataFrame, revisions: DataFrame) -> DataFrame:
 def delivered(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, unmasked, resolved, unknown): answers (doc_id, matter_id, text) with labels put back, how many there were, and
     the sorted labels that no vault has."""
-    every = vault.labels_in(answers).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__all"))
-    known = labels.select("matter_id", vault.folded(F.col("label")).alias("folded")).distinct()
-    lost = vault.labels_in(answers).join(known, ["matter_id", "folded"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__lost"), F.sort_array(F.collect_set("text")).alias("unknown"))
-    out = vault.unmask(answers, labels).join(every, "doc_id", "left").join(lost, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "unmasked", (zero(F.col("__all")) - zero(F.col("__lost"))).alias("resolved"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"))
+    return vault.read_back(answers, labels).select("doc_id", "unmasked", "resolved", "unknown")
 
 
 def approved(kept: Column, suspects: Column, chosen: Column) -> Column:

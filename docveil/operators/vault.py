@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions.morphology import inflected
 from docveil.functions.textfold import ascii_fold
-from docveil.operators.match import splice, spans
+from docveil.operators.match import SPAN, splice, spans
 
 #: A label as texts come back: white space inside, up to 5 digits, a type of up to 40 characters.
 LABEL = r"\{\{[ ]*[^\s{}]{1,40}[ ]*-[ ]*[0-9]{1,5}[ ]*\}\}"
@@ -53,7 +53,7 @@ def mask(docs: DataFrame, findings: DataFrame, labels: DataFrame, text: str = "t
 
 def labels_in(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row a label in texts (doc_id, matter_id, text): start, end, the label as it stands, and folded."""
-    return texts.select("doc_id", "matter_id", F.inline(spans(F.col(text), LABEL))).withColumn("folded", folded(F.col("text")))
+    return texts.where(F.contains(F.col(text), F.lit("{{"))).select("doc_id", "matter_id", F.inline(spans(F.col(text), LABEL))).withColumn("folded", folded(F.col("text")))
 
 
 def main_value(values: Column) -> Column:
@@ -61,15 +61,31 @@ def main_value(values: Column) -> Column:
     return F.element_at(F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))), 1)
 
 
-def unmask(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """texts with `unmasked`: labels, also damaged ones, replaced by their value's longest form; endings after an apostrophe
-    follow that form's harmony. Unknown labels stay."""
-    known = labels.select("matter_id", folded(F.col("label")).alias("folded"), main_value(F.col("values")).alias("value"))
-    written = texts.select("doc_id", "matter_id", F.inline(spans(F.col(text), f"{LABEL}(?:{ENDING})?"))).withColumn("__tail", F.regexp_extract("text", f"{ENDING}$", 0))
-    met = written.withColumn("folded", folded(F.regexp_extract("text", LABEL, 0))).join(known, ["matter_id", "folded"])
+def read_back(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """texts (doc_id, matter_id, text) with `unmasked`, `resolved` (how many labels the vault has) and `unknown` (the others, sorted).
+    Labels, also damaged ones, are replaced by their value's longest form; endings after an apostrophe follow that form's harmony.
+    Texts without labels are given back as they are: only the others meet their labels, once."""
+    t, none = F.col(text), F.array().cast(f"array<{SPAN}>")
+    rows = texts.withColumn("__labels", F.when(F.contains(t, F.lit("{{")), spans(t, f"{LABEL}(?:{ENDING})?")).otherwise(none))
+    some = rows.where(F.size("__labels") > 0)
+    known = labels.select("matter_id", folded(F.col("label")).alias("folded"), main_value(F.col("values")).alias("value"), F.lit(True).alias("__known"))
+    written = some.select("doc_id", "matter_id", F.inline("__labels")).withColumns({"__tail": F.regexp_extract("text", f"{ENDING}$", 0), "text": F.regexp_extract("text", LABEL, 0)})
+    met = written.withColumn("folded", folded(F.col("text"))).join(known, ["matter_id", "folded"], "left")
     shown = F.when(F.col("__tail") == "", F.col("value")).otherwise(F.concat("value", F.substring("__tail", 1, 1), inflected(F.col("value"), F.substring("__tail", 2, 15))))
-    edits = met.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", shown.alias("replacement"))).alias("__edits"))
-    return texts.join(edits, "doc_id", "left").withColumn("unmasked", F.when(F.col("__edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("__edits")))).drop("__edits")
+    edits = F.collect_list(F.when(F.col("__known"), F.struct("start", "end", shown.alias("replacement"))))
+    lost = F.collect_set(F.when(F.col("__known").isNull(), F.col("text")))
+    done = met.groupBy("doc_id").agg(edits.alias("__edits"), F.sort_array(lost).alias("unknown"))
+    out = some.drop("__labels").join(done, "doc_id", "left")
+    # two values of one label are no text
+    places = F.size(F.array_distinct(F.transform("__edits", lambda e: e["start"])))
+    back = out.withColumns({"unmasked": F.when(places > 0, splice(t, F.col("__edits"))).otherwise(t), "resolved": F.coalesce(places, F.lit(0)), "unknown": F.coalesce("unknown", F.array().cast("array<string>"))})
+    plain = rows.where(F.size("__labels") == 0).drop("__labels").withColumns({"unmasked": t, "resolved": F.lit(0), "unknown": F.array().cast("array<string>")})
+    return plain.unionByName(back.drop("__edits"))
+
+
+def unmask(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """texts with `unmasked` (see `read_back`). Unknown labels stay."""
+    return read_back(texts, labels, text).drop("resolved", "unknown")
 
 
 def unknown_labels(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docveil.functions import jsons
-from docveil.operators import audit, batches, diff, egress, evaluate, gate, match, reports, rules, staging
+from docveil.operators import audit, batches, diff, egress, evaluate, gate, masking, match, reports, review, rules, staging
 
 
 def _plan(df):
@@ -102,3 +102,24 @@ def test_strings_of_json_are_parted_once(spark):
     got = df.select(jsons.mapped(F.col("j"), lambda x: F.concat(x, F.lit("!"))).alias("m"))
     assert [r.m for r in got.collect()] == ['{"a!": ["x\\"y!", "z!"], "bA!": "!"}', '["plain!", 1, "é\\n!"]']
     assert _plan(got).count("split(regexp_replace(") == 1
+
+
+def _joined(df):
+    """For each part of a union, whether it is joined with anything."""
+    parts = df._jdf.queryExecution().optimizedPlan().children()
+    return ["Join" in parts.apply(i).toString() for i in range(parts.size())]
+
+
+def test_only_texts_with_findings_or_labels_meet_others(spark):
+    made = {1: "to a@b.example and 10.0.0.1", 2: "nothing", 3: None, 4: "again a@b.example, 10.0.0.999", 5: "{{EPOSTA-1}}'den {{ IP - 01 }} {{X-7}}{{X-7}} {{A-1", 6: "", 7: "{{no label}}"}
+    docs = spark.createDataFrame([(i, "m", t) for i, t in made.items()], "doc_id long, source string, text string").repartition(2)
+    masked = masking.mask_documents(docs, [r for r in rules.RULES if r.name in ("email", "ip")])
+    assert {r.doc_id: (r.masked, r.n_findings, r.n_suspects) for r in masked.collect()} == {i: (t, 0, 0) for i, t in made.items()} | {1: ("to {{EPOSTA-01}} and {{IP-01}}", 2, 0), 4: ("again {{EPOSTA-01}}, 10.0.0.999", 1, 0)}
+    vault = [("m", "EPOSTA", "{{EPOSTA-01}}", ["a@b.example"]), ("n", "IP", "{{IP-01}}", ["10.0.0.1"])]
+    labels = spark.createDataFrame(vault, "matter_id string, label_type string, label string, values array<string>")
+    back = review.delivered(masked.select("doc_id", "matter_id", F.col("masked").alias("text")), labels)
+    want = {i: (t, 0, []) for i, t in made.items()} | {1: ("to a@b.example and {{IP-01}}", 1, ["{{IP-01}}"]), 4: (made[4], 1, []), 5: ("a@b.example'den {{ IP - 01 }} {{X-7}}{{X-7}} {{A-1", 1, ["{{ IP - 01 }}", "{{X-7}}"])}
+    assert {r.doc_id: (r.unmasked, r.resolved, r.unknown) for r in back.collect()} == want
+    twice = labels.union(labels.withColumn("values", F.array(F.lit("c@d.example"))))
+    assert {r.doc_id: (r.unmasked, r.resolved) for r in review.delivered(docs.withColumnRenamed("source", "matter_id"), twice).collect()}[5] == (None, 1)
+    assert _joined(masked) == [False, True] and not all(_joined(back))
