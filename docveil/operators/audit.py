@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ AHEAD = 1.5
 
 def language_counts(text: Column, languages: tuple[str, ...]) -> Column:
     """struct<total, marked, a number for each language>: words, those with ə, and function words. Counts of texts add up."""
-    parts = F.split(F.lower(text), "[ \t\r\n]+")
+    # split at one character, which needs no pattern; empty words are no words of any kind
+    parts = F.split(reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\t\r\n", F.lower(text)), " ")
     every = sorted({w for x in languages for w in STOP_WORDS[x]})
 
     # all words are looked at once, those of some language once more for each
@@ -34,8 +37,11 @@ def language_counts(text: Column, languages: tuple[str, ...]) -> Column:
         among = lambda stop_words: F.size(F.filter(x["some"], lambda w: w.isin(stop_words)))
         return F.struct(x["total"].alias("total"), x["marked"].alias("marked"), *(among(STOP_WORDS[n]).alias(n) for n in languages))
 
-    marked = F.size(F.filter(parts, lambda w: F.contains(w, F.lit("ə")))) if "az" in languages else F.lit(0)
-    return let(F.struct(F.filter(parts, lambda w: w.isin(every)).alias("some"), F.size(F.array_remove(parts, "")).alias("total"), marked.alias("marked")), counted)
+    def read(words: Column) -> Column:
+        marked = F.when(F.contains(F.lower(text), F.lit("ə")), F.size(F.filter(words, lambda w: F.contains(w, F.lit("ə"))))).otherwise(0) if "az" in languages else F.lit(0)
+        return let(F.struct(F.filter(words, lambda w: w.isin(every)).alias("some"), F.size(F.array_remove(words, "")).alias("total"), marked.alias("marked")), counted)
+
+    return let(parts, read)
 
 
 def language_of(counts: Column, languages: tuple[str, ...]) -> Column:
@@ -150,27 +156,22 @@ def date(text: Column) -> Column:
     """yyyy-mm-dd, dd.mm.yyyy (also / and -), `d Month yyyy` and `Month d, yyyy` in three languages, as a date; else null. Months
     may be short (`Sept.`, `Oca`).
     An English day and month change places only if that is the only way to read them."""
-    make = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", yy.cast("string"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
-    numeric = "^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})$"
+    return let(ascii_lower(F.trim(text)), folded_date)
+
+
+def folded_date(t: Column) -> Column:
+    """`date` of a text that is folded and trimmed: what reads it more than once is plain columns."""
+    numeric = "^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([1-9][0-9]{3})$"
     names = F.create_map(*(F.lit(v) for pair in MONTH_NAMES.items() for v in pair))
-    first, second = r"^([0-9]{1,2})[.]? ([\p{L}]+)[.]?,? ([0-9]{4})$", r"^([\p{L}]+)[.]? ([0-9]{1,2}),? ([0-9]{4})$"
-
-    def numbered(x: Column) -> Column:
-        swapped = x["m"] > 12
-        return make(x["y"], F.when(swapped, x["d"]).otherwise(x["m"]), F.when(swapped, x["m"]).otherwise(x["d"]))
-
-    # the folded text, and the parts of a date, are made once for a row
-    def read(t: Column) -> Column:
-        part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
-        parts = F.struct(part(numeric, 1).alias("d"), part(numeric, 2).alias("m"), part(numeric, 3).alias("y"))
-        return (
-            F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
-            .when(t.rlike(numeric), let(parts, numbered))
-            .when(t.rlike(first), make(part(first, 3), F.try_element_at(names, F.regexp_extract(t, first, 2)), part(first, 1)))
-            .when(t.rlike(second), make(part(second, 3), F.try_element_at(names, F.regexp_extract(t, second, 1)), part(second, 2)))
-        )
-
-    return let(ascii_lower(F.trim(text)), read)
+    first, second = r"^([0-9]{1,2})[.]? ([\p{L}]+)[.]?,? ([1-9][0-9]{3})$", r"^([\p{L}]+)[.]? ([0-9]{1,2}),? ([1-9][0-9]{3})$"
+    swapped = lambda pattern, order: F.regexp_replace(t, pattern, order).try_cast("date")
+    worded = lambda pattern, month, day: F.concat(F.regexp_extract(t, pattern, 3), F.lit("-"), F.try_element_at(names, F.regexp_extract(t, pattern, month)).cast("string"), F.lit("-"), F.regexp_extract(t, pattern, day)).try_cast("date")
+    return (
+        F.when(t.rlike(numeric), F.coalesce(swapped(numeric, "$3-$2-$1"), swapped(numeric, "$3-$1-$2")))
+        .when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+        .when(t.rlike(first), worded(first, 2, 1))
+        .when(t.rlike(second), worded(second, 1, 2))
+    )
 
 
 def bilingual_differences(cells: DataFrame) -> DataFrame:

@@ -86,15 +86,15 @@ def places(rows: DataFrame) -> DataFrame:
 
 #: References: a name and numbers one after another (`Articles 7.3(b), 8 and 9`), or a number before the name in Turkish, with
 #: its paragraph and clause (`7. maddenin 2. fıkrasının (b) bendi`). One pattern, so that each place is read once; first characters
-#: come first, as most places have others.
+#: come first, as most places have others, then what a word or a number must be followed by.
 NEXT = rf"(?:\s*(?:,|and|or|to|ve|veya|ile|ila|–|-)\s*{NUMBER}{BELOW}(?![0-9.]*[0-9])(?!\s*(?iu:days?|months?|years?|weeks?|hours?|gün|ay|yıl|hafta|saat|%|TL|USD|EUR)))*"
 ORDINAL = r"(?:['’]?\s*[ntc]{0,1}[ıiuü]?[ncı]{1,3}[ıiuü]?)?"
 REFERENCE = (
-    rf"(?=[acsmACSM\u017f§])(?<![\p{{L}}0-9.])(?:{CALLED}|{SHORT})\s*{NUMBER}(?![0-9]){BELOW}{NEXT}"
-    rf"|(?=[0-9])(?<![\p{{L}}0-9.]){NUMBER}[.]?\s*{ORDINAL}\s*(?iu:madde)\p{{L}}*(?:\s+[(]?[0-9]{{1,2}}[)]?[.]?\s*{ORDINAL}\s*(?iu:fıkra)\p{{L}}*)?(?:\s+[(]?\p{{L}}[)]?\s+(?iu:bend)\p{{L}}*)?"
+    rf"(?=[acsmACSM\u017f§])(?<![\p{{L}}0-9.])(?=\p{{L}}*+[.§]{{0,2}}\s*+[0-9])(?:{CALLED}|{SHORT})\s*{NUMBER}(?![0-9]){BELOW}{NEXT}"
+    rf"|(?=[0-9])(?<![0-9.])(?=[0-9.]++\s*+['’]?\s*+[ntcıiuümM])(?<!\p{{L}}){NUMBER}[.]?\s*{ORDINAL}\s*(?iu:madde)\p{{L}}*(?:\s+[(]?[0-9]{{1,2}}[)]?[.]?\s*{ORDINAL}\s*(?iu:fıkra)\p{{L}}*)?(?:\s+[(]?\p{{L}}[)]?\s+(?iu:bend)\p{{L}}*)?"
 )
 #: What stands right before a reference to a statute, or right after one.
-STATUTE = r"(?iu:kanun|yönetmeli|tebliğ|tüzü|kararname|anayasa|sayılı|convention|directive|regulation|act|law|code|treaty|statute|gdpr)\p{L}{0,8}[,]?\s*$"
+STATUTE = r"(?=\p{L}++[,]?\s*$)(?iu:kanun|yönetmeli|tebliğ|tüzü|kararname|anayasa|sayılı|convention|directive|regulation|act|law|code|treaty|statute|gdpr)\p{L}{0,8}[,]?\s*$"
 OF_ANOTHER = r"^\s*(?:of|under)\s+(?:the\s+)?(?!(?i:this|agreement|contract|deed|annex|schedule|appendix|exhibit)\b)[A-Z]"
 
 
