@@ -37,7 +37,9 @@ NEW_ROW = f"CASE l_partkey % 5 WHEN 1 THEN array(cast(l_partkey as string), cast
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, old, new): each order's table of lines, in two versions."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(ROW).alias("old"), F.expr(f"CASE WHEN l_partkey % 5 <> 0 THEN {NEW_ROW} END").alias("new")).alias("r"))
+    # packages take long for the bytes that they are made of: orders are dealt by number of lines
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", 25_000)
+    rows = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(ROW).alias("old"), F.expr(f"CASE WHEN l_partkey % 5 <> 0 THEN {NEW_ROW} END").alias("new")).alias("r"))
     own = rows.groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     return own.select("pair_id", F.transform("rows", lambda r: r["old"]).alias("old"), F.filter(F.transform("rows", lambda r: r["new"]), lambda r: r.isNotNull()).alias("new"))
 
