@@ -56,9 +56,8 @@ BILINGUAL_SQL = f"""SELECT doc_id, row, kind, CASE kind WHEN 'number' THEN 'medi
 def cell_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, amounts, percentages and numbers of the left cells, read in the language of their table."""
     cells = bilingual_cells(spark, sf_dir, sides=1)
-    read = cells.select("doc_id", "row", F.inline_outer(figures.figures(F.col("text"), F.when(F.col("doc_id") % 5 == 0, "en").otherwise("tr"))))
-    # an outer inline, as Catalyst would look at an inner one's array once more to filter by its size
-    return read.where("kind is not null").select("doc_id", "row", "kind", "value")
+    read = figures.read(cells, F.col("text"), F.when(F.col("doc_id") % 5 == 0, "en").otherwise("tr"), ["doc_id", "row"])
+    return read.select("doc_id", "row", "kind", "value")
 
 
 FIGURES_SQL = f"""SELECT doc_id, row, unnest(['date', 'amount', 'percent', 'number']) AS kind, unnest([d, a, p, n]) AS value FROM

@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from docveil.operators import figures
+from docveil.plans import bilingual
 
 TEXTS = [
     ("en", "Article 5 The price of USD 1,250.50 and 2,000 EUR is due on May 5th, 2024, at 12.5% or 3 percent, for 1,500 units, see Article 7."),
@@ -63,3 +64,9 @@ def test_texts_of_tables_are_put_together_once(spark, monkeypatch):
     rows = [(1, 0, r, c, 0, t) for r, pair in enumerate([("Madde 1. Bu bedel 5 ve 6 ile", "Article 1. The price of 5 is for 6")] * 2) for c, t in enumerate(pair)]
     figures.bilingual_findings(spark.createDataFrame(rows, "doc_id long, table_id int, row int, col int, p_idx int, text string")).collect()
     assert sum(p.count("collect_list") for p in plans.values()) == 1
+
+
+def test_cell_figures_reads_rows(spark, sf_dir):
+    """The query's own plan: figures come as rows, and nothing of a text goes through functions of arrays."""
+    execution = bilingual.cell_figures(spark, sf_dir)._jdf.queryExecution()
+    assert not re.search(r"\b(transform|filter|aggregate|lambdafunction)\(", execution.optimizedPlan().toString())
